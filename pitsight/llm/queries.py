@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality_net, resharding, simhash
+from . import decontamination, html_text, line_dedup, line_quality, mixing, ppm, quality_net, resharding, simhash, wordpiece
 from .common import table
 
 OLD_SHARDS, SHARDS = 20, 24
@@ -16,6 +16,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op3_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    automaton = wordpiece.Automaton(*wordpiece.vocabulary())
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"), automaton)
+
+
 def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = resharding.assignment(table(spark, sf_dir, "documents"), OLD_SHARDS, SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
@@ -25,6 +35,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = line_quality.evaluate(table(spark, sf_dir, "documents"), with_text=False)
+    return judged.select("doc_id", *line_quality.FIELDS[:-1])
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     in_fold = quality_net.training_fold(F.col("doc_id"))
@@ -38,10 +53,16 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {
-    "op1_simhash": op1_simhash,
-    "op4_reshard": op4_reshard,
-    "op5_decontaminate": op5_decontaminate,
-    "op7_quality": op7_quality,
-    "op8_mix": op8_mix,
-}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
+def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trained = quality_net.training_fold(F.col("doc_id"), 7, 2)
+    model = ppm.fit(docs.where(trained))
+    scored = ppm.score(docs, model)
+    return scored.select("doc_id", (~trained).alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_html, op3_wordpiece, op4_reshard, op5_decontaminate, op6_line_quality, op7_quality, op8_mix, op9_line_dedup, op10_ppm)}
