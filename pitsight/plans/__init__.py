@@ -1,6 +1,6 @@
 """Named queries, each with the SQL that it is checked against."""
 
-from . import catalog, history
+from . import catalog, history, reports
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalog", "history"]
+__all__ = ["ORACLES", "QUERIES", "catalog", "history", "reports"]
