@@ -1,6 +1,6 @@
 """Named queries, each with the SQL that it is checked against."""
 
-from . import catalog, history, intake, modelling, reports
+from . import catalog, grounding, history, intake, modelling, reports
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalog", "history", "intake", "modelling", "reports"]
+__all__ = ["ORACLES", "QUERIES", "catalog", "grounding", "history", "intake", "modelling", "reports"]
