@@ -66,4 +66,39 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_html, op3_wordpiece, op4_reshard, op5_decontaminate, op6_line_quality, op7_quality, op8_mix, op9_line_dedup, op10_ppm)}
-ORACLES: dict[str, str] = {}
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SHINGLES = (
+    "CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 5 THEN [array_to_string(w, ' ')] "
+    "ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END"
+)
+
+
+def _shingle_sql(name: str, id_col: str, source: str) -> str:
+    return (
+        f"{name}_w AS (SELECT {id_col}, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM {source}), "
+        f"{name} AS (SELECT DISTINCT {id_col}, unnest({SHINGLES}) AS s FROM {name}_w)"
+    )
+
+
+ORACLES = {
+    "op5_decontaminate": f"""
+WITH {_shingle_sql("d", "doc_id", "documents")}, {_shingle_sql("b", "item_id", "benchmark")},
+n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id),
+h AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b ON b.s = d.s GROUP BY doc_id, item_id)
+SELECT doc_id, h.item_id, n_shingles, n_shared, n_shared / n_shingles AS containment FROM h JOIN n ON n.item_id = h.item_id
+WHERE n_shingles - n_shared <= floor(n_shingles * (1 - 0.8e0) + 1e-9)""",
+    "op8_mix": """
+WITH z AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+  CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':mix-1'), 1, 8) AS BIGINT) / 4294967296e0 AS chance FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight FROM z GROUP BY source),
+c AS (SELECT *, 3 * source_size AS most, sum(source_size) OVER () AS total, sum(weight) OVER () AS weights,
+  coalesce(sum(3 * source_size) OVER p, 0) AS most_before, coalesce(sum(weight) OVER p, 0) AS weight_before
+  FROM s WINDOW p AS (ORDER BY 3 * source_size / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, CAST(most AS DOUBLE) * CAST(weights - weight_before AS DOUBLE) < CAST(weight AS DOUBLE) * CAST(total - most_before AS DOUBLE) AS limited FROM c),
+r AS (SELECT *, total - coalesce(sum(most) FILTER (WHERE limited) OVER (), 0) AS rest, weights - coalesce(sum(weight) FILTER (WHERE limited) OVER (), 0) AS weight_left FROM l),
+t AS (SELECT source, source_size, CASE WHEN limited THEN CAST(most AS DOUBLE) ELSE CAST(rest * weight AS DOUBLE) / CAST(greatest(weight_left, 1) AS DOUBLE) END AS target FROM r),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0e0 END AS rate FROM t)
+SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN chance < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM z JOIN q ON z.source IS NOT DISTINCT FROM q.source""",
+}
