@@ -119,13 +119,16 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     point, so exact copies cost nothing beyond the first.
     """
     rows = cut(fingerprints(docs, id_col, text_col, n))
-    points = rows.groupBy("fp").agg(F.min("id").alias("first"))
+    points = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
     labels = connected_components(similar_fingerprints(points.select("fp")))
     linked = labels.join(points, labels["node"] == points["fp"]).select("fp", "root", "first")
     named = linked.groupBy("root").agg(F.min("first").alias("lowest"))
     renamed = linked.select("fp", "root").join(named, "root").select("fp", "lowest")
     of = points.join(renamed, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("component_id"))
-    return rows.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    # As an expression the key isn't taken for the one that the points were grouped by: both sides are shuffled for this
+    # join alone, and adaptive execution can split a fingerprint that very many rows have.
+    named = of.select(F.col("fp").bitwiseXOR(F.lit(0).cast("long")).alias("fp"), "component_id")
+    return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def fingerprint_text(fp: Column) -> Column:
