@@ -38,6 +38,14 @@ ASIDE_WORDS = frozenset(
 )
 #: Words that count only where they are the whole class, id or role.
 ASIDE_WHOLE = frozenset("header top-bar topbar bottom form aside".split())
+#: Elements that an article's parts consist of: beside the richest part they belong to it, whatever their density.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl figure table".split())
+#: Names that layout wrappers bear too: an article inside shows that the element is such a wrapper.
+LAYOUT_WORDS = frozenset("ad ads banner nav navbar navigation menu sidebar footer masthead header cookie cookies share sharing social login search toolbar form widget".split())
+#: Beginnings of class names that say what a wrapper has or lacks.
+ABOUT = ("has-", "with-", "no-", "without-", "tag-", "category-")
+#: What an article or main element is called when it is no article.
+NOT_ARTICLE = frozenset("comment comments reply replies respond related recommended promo sponsored advert advertisement ad".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -47,31 +55,36 @@ SPACES = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "aside", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "aside", "layout", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, aside: bool = False) -> None:
-        self.tag, self.parent, self.aside, self.parts = tag, parent, aside, []
+    def __init__(self, tag: str, parent: Node | None, aside: bool = False, layout: bool = False) -> None:
+        self.tag, self.parent, self.aside, self.layout, self.parts = tag, parent, aside, layout, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def is_aside(tag: str, attributes: str) -> bool:
-    """Whether an element is markup around the article: by its name, its class, id or role, or because it is hidden."""
+def is_aside(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is markup around the article: by its name, its class, id or role, or because it is hidden;
+    and whether it may be a wrapper of the layout all the same, which an article inside would show."""
     if tag in ASIDE:
-        return True
+        return True, tag == "form"
     if not attributes.strip():
-        return False
+        return False, False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main"):
+            return True, False
+        if name in ("class", "id", "role") and tag not in ("html", "body"):
             for whole in NAMES.findall(value):
-                if whole in ASIDE_WHOLE or not ASIDE_WORDS.isdisjoint(PARTS.findall(whole)):
-                    return True
-    return False
+                parts = PARTS.findall(whole)
+                if tag in ("article", "main"):
+                    if parts and parts[0] in NOT_ARTICLE:
+                        return True, False
+                elif not whole.startswith(ABOUT) and (whole in ASIDE_WHOLE or not ASIDE_WORDS.isdisjoint(parts)):
+                    return True, ASIDE_WORDS.isdisjoint(set(parts) - LAYOUT_WORDS)
+    return False, False
 
 
 def parse(page: str) -> Node:
@@ -102,8 +115,13 @@ def parse(page: str) -> Node:
                 here.parts.append(Node("p", here))
             continue
         here = _close_before(here, tag)
-        node = Node(tag, here, is_aside(tag, found[4]))
+        node = Node(tag, here, *is_aside(tag, found[4]))
         here.parts.append(node)
+        if tag in ("article", "main") and not node.aside:
+            up = here
+            while up is not None:
+                up.aside = up.aside and not up.layout
+                up = up.parent
         if tag in RAW:
             closing = re.compile(f"</{re.escape(tag)}(?![a-zA-Z0-9])[^>]*>", re.I).search(page, at)
             node.aside, at = True, closing.end() if closing else end
@@ -176,8 +194,8 @@ def main_nodes(nodes: list[Node]) -> list[Node]:
 
     The node with the largest sum of child densities is taken first. The smallest density on its path from the body is
     the threshold: below every node on that path, a child outside of it that reaches the threshold, holds mostly text
-    that isn't linked and has a paragraph's structure is main text too. Without any element that sums up, the whole
-    page is taken.
+    that isn't linked is main text too, as is a heading, paragraph or list beside the richest part in a container of
+    the page's body. Without any element that sums up, the whole page is taken.
     """
     best = max(nodes, key=lambda n: n.total)
     if best.total <= 0:
@@ -199,8 +217,9 @@ def main_nodes(nodes: list[Node]) -> list[Node]:
     taken = [best]
     for above in [n.parent for n in path if n.parent is not None]:
         for part in above.parts:
-            if isinstance(part, Node) and not part.aside and part not in path and part.density >= threshold and part.chars > 2 * part.link_chars:
-                taken.append(part)
+            if isinstance(part, Node) and not part.aside and part not in path and part.chars > 2 * part.link_chars:
+                if part.density >= threshold or part.tag in PROSE and above.tag not in ("body", "html", "#root"):
+                    taken.append(part)
     place = {id(n): i for i, n in enumerate(nodes)}
     return sorted(taken, key=lambda n: place[id(n)])
 
