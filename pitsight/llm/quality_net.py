@@ -23,6 +23,8 @@ WINDOW = 2
 FIT_ROWS = 12_000
 #: Fitted documents whose rows only set the temperature: one in so many.
 CALIBRATION = 8
+#: Features of a document, see pooled().
+FEATURES = 2 * WIDTH + 4
 BLOCK = 1 << 9
 CHUNK = 1 << 15
 CACHE = 1 << 18
@@ -116,18 +118,21 @@ def context_vectors(texts: DataFrame, text_col: str = "text") -> np.ndarray:
 
 def pooled(tokens: list[bytes], vectors: np.ndarray, index: np.ndarray, rows: Rows) -> np.ndarray:
     """A document's features: mean context vector of its words and of their shapes, how far the mean index vector is
-    from what distinct words would give, and the logarithm of its length. No words: zeros."""
-    n = len(tokens)
+    from what distinct words would give, the share of neighbours with the same index vector, and the logarithm of its
+    length. No words: zeros."""
+    n, last, same = len(tokens), -1, 0
     word, shape, raw = np.zeros(WIDTH), np.zeros(WIDTH), np.zeros(WIDTH)
     for at in range(0, n, CHUNK):
         of = rows.of(tokens[at : at + CHUNK])
+        same += int((of[0][1:] == of[0][:-1]).sum()) + int(of[0][0] == last)
+        last = of[0][-1]
         word += vectors[of[0]].sum(0)
         shape += vectors[of[1]].sum(0)
         raw += index[of[0]].sum(0)
     if not n:
-        return np.zeros(2 * WIDTH + 3, np.float32)
+        return np.zeros(FEATURES, np.float32)
     crowding = float(raw @ raw) / n / 8
-    return np.concatenate([word / n, shape / n, [math.log(crowding / n + 1e-6), math.log1p(crowding), math.log1p(n)]]).astype(np.float32)
+    return np.concatenate([word / n, shape / n, [math.log(crowding / n + 1e-6), math.log1p(crowding), same / n, math.log1p(n)]]).astype(np.float32)
 
 
 @dataclass
@@ -146,7 +151,7 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -35, 35)))
 
 
-def train_network(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 60, decay: float = 1e-4) -> tuple:
+def train_network(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 60, decay: float = 3e-3) -> tuple:
     """Weights of a tanh layer and a logistic one, by Adam on the cross entropy, from a fixed seed."""
     rng = np.random.default_rng(SEED)
     w = [rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.zeros(1)]
@@ -172,7 +177,7 @@ def best_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     """The temperature with the lowest cross entropy on held-back rows, over a fixed grid; 1 without such rows."""
     if not len(y):
         return 1.0
-    grid = np.exp(np.linspace(math.log(0.25), math.log(8), 121))
+    grid = np.exp(np.linspace(0, math.log(16), 121))
     loss = [np.mean(np.logaddexp(0, -np.where(y > 0, 1, -1) * logits / t)) for t in grid]
     return float(grid[int(np.argmin(loss))])
 
@@ -206,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def fit_features(vectors: np.ndarray, got: pd.DataFrame) -> QualityModel:
-    width = 2 * WIDTH + 3
+    width = FEATURES
     # In a fixed order, so that reruns agree.
     got = got.sort_values(["part", "y", "x"]).reset_index(drop=True)
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, width)
@@ -236,7 +241,7 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", score_co
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
             texts = texts.cast(pa.binary()) if not pa.types.is_binary(texts.type) else texts
-            x = np.array([pooled(words(text.as_py()), shared.value.vectors, index, rows) for text in texts], np.float32).reshape(-1, 2 * WIDTH + 3)
+            x = np.array([pooled(words(text.as_py()), shared.value.vectors, index, rows) for text in texts], np.float32).reshape(-1, FEATURES)
             p = shared.value.probabilities(x).astype(np.float64)
             out = with_column(batch, score_col, pa.array(p, pa.float64()))
             yield out if threshold is None else out.filter(pa.array(p >= threshold))
