@@ -41,7 +41,7 @@ def winnowed(lines: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
 
     A gram is the shortest run of lines from a line on with half of run_words words, hashed in order. In every window
     of grams that start within half of run_words words, the smallest hash (of equal ones the last) is selected. A run
-    of whole lines with more than run_words words holds all grams of one window, so it holds a selected one, and the
+    of whole lines with run_words words or more holds all grams of one window, so it holds a selected one, and the
     same one wherever the run occurs.
     """
     half = run_words // 2
@@ -57,17 +57,33 @@ def winnowed(lines: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     return grams.select(*DOC, least.alias("least")).select("least.gram", *DOC, (-F.col("least.back")).alias("n")).distinct()
 
 
-def matches(fingerprints: DataFrame) -> DataFrame:
+def candidates(fingerprints: DataFrame) -> DataFrame:
+    """(id, digest) of the documents that share a fingerprint with another place: all others hold no repeated run."""
+    repeated = fingerprints.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("gram")
+    return fingerprints.join(repeated, "gram", "left_semi").select(*DOC).distinct()
+
+
+def places(lines: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """(run, id, digest, n): for every line the shortest run of run_words words that begins with it, and the shortest
+    that ends with it, as a hash. Every line of a repeated run lies in one of these that is itself repeated."""
+    ahead = Window.partitionBy(*DOC).orderBy("start").rangeBetween(0, run_words - 1)
+    back = Window.partitionBy(*DOC).orderBy("end").rangeBetween(1 - run_words, 0)
+    run = lambda side, span: F.when(F.sum("words").over(span) >= run_words, F.xxhash64(F.lit(side), F.collect_list("hash").over(span)))
+    both = lines.withColumn("end", F.col("start") + F.col("words")).select(*DOC, "n", F.array_compact(F.array(run(0, ahead), run(1, back))).alias("runs"))
+    return both.select(F.explode("runs").alias("run"), *DOC, "n")
+
+
+def matches(runs: DataFrame) -> DataFrame:
     """(id, digest, of_id, of_digest, shift): which document's lines are to be compared with which earlier lines.
 
-    A fingerprint's first place in a document is joined to its first place of all, later ones to the place before in
-    the same document; so there are never more matches than fingerprints, however often a passage occurs.
+    A run's first place in a document is joined to its first place of all, later ones to the place before in the same
+    document; so there are never more matches than places, however often a passage occurs.
     """
-    placed = Window.partitionBy("gram", *DOC).orderBy("n")
-    within = fingerprints.withColumn("previous", F.lag("n").over(placed))
+    placed = Window.partitionBy("run", *DOC).orderBy("n")
+    within = runs.withColumn("previous", F.lag("n").over(placed))
     first = within.where(F.col("previous").isNull()).drop("previous")
-    earliest = first.groupBy("gram").agg(F.min(F.struct(*DOC, "n")).alias("of"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    across = first.join(earliest, "gram").where((F.col("of.id") != F.col("id")) | (F.col("of.digest") != F.col("digest")))
+    earliest = first.groupBy("run").agg(F.min(F.struct(*DOC, "n")).alias("of"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    across = first.join(earliest, "run").where((F.col("of.id") != F.col("id")) | (F.col("of.digest") != F.col("digest")))
     own = within.where(F.col("previous").isNotNull()).select(*DOC, F.col("id").alias("of_id"), F.col("digest").alias("of_digest"), (F.col("n") - F.col("previous")).alias("shift"))
     return across.select(*DOC, F.col("of.id").alias("of_id"), F.col("of.digest").alias("of_digest"), (F.col("n") - F.col("of.n")).alias("shift")).union(own).distinct()
 
@@ -77,11 +93,14 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     that also stand earlier: in a document with a smaller id (of equal ids, a smaller text hash; null ids come first)
     or further up in the same document.
 
-    Matches are extended both ways along the two documents by joining each line of the later one with the line of the
-    earlier one that stands at the same distance, and cutting the agreeing lines into unbroken runs.
+    Winnowed fingerprints name the documents that can hold any such run. There, runs of run_words words are joined by
+    position; a fingerprint alone wouldn't do, as its first place of all may share less than the whole run. Matches are
+    extended both ways along the two documents by joining each line of the later one with the line of the earlier one
+    that stands at the same distance, and cutting the agreeing lines into unbroken runs.
     """
     lines = cut(line_table(docs, id_col, text_col))
-    pairs = matches(winnowed(lines, run_words))
+    shared = lines.join(candidates(winnowed(lines, run_words)), DOC, "left_semi")
+    pairs = matches(places(shared, run_words))
     later = pairs.join(lines.select(*DOC, "pos", "n", "hash", "words"), DOC)
     earlier = lines.select(F.col("id").alias("of_id"), F.col("digest").alias("of_digest"), F.col("n").alias("of_n"), F.col("hash").alias("of_hash"))
     same = (
