@@ -1,6 +1,6 @@
 """Named queries, each with the SQL that it is checked against."""
 
-from . import catalog, grounding, history, intake, modelling, reports, streams
+from . import audits, catalog, fixtures, grounding, history, intake, modelling, reports, slots, streams
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalog", "grounding", "history", "intake", "modelling", "reports", "streams"]
+__all__ = ["ORACLES", "QUERIES", "audits", "catalog", "fixtures", "grounding", "history", "intake", "modelling", "reports", "slots", "streams"]
