@@ -151,8 +151,10 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -35, 35)))
 
 
-def train_network(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 60, decay: float = 3e-3) -> tuple:
-    """Weights of a tanh layer and a logistic one, by Adam on the cross entropy, from a fixed seed."""
+def train_network(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 60, decay: float = 3e-3, least_steps: int = 1_000) -> tuple:
+    """Weights of a tanh layer and a logistic one, by Adam on the cross entropy, from a fixed seed. Few rows are gone
+    through more often, so that least_steps are taken."""
+    epochs = max(epochs, -(-least_steps // -(-len(x) // 256)))
     rng = np.random.default_rng(SEED)
     w = [rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.zeros(1)]
     m, v, step = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w], 0
