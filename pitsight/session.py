@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Results depend on the time zone; the rest lets adaptive execution size and split shuffles at run time.
@@ -12,9 +17,27 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+#: Applications whose workers have been sent the package.
+_SHIPPED: set[str] = set()
+
 
 def build_session(name: str = "pitsight", **more: str) -> SparkSession:
     builder = SparkSession.builder.appName(name)
     for key, value in (SETTINGS | more).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers where they couldn't find it: unless its folder is on PYTHONPATH, or is
+    the working one of workers on this machine. Once for each application."""
+    root = Path(__file__).resolve().parent.parent
+    here = Path.cwd() == root and spark.sparkContext.master.startswith("local[")
+    if spark.sparkContext.applicationId in _SHIPPED or here or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    _SHIPPED.add(spark.sparkContext.applicationId)
+    archive = Path(tempfile.mkdtemp()) / "pitsight.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted((root / "pitsight").rglob("*.py")):
+            out.write(path, path.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
