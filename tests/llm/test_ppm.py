@@ -106,3 +106,15 @@ def test_rare_contexts_left_out_and_empty_tables(spark):
     assert P.score(nothing, model).count() == 0
     scores = {r["doc_id"]: r["score"] for r in P.score(docs.where("doc_id = 11"), model).collect()}
     assert scores[11] == pytest.approx(-4 * math.log10(256))
+
+
+@pytest.mark.parametrize("most", [0, 1, 50])
+def test_scores_do_not_depend_on_what_tasks_hold(spark, most):
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    train = docs.where("doc_id % 3 = 0")
+    got = P.score(docs, P.fit(train, max_nodes=most)).collect()
+    counts = counted([t for i, t, *_ in ROWS if i is not None and i % 3 == 0])
+    wanted = sorted((i if i is not None else -1, log10(counts, t)) for i, t, *_ in ROWS)
+    found = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["score"]) for r in got)
+    assert [i for i, _ in found] == [i for i, _ in wanted]
+    assert [x for _, x in found] == pytest.approx([x for _, x in wanted], rel=1e-5)
