@@ -73,6 +73,35 @@ def pit_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.groupBy("league").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("same") > 1).alias("tied"), F.count_if(F.col("home_matches_played") > F.coalesce("seen", F.lit(0))).alias("future_rows"))
 
 
+def pit_checks(table: DataFrame, m: DataFrame) -> DataFrame:
+    """(league, n, tied, future_rows, self_rows, elo_mismatches) over all rows of a built table: rows that share league
+    and kickoff with another, that count more earlier matches of a side than were known, whose own result is known
+    before their kickoff, and whose ratings aren't those of the walk. Counts are taken from availability times, running
+    over a team's rows."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    known = (F.col("status") == "finished") & F.col("available_at").isNotNull()
+    sides = m.select("match_id", micros("kickoff_at").alias("kt"), F.when(known, micros("available_at")).alias("at"), F.explode(F.array(F.struct(F.lit("home").alias("side"), F.col("home_team_id").alias("team_id")), F.struct(F.lit("away").alias("side"), F.col("away_team_id").alias("team_id")))).alias("x")).select("match_id", "kt", "at", "x.*")
+    asked = sides.select("team_id", F.col("kt").alias("t"), "match_id", "side", (F.col("at") < F.col("kt")).alias("own"), F.lit(0).alias("result"))
+    results = sides.where(F.col("at").isNotNull()).select("team_id", F.col("at").alias("t"), "match_id", "side", F.lit(False).alias("own"), F.lit(1).alias("result"))
+    before = Window.partitionBy("team_id").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce("own", F.lit(False))
+    # A match never counts itself.
+    seen = asked.union(results).withColumn("seen", F.coalesce(F.sum("result").over(before), F.lit(0)) - own.cast("int")).where("result = 0")
+    by_match = seen.groupBy("match_id").agg(*(F.max(F.when(F.col("side") == side, F.col("seen"))).alias(f"{side}_seen") for side in ("home", "away")), F.max(own).alias("own"))
+    walked = elo.elo_walk(m).select("match_id", "home_elo", "away_elo")
+    same = F.count(F.lit(1)).over(Window.partitionBy("league", "kickoff_at"))
+    checked = table.withColumn("same", same).join(by_match, "match_id", "left").join(walked, "match_id", "left")
+    future = (F.col("home_matches_played") > F.coalesce("home_seen", F.lit(0))) | (F.col("away_matches_played") > F.coalesce("away_seen", F.lit(0)))
+    rated = F.col("home_elo_pre").eqNullSafe(F.col("home_elo")) & F.col("away_elo_pre").eqNullSafe(F.col("away_elo")) & F.col("home_elo").isNotNull()
+    return checked.groupBy("league").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("same") > 1).alias("tied"), F.count_if(future).alias("future_rows"), F.count_if(F.col("own")).alias("self_rows"), F.count_if(~rated).alias("elo_mismatches"))
+
+
+@query()
+def pit_recheck_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pit_recheck asks of every 97th match asked of all, with own results and ratings."""
+    m = bridge.matches(spark, sf_dir)
+    return pit_checks(features(m).where("status = 'finished'"), m)
+
 @query(BETS + """, pm AS (SELECT league, selection, hit, profit, sum(hit) OVER w AS island, sum(profit) OVER w AS eq FROM x WINDOW w AS (PARTITION BY league ORDER BY kickoff_at, match_id, selection ROWS UNBOUNDED PRECEDING))
 SELECT a.league, n, hits, profit, CASE WHEN l = 0 THEN NULL ELSE round(g / l, 6) END AS profit_factor, longest_losing_streak, best FROM (
   SELECT league, count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, round(sum(profit), 4) AS profit, sum(greatest(profit, 0e0)) AS g, sum(greatest(-profit, 0e0)) AS l, round(max(eq), 4) AS best FROM pm GROUP BY league) a
