@@ -40,6 +40,8 @@ ASIDE_WORDS = frozenset(
 ASIDE_WHOLE = frozenset("header top-bar topbar bottom form aside".split())
 #: Elements that an article's parts consist of: beside the richest part they belong to it, whatever their density.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl figure table".split())
+#: Elements whose text counts as paragraphs where a wrapper is told from what stands aside.
+PARAGRAPHS = frozenset("p blockquote pre".split())
 #: Names that layout wrappers bear too: an article inside shows that the element is such a wrapper.
 LAYOUT_WORDS = frozenset("ad ads banner nav navbar navigation menu sidebar footer masthead header cookie cookies share sharing social login search toolbar form widget".split())
 #: Beginnings of class names that say what a wrapper has or lacks.
@@ -127,9 +129,33 @@ def parse(page: str) -> Node:
             node.aside, at = True, closing.end() if closing else end
         elif tag not in VOID and not found[4].endswith("/"):
             here = node
+    _keep_wrappers(root)
     return root
 
 
+def _keep_wrappers(root: Node) -> None:
+    """On pages that name no article: elements that only their layout name, or form, puts aside are wrappers of the page
+    all the same if their own paragraphs hold over half of its unlinked text."""
+    order, stack = [], [(root, False, False)]
+    while stack:
+        node, linked, prose = stack.pop()
+        if node.tag in ("article", "main") and not node.aside:
+            return
+        order.append((node, linked, prose))
+        for part in node.parts:
+            if isinstance(part, Node) and (not part.aside or part.layout) and part.tag not in RAW:
+                stack.append((part, linked or part.tag == "a", part.tag in PARAGRAPHS or prose and part.tag not in BLOCKS))
+    text, prose_text = {}, {}
+    for node, linked, prose in reversed(order):
+        own = 0 if linked else sum(len("".join(html.unescape(p).split())) for p in node.parts if isinstance(p, str))
+        below = [id(p) for p in node.parts if isinstance(p, Node) and id(p) in text]
+        text[id(node)] = own + sum(text[p] for p in below)
+        prose_text[id(node)] = (own if prose else 0) + sum(prose_text[p] for p in below)
+    for node, *_ in order:
+        if node.aside and 2 * prose_text[id(node)] > text[id(root)]:
+            node.aside = False
+
+
 def _close_before(here: Node, tag: str) -> Node:
     """The node that a start tag goes into, after the elements that it ends."""
     if tag in BLOCKS:
@@ -220,10 +246,46 @@ def main_nodes(nodes: list[Node]) -> list[Node]:
             if isinstance(part, Node) and not part.aside and part not in path and part.chars > 2 * part.link_chars:
                 if part.density >= threshold or part.tag in PROSE and above.tag not in ("body", "html", "#root"):
                     taken.append(part)
-    place = {id(n): i for i, n in enumerate(nodes)}
+    place = {id(n): float(i) for i, n in enumerate(nodes)}
+    for above in [n.parent for n in path if n.parent is not None]:
+        if above.tag not in ("body", "html", "#root"):
+            taken = [n for n in taken if n.parent is not above or n.tag in BLOCKS or n in path]
+            for run in _loose(above, path, place):
+                taken.append(run)
     return sorted(taken, key=lambda n: place[id(n)])
 
 
+def _loose(above: Node, path: list[Node], place: dict[int, float]) -> list[Node]:
+    """The runs of text and inline elements directly in a container that are mostly not linked, each as a node of its
+    own, placed behind what stands before it."""
+    runs, run, last = [], None, place[id(above)]
+    on_path = {id(n) for n in path}
+    for part in above.parts:
+        if isinstance(part, Node) and (part.aside or part.tag in BLOCKS or id(part) in on_path):
+            run = None
+            if not part.aside:
+                end = part
+                while inner := [p for p in end.parts if isinstance(p, Node) and not p.aside]:
+                    end = inner[-1]
+                last = place[id(end)]
+            continue
+        if run is None:
+            run = Node("#loose", above)
+            runs.append(run)
+            place[id(run)] = last + 0.5
+        run.parts.append(part)
+        if isinstance(part, str):
+            run.chars += len("".join(html.unescape(part).split()))
+        else:
+            run.chars += part.chars
+            run.link_chars += part.link_chars
+            end = part
+            while inner := [p for p in end.parts if isinstance(p, Node) and not p.aside]:
+                end = inner[-1]
+            last = place[id(end)]
+    return [r for r in runs if r.chars > 2 * r.link_chars]
+
+
 def _inside(node: Node, tag: str) -> bool:
     up = node.parent
     while up is not None:

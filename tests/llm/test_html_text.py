@@ -52,3 +52,19 @@ def test_extract_keeps_rows_and_other_columns(spark):
     assert out.columns == ["page_id", "url", "text"]
     assert sorted((tuple(r) for r in out.collect()), key=str) == sorted([(1, "u", WANTED), (1, "u", WANTED), (None, None, ""), (3, "v", "")], key=str)
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("wrapper", ["div class='content-with-sidebar'", "div id='page-nav-left'", "form action=/"])
+def test_wrapper_with_a_layout_name_keeps_its_article(wrapper):
+    page = f"<body><div>Site name</div><{wrapper}><div>{ARTICLE}</div><div class=sidebar><p>Other things.</p></div></{wrapper.split()[0]}></body>"
+    assert H.main_text(page) == WANTED
+
+
+def test_sidebar_beside_an_article_stays_out():
+    page = f"<body><div>{ARTICLE}</div><div class=sidebar><p>Some words of a sidebar.</p></div></body>"
+    assert H.main_text(page) == WANTED
+
+
+def test_loose_text_of_containers():
+    page = f"<body><div>Loose <b>words</b> before.<div>{ARTICLE}</div>And some <i>after</i> it. <a href=x>More of this</a></div></body>"
+    assert H.main_text(page) == f"Loose words before.\n\n{WANTED}\n\nAnd some after it. More of this"
