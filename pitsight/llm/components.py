@@ -48,6 +48,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
-    """Edge count and an order-free sum over the edges: equal marks mean that a round changed nothing."""
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-    return row[0], row[1] or 0
+    """Edge count and the sum of the edges' 64-bit hashes: equal marks mean that a round changed nothing."""
+    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+    return row[0], int(row[1] or 0)

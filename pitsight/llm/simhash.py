@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -19,17 +20,31 @@ EVEN_BITS = 0x5555555555555555
 GROUPS = (7, 7, 6, 6, 6)
 #: Points of a grid cell up to which all its pairs are looked at.
 CELL_PAIRS = 48
+#: Near copies: bits of a fingerprint that are nearest to their majority, and so may differ; projected grids; the number
+#: of differing bits up to which a pair is compared word by word; members of a crowded cell that all others are compared
+#: with in one round.
+SOFT, TABLES, NEAR_BITS, LEADERS = 8, 6, 13, 8
 CHUNK = 1 << 16
 
 
-def simhash(text: bytes | None, n: int = 3) -> int:
-    """Signed 64-bit fingerprint: a bit is set if it is set in over half the XXH64 values of the shingles."""
+def bit_counts(text: bytes | None, n: int = 3) -> tuple[np.ndarray, int]:
+    """In how many of the shingles' XXH64 values each bit is set, and the number of shingles."""
     items = shingles(words(text.lower()) if text else [], n)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(items), CHUNK):
         h = np.array(hashes(items[at : at + CHUNK]), np.uint64)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(items), bitorder="little").view(np.int64)[0])
+    return ones, len(items)
+
+
+def packed_bits(bits: np.ndarray) -> int:
+    return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
+
+
+def simhash(text: bytes | None, n: int = 3) -> int:
+    """Signed 64-bit fingerprint: a bit is set if it is set in over half the XXH64 values of the shingles."""
+    ones, total = bit_counts(text, n)
+    return packed_bits(ones * 2 > total)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> DataFrame:
@@ -135,15 +150,169 @@ def fingerprint_text(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without the near copies: of each group the row with the smallest id stays.
+def profiles(docs: DataFrame, text_col: str = "text", n: int = 3) -> DataFrame:
+    """(key, fp, soft) for every row: digest of its text, fingerprint, and a mask of the SOFT bits whose counts are
+    nearest to one half (of equal ones the lowest)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, softs = [], []
+            for text in batch.column(1):
+                ones, total = bit_counts(text.as_py(), n)
+                soft = np.zeros(64, bool)
+                soft[np.argsort(np.abs(2 * ones - total), kind="stable")[:SOFT]] = True
+                fps.append(packed_bits(ones * 2 > total))
+                softs.append(packed_bits(soft))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(softs, pa.int64())], ["key", "fp", "soft"])
+
+    text = F.col(f"`{text_col}`")
+    source = docs.select(text_key(text).alias("key"), text.cast("binary").alias("text"))
+    return source.mapInArrow(run, "key string, fp long, soft long")
+
+
+def text_key(text: Column) -> Column:
+    """Digest that stands for a text; null and empty texts have the same."""
+    return F.md5(F.coalesce(text.cast("binary"), F.lit(b"")))
+
+
+def row_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in docs.columns))
+
+
+def segments_for(points: int) -> int:
+    """Coordinates of a grid: more for more points, so that a cell's chance company stays the same."""
+    return int(min(28, max(8, round(math.log(max(points, 2), 1.6)) - 10)))
+
+
+def boxes(fp: np.ndarray, soft: np.ndarray, segments: int, tables: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the point, cell) for every cell of the projected grids that a point's box touches.
+
+    A point's coordinate in a segment is the number of its set bits, or any number that it would be if soft bits were
+    others: a range of counts. Two points share a cell in a grid exactly if their ranges meet in all its coordinates.
+    """
+    bits = lambda v: np.unpackbits(v.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    on, may = bits(fp), bits(soft)
+    low = (on & ~may & 1).reshape(-1, 32, 2).sum(2, dtype=np.int64)
+    width = (on | may).reshape(-1, 32, 2).sum(2, dtype=np.int64) - low
+    points, cells = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for t in range(tables):
+        of, code = np.arange(len(fp)), np.zeros(len(fp), np.int64)
+        for segment in np.random.default_rng((seed, t)).permutation(32)[:segments]:
+            many = width[of, segment] + 1
+            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            of, code = np.repeat(of, many), np.repeat(code, many)
+            code = code * 3 + low[of, segment] + step
+        points.append(of)
+        cells.append(code * tables + t)
+    return np.concatenate(points), np.concatenate(cells)
+
+
+def candidate_pairs(points: DataFrame, segments: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) with a < b for points (point, fp, soft) that meet in a grid cell and differ in NEAR_BITS or fewer, and the
+    points of crowded cells.
+
+    In a cell of up to CELL_PAIRS points all are compared: the Manhattan distance of the embeddings first, then the
+    Hamming distance. In a larger one each is compared with LEADERS points that a hash names.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 12):
+                part = batch.slice(at, 1 << 12)
+                of, cells = boxes(part.column(1).to_numpy(), part.column(2).to_numpy(), segments, TABLES, seed)
+                place = pa.array(of)
+                yield pa.RecordBatch.from_arrays([pa.array(cells), part.column(0).take(place), part.column(1).take(place)], ["cell", "point", "fp"])
+
+    cells = points.select("point", "fp", "soft").mapInArrow(run, "cell long, point long, fp long")
+    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = cut(cells.join(shared, "cell"))
+    few = met.where(F.col("n") <= CELL_PAIRS).drop("n")
+    many = met.where(F.col("n") > CELL_PAIRS).drop("n")
+    first = [F.min(F.struct(F.xxhash64("point", F.lit(seed * LEADERS + j)).alias("h"), "point", "fp")) for j in range(LEADERS)]
+    leaders = many.groupBy("cell").agg(F.array_distinct(F.array(*first)).alias("leaders")).select("cell", F.explode("leaders").alias("l"))
+    pairs = few.join(few.select("cell", F.col("point").alias("other"), F.col("fp").alias("fp2")), "cell").where("point < other")
+    led = many.join(leaders.select("cell", F.col("l.point").alias("other"), F.col("l.fp").alias("fp2")), "cell").where("point != other")
+    near = (
+        pairs.union(led)
+        .where(F.bit_count(thermometer(F.col("fp")).bitwiseXOR(thermometer(F.col("fp2")))) <= NEAR_BITS)
+        .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= NEAR_BITS)
+    )
+    return near.select(F.least("point", "other").alias("a"), F.greatest("point", "other").alias("b")).distinct(), many.select("point").distinct()
+
+
+def shingle_set(text: bytes | None, n: int) -> frozenset[bytes]:
+    return frozenset(shingles(words((text or b"").lower()), n))
+
+
+def similar_pairs(pairs: DataFrame, points: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Those pairs (a, b) whose texts share at least the given part of all their distinct n-word shingles.
+
+    texts: (key, text) of every row. Only texts that some pair names are shuffled, each once for its pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, frozenset()
+        for batch in batches:
+            good = []
+            for a, left, right in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                if a != last:
+                    last, held = a, shingle_set(left, n)
+                other = shingle_set(right, n)
+                both = len(held & other)
+                good.append(both >= similarity * (len(held) + len(other) - both) - 1e-9)
+            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+
+    named = pairs.select(F.explode(F.array("a", "b")).alias("point")).distinct().join(points.select("point", "key"), "point")
+    needed = cut(texts.join(named, "key").dropDuplicates(["point"]).select("point", "text"))
+    left, right = (needed.select(F.col("point").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, text_col: str = "text", n: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(key, root): the component of every distinct text (text_key()), links being pairs of texts whose sets of n-word
+    shingles have at least the given Jaccard similarity.
+
+    Fingerprints find the pairs, the words decide: no pair below the similarity is linked; of those above it a small part
+    isn't found (the README has the measured recall). Equal texts are one point. After a round, the points of crowded
+    cells that no smaller one has taken on go through another with finer grids and other leaders, until no cell is
+    crowded, or the finest grids link no more.
+    """
+    distinct = profiles(docs, text_col).groupBy("key").agg(F.min("fp").alias("fp"), F.min("soft").alias("soft"))
+    points = cut(distinct.withColumn("point", F.monotonically_increasing_id()))
+    text = F.col(f"`{text_col}`")
+    texts = docs.select(text_key(text).alias("key"), text.cast("binary").alias("text"))
+    active, links = points, None
+    segments = segments_for(points.count())
+    for turn in count():
+        pairs, crowded = candidate_pairs(active, segments, turn)
+        found = cut(similar_pairs(cut(pairs), points, texts, n, similarity))
+        links = found if links is None else links.union(found)
+        left = cut(crowded.join(found.select(F.col("b").alias("point")).distinct(), "point", "left_anti"))
+        if left.isEmpty() or segments >= 28 and found.isEmpty():
+            break
+        active, segments = points.join(left, "point", "left_semi"), min(28, segments + 3)
+    labels = connected_components(links)
+    return points.join(labels, points["point"] == labels["node"], "left").select("key", F.coalesce("root", "point").alias("root"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs without near copies: of the rows whose texts are linked (near_copies()), one stays, that with
+    the smallest id; null ids come last, ties are decided by digests of text and row.
 
-    Rows with a null id stay. Of rows that repeat the id of a kept row, one stays.
+    Rows are told apart by all their columns, not by id: different texts under one id are different documents. Null and
+    empty texts are copies of each other. Of rows equal in all columns one stays. An empty table gives no rows. Texts
+    are shuffled only where the rows to remove don't fit a broadcast that Spark has sized.
     """
-    groups = near_duplicate_groups(docs, id_col, text_col)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
-    repeats = groups.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
-    if repeats.isEmpty():
+    rooted = near_copies(docs, text_col, n, similarity)
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    listed = docs.select(text_key(text).alias("key"), row_hash(docs).alias("row"), id_.alias("id"))
+    each = cut(listed.groupBy("key", "row").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).join(rooted, "key"))
+    stays = each.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "row")).alias("first"))
+    judged = each.join(stays, "root").withColumn("kept", (F.col("key") == F.col("first.key")) & (F.col("row") == F.col("first.row")))
+    gone = judged.where(~F.col("kept")).select(F.col("key").alias("__key"), F.col("row").alias("__row"))
+    repeated = cut(judged.where(F.col("kept") & (F.col("n") > 1)).select(F.col("key").alias("__key"), F.col("row").alias("__row")))
+    on = (F.col("__key") == text_key(text)) & (F.col("__row") == row_hash(docs))
+    kept = docs.join(gone, on, "left_anti")
+    if repeated.isEmpty():
         return kept
-    return kept.where(F.col(id_col).isNull()).union(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    return kept.join(repeated, on, "left_anti").union(docs.join(repeated, on, "left_semi").dropDuplicates())
