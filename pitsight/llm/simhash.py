@@ -21,9 +21,9 @@ GROUPS = (7, 7, 6, 6, 6)
 #: Points of a grid cell up to which all its pairs are looked at.
 CELL_PAIRS = 48
 #: Near copies: bits of a fingerprint that are nearest to their majority, and so may differ; projected grids; the number
-#: of differing bits up to which a pair is compared word by word; members of a crowded cell that all others are compared
-#: with in one round.
-SOFT, TABLES, NEAR_BITS, LEADERS = 8, 6, 13, 8
+#: of differing bits up to which a pair is compared word by word; points of a cell that are all compared; points that the
+#: members of a larger one are compared with in a round; candidates of a point that are looked at first.
+SOFT, TABLES, NEAR_BITS, NEAR_CELL, LEADERS, BEST = 8, 6, 13, 8, 2, 3
 CHUNK = 1 << 16
 
 
@@ -184,60 +184,75 @@ def segments_for(points: int) -> int:
     return int(min(28, max(8, round(math.log(max(points, 2), 1.6)) - 10)))
 
 
-def boxes(fp: np.ndarray, soft: np.ndarray, segments: int, tables: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the point, cell) for every cell of the projected grids that a point's box touches.
+def table_segments(table: int, segments: int, seed: int) -> np.ndarray:
+    """The segments that a grid's coordinates come from."""
+    return np.random.default_rng((seed, table)).permutation(32)[:segments]
+
+
+def table_mask(table: int, segments: int, seed: int) -> int:
+    return _signed(sum(3 << 2 * int(segment) for segment in table_segments(table, segments, seed)))
+
+
+def boxes(fp: np.ndarray, soft: np.ndarray, segments: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(grid, place of the point, cell) for all cells of the projected grids that the points' boxes touch.
 
     A point's coordinate in a segment is the number of its set bits, or any number that it would be if soft bits were
-    others: a range of counts. Two points share a cell in a grid exactly if their ranges meet in all its coordinates.
+    others: a range of counts. Two points share a cell in a grid exactly if their ranges meet in all its coordinates. A
+    cell is named by its counts in unary, as in thermometer().
     """
     bits = lambda v: np.unpackbits(v.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     on, may = bits(fp), bits(soft)
     low = (on & ~may & 1).reshape(-1, 32, 2).sum(2, dtype=np.int64)
     width = (on | may).reshape(-1, 32, 2).sum(2, dtype=np.int64) - low
-    points, cells = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for t in range(tables):
-        of, code = np.arange(len(fp)), np.zeros(len(fp), np.int64)
-        for segment in np.random.default_rng((seed, t)).permutation(32)[:segments]:
+    for table in range(TABLES):
+        of, cell = np.arange(len(fp)), np.zeros(len(fp), np.uint64)
+        for segment in table_segments(table, segments, seed):
             many = width[of, segment] + 1
             step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            of, code = np.repeat(of, many), np.repeat(code, many)
-            code = code * 3 + low[of, segment] + step
-        points.append(of)
-        cells.append(code * tables + t)
-    return np.concatenate(points), np.concatenate(cells)
+            of, cell = np.repeat(of, many), np.repeat(cell, many)
+            unary = ((1 << low[of, segment] + step) - 1).astype(np.uint64)
+            cell = cell | unary << np.uint64(2 * segment)
+        yield table, of, cell.view(np.int64)
 
 
 def candidate_pairs(points: DataFrame, segments: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b) with a < b for points (point, fp, soft) that meet in a grid cell and differ in NEAR_BITS or fewer, and the
-    points of crowded cells.
+    """(member, other, d) for points (fp, soft) that meet in a grid cell and differ in d <= NEAR_BITS bits, and (fp) of
+    the points in cells where not all were compared.
 
-    In a cell of up to CELL_PAIRS points all are compared: the Manhattan distance of the embeddings first, then the
-    Hamming distance. In a larger one each is compared with LEADERS points that a hash names.
+    In a cell of up to NEAR_CELL points all are compared: the Manhattan distance of the embeddings first, then the
+    Hamming distance. A pair that shares several cells of a grid is compared in the one with the smallest coordinates
+    that both have. In a larger cell, members are compared with LEADERS points that hashes name. So a point has a bounded
+    number of candidates for each of its cells, however large a group of near copies is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1 << 12):
-                part = batch.slice(at, 1 << 12)
-                of, cells = boxes(part.column(1).to_numpy(), part.column(2).to_numpy(), segments, TABLES, seed)
-                place = pa.array(of)
-                yield pa.RecordBatch.from_arrays([pa.array(cells), part.column(0).take(place), part.column(1).take(place)], ["cell", "point", "fp"])
-
-    cells = points.select("point", "fp", "soft").mapInArrow(run, "cell long, point long, fp long")
-    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = cut(cells.join(shared, "cell"))
-    few = met.where(F.col("n") <= CELL_PAIRS).drop("n")
-    many = met.where(F.col("n") > CELL_PAIRS).drop("n")
-    first = [F.min(F.struct(F.xxhash64("point", F.lit(seed * LEADERS + j)).alias("h"), "point", "fp")) for j in range(LEADERS)]
-    leaders = many.groupBy("cell").agg(F.array_distinct(F.array(*first)).alias("leaders")).select("cell", F.explode("leaders").alias("l"))
-    pairs = few.join(few.select("cell", F.col("point").alias("other"), F.col("fp").alias("fp2")), "cell").where("point < other")
-    led = many.join(leaders.select("cell", F.col("l.point").alias("other"), F.col("l.fp").alias("fp2")), "cell").where("point != other")
+            for at in range(0, batch.num_rows, 1 << 10):
+                part = batch.slice(at, 1 << 10)
+                for table, of, cells in boxes(part.column(0).to_numpy(), part.column(1).to_numpy(), segments, seed):
+                    place = pa.array(of)
+                    columns = [pa.array(np.full(len(of), table, np.int8)), pa.array(cells), part.column(0).take(place), part.column(2).take(place)]
+                    yield pa.RecordBatch.from_arrays(columns, ["g", "cell", "fp", "low"])
+
+    low = thermometer(F.col("fp").bitwiseAND(F.bitwise_not("soft")))
+    cells = points.select("fp", "soft", low.alias("low")).mapInArrow(run, "g byte, cell long, fp long, low long")
+    shared = cells.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = cut(cells.join(shared, ["g", "cell"]))
+    few = met.where(F.col("n") <= NEAR_CELL).drop("n")
+    many = met.where(F.col("n") > NEAR_CELL).select("g", "cell", "fp")
+    masks = F.array(*(F.lit(table_mask(t, segments, seed)) for t in range(TABLES)))
+    first = (F.col("low").bitwiseOR(F.col("low2")).bitwiseAND(F.element_at(masks, F.col("g") + 1))) == F.col("cell")
+    pairs = few.join(few.select("g", "cell", F.col("fp").alias("other"), F.col("low").alias("low2")), ["g", "cell"]).where(F.col("fp") > F.col("other")).where(first)
+    named = [F.min(F.struct(F.xxhash64("fp", F.lit(seed * LEADERS + j)).alias("h"), "fp"))["fp"] for j in range(LEADERS)]
+    leaders = many.groupBy("g", "cell").agg(F.array_distinct(F.array(*named)).alias("leaders")).select("g", "cell", F.explode("leaders").alias("other"))
+    led = many.join(leaders, ["g", "cell"]).where(F.col("fp") != F.col("other"))
     near = (
-        pairs.union(led)
-        .where(F.bit_count(thermometer(F.col("fp")).bitwiseXOR(thermometer(F.col("fp2")))) <= NEAR_BITS)
-        .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= NEAR_BITS)
+        pairs.select("fp", "other").union(led.select("fp", "other"))
+        .where(F.bit_count(thermometer(F.col("fp")).bitwiseXOR(thermometer(F.col("other")))) <= NEAR_BITS)
+        .withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))))
+        .where(F.col("d") <= NEAR_BITS)
     )
-    return near.select(F.least("point", "other").alias("a"), F.greatest("point", "other").alias("b")).distinct(), many.select("point").distinct()
+    return near.distinct().withColumnRenamed("fp", "member"), many.select("fp").distinct()
 
 
 def shingle_set(text: bytes | None, n: int) -> frozenset[bytes]:
@@ -245,19 +260,20 @@ def shingle_set(text: bytes | None, n: int) -> frozenset[bytes]:
 
 
 def similar_pairs(pairs: DataFrame, points: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
-    """Those pairs (a, b) whose texts share at least the given part of all their distinct n-word shingles.
+    """Those pairs (a, b) of points whose texts share at least the given part of all their distinct n-word shingles.
 
-    texts: (key, text) of every row. Only texts that some pair names are shuffled, each once for its pairs.
+    texts: (key, text) of every row. Only texts that some pair names are shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, frozenset()
         for batch in batches:
             good = []
-            for a, left, right in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+            for i in range(batch.num_rows):
+                a = batch.column(0)[i].as_py()
                 if a != last:
-                    last, held = a, shingle_set(left, n)
-                other = shingle_set(right, n)
+                    last, held = a, shingle_set(batch.column(2)[i].as_py(), n)
+                other = shingle_set(batch.column(3)[i].as_py(), n)
                 both = len(held & other)
                 good.append(both >= similarity * (len(held) + len(other) - both) - 1e-9)
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
@@ -273,24 +289,41 @@ def near_copies(docs: DataFrame, text_col: str = "text", n: int = 5, similarity:
     shingles have at least the given Jaccard similarity.
 
     Fingerprints find the pairs, the words decide: no pair below the similarity is linked; of those above it a small part
-    isn't found (the README has the measured recall). Equal texts are one point. After a round, the points of crowded
-    cells that no smaller one has taken on go through another with finer grids and other leaders, until no cell is
-    crowded, or the finest grids link no more.
+    isn't found (the README has the measured recall). Equal texts are one point, and so are, for the search, texts with
+    one fingerprint. Of each point's candidates the BEST nearest are compared first; then those that would still join two
+    components. After a round, the points of crowded cells that nothing was found for, and the most linked point of
+    every component, go through another with finer grids and other leaders, until no cell is crowded or nothing is found.
     """
     distinct = profiles(docs, text_col).groupBy("key").agg(F.min("fp").alias("fp"), F.min("soft").alias("soft"))
     points = cut(distinct.withColumn("point", F.monotonically_increasing_id()))
     text = F.col(f"`{text_col}`")
     texts = docs.select(text_key(text).alias("key"), text.cast("binary").alias("text"))
-    active, links = points, None
-    segments = segments_for(points.count())
+    nodes = cut(points.groupBy("fp").agg(F.min("point").alias("node"), F.min("soft").alias("soft")))
+    alike = points.join(nodes.select("fp", "node"), "fp").where(F.col("point") != F.col("node")).select(F.col("point").alias("b"), F.col("node").alias("a"), F.lit(0).alias("d"))
+    member, other = (nodes.select(F.col("fp").alias(c), F.col("node").alias(p)) for c, p in (("member", "b"), ("other", "a")))
+    active, segments = nodes, segments_for(nodes.count())
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
     for turn in count():
-        pairs, crowded = candidate_pairs(active, segments, turn)
-        found = cut(similar_pairs(cut(pairs), points, texts, n, similarity))
-        links = found if links is None else links.union(found)
-        left = cut(crowded.join(found.select(F.col("b").alias("point")).distinct(), "point", "left_anti"))
-        if left.isEmpty() or segments >= 28 and found.isEmpty():
+        found, crowded = candidate_pairs(active, segments, turn)
+        pairs = found.join(member, "member").join(other, "other").select("b", "a", "d")
+        pairs = cut(pairs if turn else pairs.union(alike))
+        nearest = F.slice(F.sort_array(F.collect_list(F.struct("d", "a"))), 1, BEST)
+        best = pairs.groupBy("b").agg(nearest.alias("to")).select("b", F.explode("to").alias("t")).select("b", "t.a")
+        new = cut(similar_pairs(best, points, texts, n, similarity))
+        roots = connected_components(links.union(new))
+        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        apart = ~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b"))
+        left = cut(pairs.select("b", "a").join(best, ["b", "a"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("a", "b"))
+        if not left.isEmpty():
+            new = cut(new.union(similar_pairs(left, points, texts, n, similarity)))
+        links = links.union(new)
+        if new.isEmpty() or crowded.isEmpty():
             break
-        active, segments = points.join(left, "point", "left_semi"), min(28, segments + 3)
+        degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+        hubs = connected_components(links).join(degrees, "node").groupBy("root").agg(F.max_by("node", F.struct("degree", "node")).alias("node")).select("node")
+        waiting = nodes.join(crowded, "fp", "left_semi")
+        active = cut(waiting.join(degrees, "node", "left_anti").union(waiting.join(hubs, "node", "left_semi")))
+        segments = min(28, segments + 3)
     labels = connected_components(links)
     return points.join(labels, points["point"] == labels["node"], "left").select("key", F.coalesce("root", "point").alias("root"))
 

@@ -195,7 +195,7 @@ def test_crowded_cells_of_near_copies(spark, monkeypatch):
         for _ in range(4):
             copy[rng.randrange(600)] = "n%d" % i
         rows.append((i, " ".join(copy), "en", "x"))
-    monkeypatch.setattr(simhash, "CELL_PAIRS", 10)
+    monkeypatch.setattr(simhash, "NEAR_CELL", 4)
     assert [r["doc_id"] for r in simhash.keep_one_of_each(spark.createDataFrame(rows, DOCS)).collect()] == [0]
 
 
