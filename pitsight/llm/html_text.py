@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,271 +29,339 @@ ENDS = {
     "th": ({"td", "th"}, {"table", "tr"}),
     "option": ({"option"}, {"select"}),
 }
-#: Elements and class, id or role words whose content isn't the page's main text.
-ASIDE = frozenset("nav header footer aside form button select menu dialog svg canvas object audio video map search".split())
-ASIDE_WORDS = frozenset(
+#: Elements whose content is never text of the page, whatever it holds.
+NEVER = RAW | frozenset("button select svg canvas object audio video map".split())
+#: Elements, and class, id or role words, that mark what stands around a main text. Marked text counts as linked: it adds
+#: nothing to densities, and where it makes up most of an element, densities leave that out.
+MARKED = frozenset("nav header footer aside form menu dialog search".split())
+MARKED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice notices popup modal newsletter subscribe "
     "subscription share sharing social related recommended comment comments commentlist disqus respond reply replies widget pagination "
     "pager toolbar login signup search skip contentinfo complementary dialog alert".split()
 )
-#: Words that count only where they are the whole class, id or role.
-ASIDE_WHOLE = frozenset("header top-bar topbar bottom form aside".split())
-#: Elements that an article's parts consist of: beside the richest part they belong to it, whatever their density.
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl figure table".split())
-#: Elements whose text counts as paragraphs where a wrapper is told from what stands aside.
-PARAGRAPHS = frozenset("p blockquote pre".split())
-#: Names that layout wrappers bear too: an article inside shows that the element is such a wrapper.
+#: Words that mark only where they are the whole class, id or role.
+MARKED_WHOLE = frozenset("header top-bar topbar bottom form aside".split())
+#: Words beside a marking one that leave its sense as it is.
+NEUTRAL = frozenset(
+    "box list item bar area block section container wrapper wrap inner outer left right top bottom main site page link links button buttons "
+    "icon icons unit slot module panel col column row thread title text sticky group zone global primary secondary".split()
+)
+#: Marking words that wrappers of the whole layout bear too.
 LAYOUT_WORDS = frozenset("ad ads banner nav navbar navigation menu sidebar footer masthead header cookie cookies share sharing social login search toolbar form widget".split())
 #: Beginnings of class names that say what a wrapper has or lacks.
 ABOUT = ("has-", "with-", "no-", "without-", "tag-", "category-")
 #: What an article or main element is called when it is no article.
 NOT_ARTICLE = frozenset("comment comments reply replies respond related recommended promo sponsored advert advertisement ad".split())
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Elements whose text counts as paragraphs where a wrapper is told from what stands around.
+PARAGRAPHS = frozenset("p blockquote pre".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that a running text consists of. In the containers that the densest part lies in, they, and loose text,
+#: need SIBLING of the threshold.
+PROSE = HEADINGS | PARAGRAPHS | frozenset("ul ol dl figure table".split())
+SIBLING = 1 / 32
+#: Elements within each other that the tree holds; what lies deeper belongs to the innermost one.
+DEPTH = 512
+
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-NAMES = re.compile(r"[^\s]+")
 PARTS = re.compile(r"[a-z]+|[0-9]+")
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 SPACES = re.compile(r"\s+")
+#: What is said of an element: nothing, that its name may be a wrapper's, that it stands around, that it is no text.
+PLAIN, WEAK, STRONG, NO_TEXT = range(4)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "aside", "layout", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "mark", "chars", "tags", "link_chars", "link_tags", "density", "total", "place")
 
-    def __init__(self, tag: str, parent: Node | None, aside: bool = False, layout: bool = False) -> None:
-        self.tag, self.parent, self.aside, self.layout, self.parts = tag, parent, aside, layout, []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+    def __init__(self, tag: str, parent: Node | None, mark: int = PLAIN) -> None:
+        self.tag, self.parent, self.mark, self.parts = tag, parent, mark, []
+        self.chars = self.tags = self.link_chars = self.link_tags = self.place = 0
         self.density = self.total = 0.0
 
+    def nodes(self) -> list[Node]:
+        return [part for part in self.parts if isinstance(part, Node) and part.mark != NO_TEXT]
+
 
-def is_aside(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is markup around the article: by its name, its class, id or role, or because it is hidden;
-    and whether it may be a wrapper of the layout all the same, which an article inside would show."""
-    if tag in ASIDE:
-        return True, tag == "form"
+def mark_of(tag: str, attributes: str) -> int:
+    """What an element's name, class, id and role say of it. A name with other words beside the marking one, or one that
+    layouts use, is WEAK."""
+    if tag in NEVER:
+        return NO_TEXT
+    mark = (WEAK if tag == "form" else STRONG) if tag in MARKED else PLAIN
     if not attributes.strip():
-        return False, False
+        return mark
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True, False
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True, False
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
+            return NO_TEXT
         if name in ("class", "id", "role") and tag not in ("html", "body"):
-            for whole in NAMES.findall(value):
-                parts = PARTS.findall(whole)
+            for whole in value.split():
+                parts = set(PARTS.findall(whole))
+                marking = parts & MARKED_WORDS
                 if tag in ("article", "main"):
-                    if parts and parts[0] in NOT_ARTICLE:
-                        return True, False
-                elif not whole.startswith(ABOUT) and (whole in ASIDE_WHOLE or not ASIDE_WORDS.isdisjoint(parts)):
-                    return True, ASIDE_WORDS.isdisjoint(set(parts) - LAYOUT_WORDS)
-    return False, False
+                    mark = STRONG if parts & NOT_ARTICLE else mark
+                elif whole.startswith(ABOUT):
+                    continue
+                elif whole in MARKED_WHOLE:
+                    mark = max(mark, WEAK)
+                elif marking:
+                    known = all(part in MARKED_WORDS or part in NEUTRAL or part.isdigit() for part in parts)
+                    mark = max(mark, STRONG if known and not marking <= LAYOUT_WORDS else WEAK)
+    return mark
+
+
+class Builder:
+    """The tree of a page, built tag by tag."""
+
+    def __init__(self) -> None:
+        self.root = self.here = Node("#root", None)
+        self.depth, self.open, self.deeper = 0, Counter(), Counter()
+
+    def text(self, raw: str) -> None:
+        self.here.parts.append(html.unescape(raw))
+
+    def climb(self, to: Node) -> None:
+        while self.here is not to:
+            self.open[self.here.tag] -= 1
+            self.here, self.depth = self.here.parent, self.depth - 1
+
+    def start(self, tag: str, attributes: str, closed: bool) -> Node:
+        self.climb(self._close_before(tag))
+        node = Node(tag, self.here, mark_of(tag, attributes))
+        self.here.parts.append(node)
+        if tag in ("article", "main") and node.mark == PLAIN:
+            up = self.here
+            while up is not None:
+                # What holds an article is a wrapper.
+                up.mark = PLAIN if up.mark == WEAK else up.mark
+                up = up.parent
+        if not closed:
+            if self.depth < DEPTH:
+                self.here, self.depth = node, self.depth + 1
+                self.open[tag] += 1
+            else:
+                self.deeper[tag] += 1
+        return node
+
+    def end(self, tag: str) -> None:
+        if self.deeper[tag]:
+            self.deeper[tag] -= 1
+            self.here.parts.append(Node(tag, self.here))
+        elif self.open[tag]:
+            up = self.here
+            while up.tag != tag:
+                if tag not in BLOCKS and up.tag in BLOCKS:
+                    return
+                up = up.parent
+            self.climb(up.parent)
+        elif tag == "p":
+            self.here.parts.append(Node("p", self.here))
+
+    def _close_before(self, tag: str) -> Node:
+        """The node that a start tag goes into, after the elements that it ends."""
+        here = self.here
+        if tag in BLOCKS and self.open["p"]:
+            up = here
+            while up.parent is not None and up.tag not in BLOCKS:
+                up = up.parent
+            if up.tag == "p":
+                here = up.parent
+        if tag in ENDS:
+            ended, stop = ENDS[tag]
+            up, last = here, None
+            while up.parent is not None and up.tag not in stop:
+                if up.tag in ended:
+                    last = up
+                up = up.parent
+            if last is not None:
+                here = last.parent
+        return here
 
 
 def parse(page: str) -> Node:
-    """The page's tree. End tags without a start are passed over, unclosed elements end with their parents, raw text
-    elements end at their own end tag; a page that breaks off just ends there."""
-    root = Node("#root", None)
-    at, here, end = 0, root, len(page)
+    """The page's tree, in one pass. End tags without a start are passed over, unclosed elements end with their parents,
+    raw text elements end at their own end tag, a tag without an end is the end of the page."""
+    made, at, end, closings = Builder(), 0, len(page), {}
     while at < end:
-        found = TOKEN.search(page, at)
-        if found is None:
-            here.parts.append(page[at:])
+        opening = page.find("<", at)
+        if opening < 0:
+            made.text(page[at:])
             break
-        if found.start() > at:
-            here.parts.append(page[at : found.start()])
-        at = found.end()
-        if found[1] is not None:
-            here.parts.append(html.escape(found[1], quote=False))
-        if found[3] is None:
+        name = NAME.match(page, opening + 1)
+        if name is None and page[opening + 1 : opening + 2] not in ("!", "?"):
+            made.text(page[at : opening + 1])
+            at = opening + 1
             continue
-        tag = found[3].lower()
-        if found[2]:
-            up = here
-            while up.parent is not None and up.tag != tag:
-                up = up.parent if tag in BLOCKS or up.tag not in BLOCKS else root
-            if up.parent is not None:
-                here = up.parent
-            elif tag == "p":
-                here.parts.append(Node("p", here))
+        if opening > at:
+            made.text(page[at:opening])
+        if name is None:
+            cdata = page.startswith("<![CDATA[", opening)
+            mark = "-->" if page.startswith("<!--", opening) else "]]>" if cdata else ">"
+            closing = page.find(mark, opening + 4 if mark == "-->" else opening)
+            if cdata:
+                made.here.parts.append(page[opening + 9 : closing if closing >= 0 else end])
+            at = closing + len(mark) if closing >= 0 else end
             continue
-        here = _close_before(here, tag)
-        node = Node(tag, here, *is_aside(tag, found[4]))
-        here.parts.append(node)
-        if tag in ("article", "main") and not node.aside:
-            up = here
-            while up is not None:
-                up.aside = up.aside and not up.layout
-                up = up.parent
+        # A quoted value may hold the sign that ends the tag; where quotes don't close, the next such sign ends it.
+        rest = REST.match(page, name.end(), min(end, name.end() + (1 << 16)))
+        closing = rest.end() - 1 if rest else page.find(">", name.end())
+        if closing < 0:
+            break
+        attributes, at, tag = page[name.end() : closing], closing + 1, name[0].lower()
+        if tag[0] == "/":
+            made.end(tag[1:])
+            continue
+        node = made.start(tag, attributes, tag in VOID or tag in RAW)
         if tag in RAW:
-            closing = re.compile(f"</{re.escape(tag)}(?![a-zA-Z0-9])[^>]*>", re.I).search(page, at)
-            node.aside, at = True, closing.end() if closing else end
-        elif tag not in VOID and not found[4].endswith("/"):
-            here = node
-    _keep_wrappers(root)
-    return root
+            if tag not in closings or closings[tag] is not None:
+                closings[tag] = re.compile(f"</{re.escape(tag)}(?![a-zA-Z0-9])[^>]*>", re.I).search(page, at)
+            node.mark, at = NO_TEXT, closings[tag].end() if closings[tag] else end
+    _unmark_wrappers(made.root)
+    return made.root
+
+
+def _letters(text: str) -> int:
+    return len("".join(text.split()))
 
 
-def _keep_wrappers(root: Node) -> None:
-    """On pages that name no article: elements that only their layout name, or form, puts aside are wrappers of the page
-    all the same if their own paragraphs hold over half of its unlinked text."""
+def _unmark_wrappers(root: Node) -> None:
+    """Elements whose name is only a weak mark are wrappers of the page all the same if their own paragraphs hold over
+    half of its unlinked text that isn't marked for certain."""
     order, stack = [], [(root, False, False)]
     while stack:
         node, linked, prose = stack.pop()
-        if node.tag in ("article", "main") and not node.aside:
-            return
         order.append((node, linked, prose))
-        for part in node.parts:
-            if isinstance(part, Node) and (not part.aside or part.layout) and part.tag not in RAW:
-                stack.append((part, linked or part.tag == "a", part.tag in PARAGRAPHS or prose and part.tag not in BLOCKS))
+        stack.extend((n, linked or n.tag == "a", n.tag in PARAGRAPHS or prose and n.tag not in BLOCKS) for n in node.nodes() if n.mark != STRONG)
+    if not any(node.mark == WEAK for node, *_ in order):
+        return
     text, prose_text = {}, {}
     for node, linked, prose in reversed(order):
-        own = 0 if linked else sum(len("".join(html.unescape(p).split())) for p in node.parts if isinstance(p, str))
-        below = [id(p) for p in node.parts if isinstance(p, Node) and id(p) in text]
-        text[id(node)] = own + sum(text[p] for p in below)
-        prose_text[id(node)] = (own if prose else 0) + sum(prose_text[p] for p in below)
+        own = 0 if linked else sum(_letters(p) for p in node.parts if isinstance(p, str))
+        below = [id(n) for n in node.nodes() if id(n) in text]
+        text[id(node)] = own + sum(text[n] for n in below)
+        prose_text[id(node)] = (own if prose else 0) + sum(prose_text[n] for n in below)
     for node, *_ in order:
-        if node.aside and 2 * prose_text[id(node)] > text[id(root)]:
-            node.aside = False
-
-
-def _close_before(here: Node, tag: str) -> Node:
-    """The node that a start tag goes into, after the elements that it ends."""
-    if tag in BLOCKS:
-        up = here
-        while up.parent is not None and up.tag not in BLOCKS:
-            up = up.parent
-        if up.tag == "p":
-            here = up.parent
-    if tag in ENDS:
-        ended, stop = ENDS[tag]
-        up, last = here, None
-        while up.parent is not None and up.tag not in stop:
-            if up.tag in ended:
-                last = up
-            up = up.parent
-        if last is not None:
-            here = last.parent
-    return here
+        if node.mark == WEAK and 2 * prose_text[id(node)] > text[id(root)]:
+            node.mark = PLAIN
 
 
 def in_order(root: Node) -> list[Node]:
-    """The nodes outside of what stands aside, parents first."""
+    """The nodes of a tree that can have text, parents first."""
     out, stack = [], [root]
     while stack:
         node = stack.pop()
+        node.place = len(out)
         out.append(node)
-        stack.extend(p for p in reversed(node.parts) if isinstance(p, Node) and not p.aside)
+        stack.extend(reversed(node.nodes()))
     return out
 
 
+def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, body_ratio: float) -> float:
+    """Characters for each tag, times a logarithm of how few of both are links, to a base that grows with the links."""
+    if not chars:
+        return 0.0
+    tags = max(tags, 1)
+    base = math.log(chars * link_chars / max(chars - link_chars, 1) + body_ratio * chars + math.e)
+    return chars / tags * math.log(max(chars / max(link_chars, 1) * tags / max(link_tags, 1), 1.0)) / max(math.log(max(base, math.e)), 1.0)
+
+
 def measure(nodes: list[Node]) -> None:
-    """Characters, tags, link characters and link tags of every subtree, its composite text density, and the sum of
-    its children's densities."""
+    """Characters, tags, link characters and link tags of every subtree, its composite text density, and for every node
+    with blocks in it the sum of its children's densities; loose text between them counts as a child."""
     for node in reversed(nodes):
-        linked = node.tag == "a"
         for part in node.parts:
             if isinstance(part, str):
-                node.chars += len("".join(html.unescape(part).split()))
-            elif not part.aside:
+                node.chars += _letters(part)
+            elif part.mark != NO_TEXT:
                 node.chars += part.chars
                 node.tags += part.tags + 1
                 node.link_chars += part.link_chars
                 node.link_tags += part.link_tags + (part.tag == "a")
-        if linked:
+        if node.tag == "a" or node.mark:
             node.link_chars = node.chars
-    body = next((n for n in nodes if n.tag == "body"), nodes[0])
-    body_ratio = body.link_chars / max(body.chars, 1)
+        if node.mark:
+            node.link_tags = max(node.tags, 1)
+    body = _body(nodes)
+    ratio = body.link_chars / max(body.chars, 1)
     for node in nodes:
-        if not node.chars:
-            continue
-        tags, link_chars, link_tags = max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
-        other = max(node.chars - node.link_chars, 1)
-        base = math.log(node.chars * node.link_chars / other + body_ratio * node.chars + math.e)
-        argument = node.chars * tags / (link_chars * link_tags)
-        node.density = node.chars / tags * math.log(max(argument, 1.0)) / max(math.log(max(base, 1.0 + 1e-9)), 1.0) if base > 0 else 0.0
+        node.density = composite_density(node.chars, node.tags, node.link_chars, node.link_tags, ratio)
     for node in nodes:
-        node.total = sum(p.density for p in node.parts if isinstance(p, Node) and not p.aside)
+        if any(part.tag in BLOCKS for part in node.nodes()) and not node.mark:
+            node.total = sum(part.density for part in node.nodes() if part.tag in BLOCKS)
+            node.total += sum(composite_density(run.chars, run.tags, run.link_chars, run.link_tags, ratio) for run in loose_runs(node))
+
+
+def _body(nodes: list[Node]) -> Node:
+    return next((n for n in nodes if n.tag == "body"), nodes[0])
+
+
+def loose_runs(node: Node) -> list[Node]:
+    """The runs of text and inline elements directly in a node that holds blocks, each as a node of its own, whose place
+    is behind what stands before it."""
+    runs, run, last = [], None, node.place
+    for part in node.parts:
+        if isinstance(part, Node) and part.mark != NO_TEXT and part.tag in BLOCKS:
+            run, last = None, part.place + part.tags
+        elif isinstance(part, str) and not part.strip():
+            if run is not None:
+                run.parts.append(part)
+        elif isinstance(part, str) or part.mark != NO_TEXT:
+            if run is None:
+                run = Node("#loose", node)
+                run.place = last + 0.5
+                runs.append(run)
+            run.parts.append(part)
+            if isinstance(part, str):
+                run.chars += _letters(part)
+            else:
+                run.chars, run.tags, last = run.chars + part.chars, run.tags + part.tags + 1, part.place + part.tags
+                run.link_chars, run.link_tags = run.link_chars + part.link_chars, run.link_tags + part.link_tags + (part.tag == "a")
+    return [r for r in runs if r.chars]
+
+
+def around(node: Node) -> bool:
+    """Whether a block in the main text is none of it: its characters are mostly links or marked. Headings, and blocks
+    with one link only, stay."""
+    if node.mark == PLAIN and (node.tag in HEADINGS or node.link_tags < 2 and node.tag != "#loose"):
+        return False
+    return node.tag in BLOCKS | {"#loose"} and 2 * node.link_chars > node.chars or node.mark != PLAIN
 
 
 def main_nodes(nodes: list[Node]) -> list[Node]:
     """The subtrees that hold the main text, in page order.
 
-    The node with the largest sum of child densities is taken first. The smallest density on its path from the body is
-    the threshold: below every node on that path, a child outside of it that reaches the threshold, holds mostly text
-    that isn't linked is main text too, as is a heading, paragraph or list beside the richest part in a container of
-    the page's body. Without any element that sums up, the whole page is taken.
+    The node with the largest sum of child densities is taken (of equal ones the outermost). The smallest density on the
+    path from the body to it is the threshold: a block beside that path which reaches it is main text too. In the
+    containers on the path below the body, headings, paragraphs, lists and loose text need SIBLING of it. Pages without
+    any block that sums up are taken whole.
     """
+    body = _body(nodes)
+    ratio = body.link_chars / max(body.chars, 1)
     best = max(nodes, key=lambda n: n.total)
     if best.total <= 0:
-        return [nodes[0]]
-    # The article that a page names itself holds what its richest part was found in.
-    up = best
-    while up is not None:
-        if up.tag in ("article", "main"):
-            best = up
-            break
-        up = up.parent
-    path, up = [], best
-    while up is not None and up.tag not in ("body", "html", "#root"):
+        return [nodes[0]] if nodes[0].chars > nodes[0].link_chars else []
+    path, up = [best], best.parent
+    while best is not body and up is not None and up is not body and up.tag not in ("html", "#root"):
         path.append(up)
         up = up.parent
-    threshold = min((n.density for n in [*path, *([up] if up is not None else [])]), default=0.0)
-    if best.tag in ("article", "main"):
-        return [n for n in nodes if n.tag == best.tag and n.density >= threshold and not _inside(n, best.tag)]
-    taken = [best]
-    for above in [n.parent for n in path if n.parent is not None]:
-        for part in above.parts:
-            if isinstance(part, Node) and not part.aside and part not in path and part.chars > 2 * part.link_chars:
-                if part.density >= threshold or part.tag in PROSE and above.tag not in ("body", "html", "#root"):
+    threshold, on_path, taken = min(n.density for n in path), {id(n) for n in path}, [best]
+    for node in path:
+        above = node.parent
+        if above is None or node is body:
+            continue
+        inner = above is not body and above.tag not in ("html", "#root")
+        for part in above.nodes():
+            if part.tag in BLOCKS and id(part) not in on_path:
+                lenient = inner and part.tag in PROSE and not around(part)
+                if part.density >= threshold * (SIBLING if lenient else 1):
                     taken.append(part)
-    place = {id(n): float(i) for i, n in enumerate(nodes)}
-    for above in [n.parent for n in path if n.parent is not None]:
-        if above.tag not in ("body", "html", "#root"):
-            taken = [n for n in taken if n.parent is not above or n.tag in BLOCKS or n in path]
-            for run in _loose(above, path, place):
+        for run in loose_runs(above) if inner else []:
+            if not around(run) and composite_density(run.chars, run.tags, run.link_chars, run.link_tags, ratio) >= threshold * SIBLING:
                 taken.append(run)
-    return sorted(taken, key=lambda n: place[id(n)])
-
-
-def _loose(above: Node, path: list[Node], place: dict[int, float]) -> list[Node]:
-    """The runs of text and inline elements directly in a container that are mostly not linked, each as a node of its
-    own, placed behind what stands before it."""
-    runs, run, last = [], None, place[id(above)]
-    on_path = {id(n) for n in path}
-    for part in above.parts:
-        if isinstance(part, Node) and (part.aside or part.tag in BLOCKS or id(part) in on_path):
-            run = None
-            if not part.aside:
-                end = part
-                while inner := [p for p in end.parts if isinstance(p, Node) and not p.aside]:
-                    end = inner[-1]
-                last = place[id(end)]
-            continue
-        if run is None:
-            run = Node("#loose", above)
-            runs.append(run)
-            place[id(run)] = last + 0.5
-        run.parts.append(part)
-        if isinstance(part, str):
-            run.chars += len("".join(html.unescape(part).split()))
-        else:
-            run.chars += part.chars
-            run.link_chars += part.link_chars
-            end = part
-            while inner := [p for p in end.parts if isinstance(p, Node) and not p.aside]:
-                end = inner[-1]
-            last = place[id(end)]
-    return [r for r in runs if r.chars > 2 * r.link_chars]
-
-
-def _inside(node: Node, tag: str) -> bool:
-    up = node.parent
-    while up is not None:
-        if up.tag == tag:
-            return True
-        up = up.parent
-    return False
+    return sorted(taken, key=lambda n: n.place)
 
 
 def blocks(node: Node) -> list[str]:
@@ -300,7 +369,7 @@ def blocks(node: Node) -> list[str]:
     out, run = [], []
 
     def close() -> None:
-        text = SPACES.sub(" ", html.unescape("".join(run))).strip()
+        text = SPACES.sub(" ", "".join(run)).strip()
         run.clear()
         if text:
             out.append(text)
@@ -314,7 +383,7 @@ def blocks(node: Node) -> list[str]:
             run.append(part)
         elif part.tag == "br":
             run.append(" ")
-        elif not part.aside:
+        elif part is node or part.mark != NO_TEXT and not around(part):
             if part.tag in BLOCKS:
                 close()
                 stack.append(None)

@@ -22,7 +22,7 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     with words, the hash of its trimmed text, its number of words, and the words before it."""
     text = F.col(text_col)
     every = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("digest"), F.posexplode(_lines(text)).alias("pos", "line"))
-    worded = every.select("id", "digest", "pos", F.xxhash64(F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")).alias("hash"), F.regexp_count("line", F.lit(WORD_PATTERN)).cast("long").alias("words")).where("words > 0")
+    worded = every.select("id", "digest", "pos", F.xxhash64(F.btrim("line", F.lit(" \t\n\v\f\r"))).alias("hash"), F.regexp_count("line", F.lit(WORD_PATTERN)).cast("long").alias("words")).where("words > 0")
     # Rows that repeat id and text are one document.
     once = worded.repartition(*DOC).dropDuplicates([*DOC, "pos"])
     before = Window.partitionBy(*DOC).orderBy("pos")
@@ -57,63 +57,51 @@ def winnowed(lines: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     return grams.select(*DOC, least.alias("least")).select("least.gram", *DOC, (-F.col("least.back")).alias("n")).distinct()
 
 
-def candidates(fingerprints: DataFrame) -> DataFrame:
-    """(id, digest) of the documents that share a fingerprint with another place: all others hold no repeated run."""
+def anchors(fingerprints: DataFrame) -> DataFrame:
+    """(id, digest, n) of the positions whose fingerprint stands at another position too, one row each."""
     repeated = fingerprints.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("gram")
-    return fingerprints.join(repeated, "gram", "left_semi").select(*DOC).distinct()
+    return fingerprints.join(repeated, "gram", "left_semi").select(*DOC, "n").distinct()
 
 
-def places(lines: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """(run, id, digest, n): for every line the shortest run of run_words words that begins with it, and the shortest
-    that ends with it, as a hash. Every line of a repeated run lies in one of these that is itself repeated."""
+def runs_at(lines: DataFrame, anchored: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """(run, id, digest, n, from_pos, to_pos): every shortest run of run_words words that begins, or that ends, with some
+    line and holds an anchor, as a hash. These are an anchor's matches moved out by one line at a time to either side."""
+    of = lines.join(anchored.withColumn("anchor", F.lit(True)), [*DOC, "n"], "left")
     ahead = Window.partitionBy(*DOC).orderBy("start").rangeBetween(0, run_words - 1)
     back = Window.partitionBy(*DOC).orderBy("end").rangeBetween(1 - run_words, 0)
-    run = lambda side, span: F.when(F.sum("words").over(span) >= run_words, F.xxhash64(F.lit(side), F.collect_list("hash").over(span)))
-    both = lines.withColumn("end", F.col("start") + F.col("words")).select(*DOC, "n", F.array_compact(F.array(run(0, ahead), run(1, back))).alias("runs"))
-    return both.select(F.explode("runs").alias("run"), *DOC, "n")
 
+    def run(side: int, span: Window) -> Column:
+        return F.when(
+            (F.sum("words").over(span) >= run_words) & F.max("anchor").over(span),
+            F.struct(F.xxhash64(F.lit(side), F.collect_list("hash").over(span)).alias("run"), F.min("pos").over(span).alias("from_pos"), F.max("pos").over(span).alias("to_pos")),
+        )
 
-def matches(runs: DataFrame) -> DataFrame:
-    """(id, digest, of_id, of_digest, shift): which document's lines are to be compared with which earlier lines.
-
-    A run's first place in a document is joined to its first place of all, later ones to the place before in the same
-    document; so there are never more matches than places, however often a passage occurs.
-    """
-    placed = Window.partitionBy("run", *DOC).orderBy("n")
-    within = runs.withColumn("previous", F.lag("n").over(placed))
-    first = within.where(F.col("previous").isNull()).drop("previous")
-    earliest = first.groupBy("run").agg(F.min(F.struct(*DOC, "n")).alias("of"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    across = first.join(earliest, "run").where((F.col("of.id") != F.col("id")) | (F.col("of.digest") != F.col("digest")))
-    own = within.where(F.col("previous").isNotNull()).select(*DOC, F.col("id").alias("of_id"), F.col("digest").alias("of_digest"), (F.col("n") - F.col("previous")).alias("shift"))
-    return across.select(*DOC, F.col("of.id").alias("of_id"), F.col("of.digest").alias("of_digest"), (F.col("n") - F.col("of.n")).alias("shift")).union(own).distinct()
+    both = of.withColumn("end", F.col("start") + F.col("words")).select(*DOC, "n", F.array_compact(F.array(run(0, ahead), run(1, back))).alias("runs"))
+    return both.select(F.explode("runs").alias("r"), *DOC, "n").select("r.run", *DOC, "n", "r.from_pos", "r.to_pos")
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
-    """(id, digest, from_pos, to_pos, n_lines, n_words, of_id): maximal runs of whole lines with at least run_words words
-    that also stand earlier: in a document with a smaller id (of equal ids, a smaller text hash; null ids come first)
-    or further up in the same document.
-
-    Winnowed fingerprints name the documents that can hold any such run. There, runs of run_words words are joined by
-    position; a fingerprint alone wouldn't do, as its first place of all may share less than the whole run. Matches are
-    extended both ways along the two documents by joining each line of the later one with the line of the earlier one
-    that stands at the same distance, and cutting the agreeing lines into unbroken runs.
+    """(id, digest, from_pos, to_pos): the lines of every document that lie in a run of whole lines with at least
+    run_words words that also stands earlier: in a document with a smaller id (of equal ids, a smaller text hash; null
+    ids come first) or further up in the same document. Runs that meet or overlap are one.
+
+    Positions of winnowed fingerprints are joined, and matches extended from there to both sides, a line at a time: a
+    step holds if the run of run_words words that ends with the new line (or begins with it) stands earlier as well, and
+    the extension ends at the first that doesn't. As every line of a long repeated run lies in such a run of its own, the
+    steps are compared with the first place of each alone, whichever documents share more or less: there are never more
+    rows than twice the lines near anchors, however often a passage occurs or however it is shuffled.
     """
     lines = cut(line_table(docs, id_col, text_col))
-    shared = lines.join(candidates(winnowed(lines, run_words)), DOC, "left_semi")
-    pairs = matches(places(shared, run_words))
-    later = pairs.join(lines.select(*DOC, "pos", "n", "hash", "words"), DOC)
-    earlier = lines.select(F.col("id").alias("of_id"), F.col("digest").alias("of_digest"), F.col("n").alias("of_n"), F.col("hash").alias("of_hash"))
-    same = (
-        later.withColumn("of_n", (F.col("n") - F.col("shift")).cast("int"))
-        .join(earlier, ["of_id", "of_digest", "of_n"])
-        .where(F.col("hash") == F.col("of_hash"))
-    )
-    along = [*DOC, "of_id", "of_digest", "shift"]
-    island = F.col("n") - F.row_number().over(Window.partitionBy(*along).orderBy("n"))
-    runs = same.select(*along, "pos", "words", island.alias("island")).groupBy(*along, "island").agg(
-        F.min("pos").alias("from_pos"), F.max("pos").alias("to_pos"), F.count(F.lit(1)).alias("n_lines"), F.sum("words").alias("n_words")
-    )
-    return runs.where(F.col("n_words") >= run_words).select(*DOC, "from_pos", "to_pos", "n_lines", "n_words", "of_id")
+    anchored = cut(anchors(winnowed(lines, run_words)))
+    near = lines.join(anchored.select(*DOC).distinct(), DOC, "left_semi")
+    runs = cut(runs_at(near, anchored, run_words))
+    first = runs.groupBy("run").agg(F.min(F.struct(*DOC, "n")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    later = runs.join(first, "run").where(F.col("first") != F.struct(*DOC, "n"))
+    in_order = Window.partitionBy(*DOC).orderBy("from_pos", "to_pos")
+    reached = F.max("to_pos").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = (reached.isNull() | (F.col("from_pos") > reached + 1)).cast("int")
+    islands = later.select(*DOC, "from_pos", "to_pos").distinct().withColumn("opens", opens).withColumn("island", F.sum("opens").over(in_order))
+    return islands.groupBy(*DOC, "island").agg(F.min("from_pos").alias("from_pos"), F.max("to_pos").alias("to_pos")).drop("island")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
@@ -125,14 +113,16 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole numbers or null; an empty table gives no rows. Only DataFrame functions are used. Sums are formed before
     shuffles, fingerprints of frequent passages are join keys that adaptive execution splits.
     """
-    spans = repeated_runs(docs, id_col, text_col, run_words).groupBy(*DOC).agg(F.collect_set(F.struct("from_pos", "to_pos")).alias("spans"))
+    spans = repeated_runs(docs, id_col, text_col, run_words).groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("from_pos", "to_pos"))).alias("spans"))
     text = F.col(text_col)
     keyed = docs.select(F.col(id_col).alias("own_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
-    joined = keyed.join(spans, DOC, "left")
-    gone = lambda i: F.exists("spans", lambda s: (s["from_pos"] <= i) & (i <= s["to_pos"]))
-    lines = _lines(F.col("text"))
-    kept = F.when(F.col("spans").isNull(), lines).otherwise(F.filter(lines, lambda _, i: ~gone(i)))
-    out = joined.select("own_id", F.coalesce("text", F.lit("")).alias("before"), F.size(lines).cast("long").alias("n_lines"), F.when(F.col("spans").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(kept, "\n")).alias("text"))
+    joined = keyed.join(spans, DOC, "left").withColumn("lines", _lines(F.col("text")))
+    # What is left between the spans, each piece a slice of the lines.
+    starts = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["to_pos"] + 1))
+    ends = F.concat(F.transform("spans", lambda s: s["from_pos"]), F.array(F.size("lines")))
+    pieces = F.filter(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda s: s["b"] > s["a"])
+    kept = F.array_join(F.transform(pieces, lambda s: F.array_join(F.slice("lines", s["a"] + 1, s["b"] - s["a"]), "\n")), "\n")
+    out = joined.select("own_id", F.coalesce("text", F.lit("")).alias("before"), F.size("lines").cast("long").alias("n_lines"), F.when(F.col("spans").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept).alias("text"))
     count = lambda c: F.regexp_count(c, F.lit(WORD_PATTERN)).cast("long")
     changed = F.col("before") != F.col("text")
     removed_lines = F.when(changed, F.col("n_lines") - F.when(F.col("text") == "", 0).otherwise(F.size(_lines(F.col("text"))))).otherwise(0).cast("long")

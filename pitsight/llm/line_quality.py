@@ -21,11 +21,23 @@ SYMBOLS = b"#*$%&|<>"
 #: Ends that make a line a sentence, closing quotes and brackets aside.
 SENTENCE_END = (".", "!", "?", "…", ":", ";", "。", "！", "？", "।", "؟")
 CLOSING = "\"'»”’)]}›"
-#: Phrases of page furniture, lower case.
+#: Phrases of page furniture, lower case, in English, German, French and Spanish: those that a sentence hardly holds, and
+#: those that only make a short line furniture
+#: (SHORT_LINE words, or SHORT_WHOLE that end like a sentence).
 BOILERPLATE = re.compile(
-    r"all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|use(?:s)? cookies|accept (?:all )?cookies|javascript|"
-    r"licensed under|copyright|©|subscribe to|sign up|log in|click here|read more|share this|powered by|lorem ipsum|back to top|skip to"
+    r"all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|uses? cookies|accept (?:all )?cookies|(?:enable|requires?) javascript|javascript (?:is |must be )?(?:disabled|required|enabled)|"
+    r"licensed under|copyright (?:©|\(c\)|[12][0-9]{3})|©|subscribe to (?:our|the|this)|powered by|lorem ipsum|back to top|skip to (?:main )?content|"
+    r"alle rechte vorbehalten|nutzungsbedingungen|datenschutzerkl[äa]rung|cookie-richtlinie|verwende[tn] cookies|(?:alle )?cookies (?:akzeptieren|zulassen)|javascript aktivieren|lizenziert unter|zum seitenanfang|zum inhalt springen|"
+    r"tous droits r[ée]serv[ée]s|conditions d['’]utilisation|politique de confidentialit[ée]|mentions l[ée]gales|utilise(?:ns)? des cookies|(?:accepter|autoriser) (?:tous )?les cookies|activer javascript|sous licence|retour en haut|aller au contenu|"
+    r"todos los derechos reservados|t[ée]rminos (?:de uso|del servicio)|condiciones de uso|pol[íi]tica de (?:privacidad|cookies)|utiliza(?:mos)? cookies|aceptar (?:todas )?las cookies|(?:active|habilite) javascript|bajo licencia|volver arriba|ir al contenido"
 )
+FURNITURE = re.compile(
+    r"copyright|javascript|subscribe|sign up|log in|log out|click here|read more|share this|skip to|newsletter|"
+    r"anmelden|registrieren|abonnieren|hier klicken|mehr lesen|weiterlesen|teilen|impressum|"
+    r"s['’]inscrire|se connecter|s['’]abonner|cliquez ici|lire la suite|en savoir plus|partager|"
+    r"reg[íi]strese|iniciar sesi[óo]n|suscr[íi]base|haga clic|leer m[áa]s|compartir"
+)
+SHORT_LINE, SHORT_WHOLE = 8, 4
 NAVIGATION = re.compile(r"(?:^|\s)(?:[|»›>•·/]|-{1,2}>|::)(?:\s|$)")
 #: Shares of a line's words.
 MAX_SEPARATORS, MAX_SYMBOL_WORDS, MAX_UPPER, MAX_STUTTER = 0.2, 0.3, 0.6, 0.3
@@ -60,13 +72,17 @@ def line_fails(line: str) -> str | None:
         return "shouting"
     if n >= 6 and sum(map(eq, found, found[1:])) > MAX_STUTTER * n:
         return "stutter"
-    if n < 40 and BOILERPLATE.search(line.lower()):
+    if n < 40 and (BOILERPLATE.search(low := line.lower()) or FURNITURE.search(low) and n <= (SHORT_WHOLE if _ends_sentence(line) else SHORT_LINE)):
         return "boilerplate"
-    if n >= LONG_LINE or line.rstrip().rstrip(CLOSING).endswith(SENTENCE_END):
+    if n >= LONG_LINE or _ends_sentence(line):
         return None
     return "punctuation"
 
 
+def _ends_sentence(line: str) -> bool:
+    return line.rstrip().rstrip(CLOSING).endswith(SENTENCE_END)
+
+
 def _may_shout(line: str) -> bool:
     """False only for lines with too few capitals for the rule: a quick look before words are counted."""
     raw = line.encode()

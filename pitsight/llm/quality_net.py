@@ -29,6 +29,8 @@ BLOCK = 1 << 9
 CHUNK = 1 << 15
 CACHE = 1 << 18
 SEED = 20_240_601
+#: Row that stands between texts.
+GAP = WORD_ROWS + SHAPE_ROWS
 
 
 def index_vectors() -> np.ndarray:
@@ -71,33 +73,43 @@ class Rows:
 
 
 def add_contexts(total: np.ndarray, rows: np.ndarray, index: np.ndarray) -> None:
-    """Adds to each word's (and shape's) context vector the index vectors of its neighbours within WINDOW."""
+    """Adds to each word's (and shape's) context vector the index vectors of its neighbours within WINDOW. A row GAP
+    stands between texts; it has no index vector, and what it is given is left out."""
     x = index[rows[0]] + index[rows[1]]
     around = np.zeros_like(x)
     for d in range(1, WINDOW + 1):
         around[d:] += x[:-d] if len(x) > d else 0
         around[:-d] += x[d:] if len(x) > d else 0
-    np.add.at(total, rows[0], around)
-    np.add.at(total, rows[1], around)
+    for own in rows:
+        order = np.argsort(own, kind="stable")
+        first = np.flatnonzero(np.r_[True, own[order][1:] != own[order][:-1]])
+        total[own[order][first]] += np.add.reduceat(around[order], first, axis=0)
 
 
 def context_vectors(texts: DataFrame, text_col: str = "text") -> np.ndarray:
     """The table of context vectors over all rows of texts, each scaled to length one.
 
     Tasks add up whole documents into a table of fixed size and hand it on in blocks of BLOCK rows, which are summed by
-    block: what moves depends on the number of tasks and the table, and the table alone reaches the driver.
+    block: what moves depends on the number of tasks and the table, and the table alone reaches the driver. Sums are of
+    whole numbers and exact, so that their order doesn't matter.
     """
     size = WORD_ROWS + SHAPE_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, rows = index_vectors(), Rows()
-        total, some = np.zeros((size, WIDTH), np.float32), False
+        index, rows = np.vstack([index_vectors(), np.zeros((1, WIDTH), np.float32)]), Rows()
+        total, some = np.zeros((size + 1, WIDTH), np.float64), False
+        gap, waiting, n = np.full((2, WINDOW), GAP), [], 0
         for batch in batches:
             for text in batch.column(0):
                 tokens = words(text.as_py())
                 for at in range(0, len(tokens), CHUNK):
-                    some = True
-                    add_contexts(total, rows.of(tokens[at : at + CHUNK]), index)
+                    waiting += [rows.of(tokens[at : at + CHUNK]), gap]
+                    n, some = n + waiting[-2].shape[1], True
+                    if n >= CHUNK:
+                        add_contexts(total, np.concatenate(waiting, axis=1), index)
+                        waiting, n = [], 0
+        if n:
+            add_contexts(total, np.concatenate(waiting, axis=1), index)
         if some:
             blocks = range(0, size, BLOCK)
             yield pa.RecordBatch.from_arrays(
@@ -106,14 +118,14 @@ def context_vectors(texts: DataFrame, text_col: str = "text") -> np.ndarray:
             )
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(data, np.float32) for data in parts["data"])
-        return pd.DataFrame({"block": parts["block"][:1], "data": [total.astype(np.float32).tobytes()]})
+        total = sum(np.frombuffer(data, np.float64) for data in parts["data"])
+        return pd.DataFrame({"block": parts["block"][:1], "data": [total.tobytes()]})
 
     parts = texts.select(F.col(text_col).cast("binary")).mapInArrow(run, "block int, data binary")
-    table = np.zeros((size, WIDTH), np.float32)
+    table = np.zeros((size, WIDTH), np.float64)
     for row in parts.groupBy("block").applyInPandas(add, "block int, data binary").collect():
-        table[row["block"] : row["block"] + BLOCK] = np.frombuffer(row["data"], np.float32).reshape(-1, WIDTH)
-    return table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-6)
+        table[row["block"] : row["block"] + BLOCK] = np.frombuffer(row["data"], np.float64).reshape(-1, WIDTH)
+    return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-6)).astype(np.float32)
 
 
 def pooled(tokens: list[bytes], vectors: np.ndarray, index: np.ndarray, rows: Rows) -> np.ndarray:
@@ -144,11 +156,12 @@ class QualityModel:
     temperature: float
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        w1, b1, w2, b2 = self.layers
-        return np.tanh(np.clip((x - self.centre) / self.scale, -6, 6) @ w1 + b1) @ w2 + b2
+        w1, b1, w2, b2 = (np.asarray(p, np.float64) for p in self.layers)
+        return np.tanh(np.clip((x.astype(np.float64) - self.centre) / self.scale, -6, 6) @ w1 + b1) @ w2 + b2
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -35, 35)))
+        """To nine digits, so that a row's doesn't depend on the rows that it is computed with."""
+        return np.round(1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -35, 35))), 9)
 
 
 def train_network(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 60, decay: float = 3e-3, least_steps: int = 1_000) -> tuple:
@@ -185,9 +198,9 @@ def best_temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> QualityModel:
-    """Fits vectors, network and temperature on labelled documents.
+    """Fits vectors on all documents, network and temperature on labelled ones.
 
-    Of the ids with a label that isn't null, the fit_rows lowest by hash are used (an id with several labels counts
+    Context vectors are sums over every text of docs and need no labels. Of the ids with a label that isn't null, the fit_rows lowest by hash are used (an id with several labels counts
     with the highest; of several texts with one id, the lowest in byte order is used). Everything that reaches the
     driver is bounded by fit_rows and the size of the vector table. Without any labelled document every text scores
     one half; with labels of one class the scores tend to that class.
@@ -197,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # At most fit_rows rows of an id and an int.
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     sample = cut(texts.join(F.broadcast(some), "id").groupBy("id", "y").agg(F.min("text").alias("text")))
-    vectors = context_vectors(sample)
+    vectors = context_vectors(texts)
     shared = sample.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

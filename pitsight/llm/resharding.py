@@ -14,6 +14,8 @@ RANGES = 4096
 #: A row over this part of the mean capacity goes before all others of its shard, so that cuts fall between small rows.
 LARGE = 16
 ROW_BYTES = 8
+#: Bytes of text that a task writes, about; the folder of a rewrite that isn't complete.
+TASK_BYTES, STAGED = 128 << 20, "_staged"
 
 
 @dataclass(frozen=True)
@@ -92,23 +94,30 @@ def _range_of(key: Column) -> Column:
     return F.pmod(F.shiftrightunsigned(key, 20), F.lit(RANGES)).cast("int")
 
 
+def lot() -> Column:
+    """A number in [0, 1) from a row's place in its table: it tells equal rows apart."""
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
 @dataclass(frozen=True)
 class Plan:
-    """For each old shard the new shards in the order of its rows, and the places (part, range, key) between them."""
+    """For each old shard the new shards in the order of its rows, and the places (part, range, key, lot) between them."""
 
     transfers: tuple[Transfer, ...]
-    cuts: dict[int, list[tuple[tuple[int, int, int], int]]]
+    cuts: dict[int, list[tuple[tuple[int, int, int, float], int]]]
     large: int
 
-    def target(self, shard: Column, size: Column, key: Column) -> Column:
-        """The new shard of a row: comparisons with the old shard's cuts, no join and no shuffle."""
+    def target(self, shard: Column, size: Column, key: Column, drawn: Column) -> Column:
+        """The new shard of a row: comparisons with the old shard's cuts, no join and no shuffle. Where many equal rows
+        lie at a cut, drawn (see lot()) decides, so that they part in the proportion that the cut asks for."""
         part = F.when(size > self.large, F.lit(0)).otherwise(F.lit(1))
-        at = F.struct(part.alias("p"), _range_of(key).alias("r"), key.alias("k"))
+        at = F.struct(part.alias("p"), _range_of(key).alias("r"), key.alias("k"), drawn.alias("u"))
         out = F.lit(None).cast("int")
         for old, steps in self.cuts.items():
             inner = F.lit(steps[-1][1])
-            for (p, r, k), new in reversed(steps[:-1]):
-                inner = F.when(at < F.struct(F.lit(p).alias("p"), F.lit(r).alias("r"), F.lit(k).cast("long").alias("k")), F.lit(new)).otherwise(inner)
+            for (p, r, k, u), new in reversed(steps[:-1]):
+                place = F.struct(F.lit(p).alias("p"), F.lit(r).alias("r"), F.lit(k).cast("long").alias("k"), F.lit(float(u)).alias("u"))
+                inner = F.when(at < place, F.lit(new)).otherwise(inner)
             out = F.when(shard == old, inner).otherwise(out)
         return out
 
@@ -145,25 +154,29 @@ def plan(rows: DataFrame, shards: int, capacities: dict[int, int] | None = None)
     cuts = {}
     for old in sizes:
         targets = [t.target for t in transfers if t.source == old]
-        cuts[old] = [(found.get((old, i), (0, 0, 0)), new) for i, new in enumerate(targets)]
+        cuts[old] = [(found.get((old, i), (0, 0, 0, 0.0)), new) for i, new in enumerate(targets)]
     return Plan(tuple(transfers), cuts, large)
 
 
-def _cut_keys(placed: DataFrame, wanted: dict) -> dict[tuple[int, int], tuple[int, int, int]]:
-    """For each wanted cut the first place that lies behind it: the first row whose middle is beyond the cut."""
+def _cut_keys(placed: DataFrame, wanted: dict) -> dict[tuple[int, int], tuple[int, int, int, float]]:
+    """For each wanted cut its place: the key that it falls on, and the part of that key's rows that lie before it. A
+    single row goes to the side where more of it lies. Equal rows are summed before they are ordered."""
     if not wanted:
         return {}
     spark = placed.sparkSession
     flat = [(old, part, rng, i, offset) for (old, part, rng), steps in wanted.items() for i, offset in steps]
     # One row for each cut: fewer than old and new shards together.
     cuts = F.broadcast(spark.createDataFrame(flat, "shard int, part int, range int, i int, offset long"))
-    before = Window.partitionBy("shard", "part", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("shard", "part", "range").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     keys = cuts.select("shard", "part", "range").distinct()
-    near = placed.join(F.broadcast(keys), ["shard", "part", "range"]).withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    behind = near.join(cuts, ["shard", "part", "range"]).where(F.col("before") + F.col("size") / 2 >= F.col("offset"))
-    first = behind.groupBy("shard", "i").agg(F.min("key").alias("key")).collect()
-    keyed = {(r["shard"], r["i"]): r["key"] for r in first}
-    return {(old, i): (part, rng, keyed[old, i]) if (old, i) in keyed else (part, rng + 1, -(1 << 63)) for old, part, rng, i, _ in flat}
+    near = placed.join(F.broadcast(keys), ["shard", "part", "range"]).groupBy("shard", "part", "range", "key").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    summed = near.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    behind = summed.join(cuts, ["shard", "part", "range"]).where(F.col("before") + F.col("size") >= F.col("offset"))
+    share = (F.col("offset") - F.col("before")) / F.col("size")
+    share = F.when(F.col("n") > 1, share).otherwise(F.when(share > 0.5, F.lit(1e0)).otherwise(F.lit(0e0)))
+    first = behind.groupBy("shard", "i").agg(F.min(F.struct("key", share.alias("share"))).alias("at")).collect()
+    found = {(r["shard"], r["i"]): r["at"] for r in first}
+    return {(old, i): (part, rng, *found[old, i]) if (old, i) in found else (part, rng + 1, -(1 << 63), 0.0) for old, part, rng, i, _ in flat}
 
 
 def old_shard(id_column: Column, shards: int) -> Column:
@@ -174,13 +187,19 @@ def old_shard(id_column: Column, shards: int) -> Column:
 def reshard(docs: DataFrame, old_shards: int, shards: int, id_col: str = "doc_id", text_col: str = "text", shard_col: str = "shard") -> DataFrame:
     """docs with a column shard_col, 0 to shards - 1, of near equal bytes; a column of that name is replaced.
 
-    The rows come from old_shards shards by hash of the id. Null ids and texts have a place like any other; rows that
-    are equal go to the same shard; an empty table gives no rows. Texts aren't shuffled.
+    The rows come from old_shards shards by hash of the id. Null ids and texts have a place like any other; very many
+    equal rows are parted by their places in the table; an empty table gives no rows. Texts aren't shuffled.
     """
     rows = _rows(docs, old_shards, id_col, text_col)
     made = plan(cut(rows.select("shard", "size", "key")), shards)
     id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    return docs.withColumn(shard_col, made.target(old_shard(id_, old_shards), row_size(text), row_key(id_, text)))
+    return _targeted(docs, made, old_shard(id_, old_shards), row_size(text), row_key(id_, text), shard_col)
+
+
+def _targeted(docs: DataFrame, made: Plan, shard: Column, size: Column, key: Column, shard_col: str) -> DataFrame:
+    """docs with the new shard. Lots are drawn in a projection of their own: one for each row, not one for each use."""
+    drawn = docs.withColumn("__lot", lot())
+    return drawn.withColumn(shard_col, made.target(shard, size, key, F.col("__lot"))).drop("__lot")
 
 
 def _rows(docs: DataFrame, old_shards: int, id_col: str, text_col: str) -> DataFrame:
@@ -194,9 +213,10 @@ def assignment(docs: DataFrame, old_shards: int, shards: int, id_col: str = "doc
     Slots come from row counts of each shard and hash range plus the place within the range, so no task sees a whole
     shard. Null texts have size 8 and crc32 0.
     """
-    rows = cut(_rows(docs, old_shards, id_col, text_col))
+    rows = cut(_rows(docs, old_shards, id_col, text_col).withColumn("lot", lot()))
     made = plan(rows, shards)
-    moved = rows.select("id", "size", "crc", "key", F.col("shard").alias("old_shard"), made.target(F.col("shard"), F.col("size"), F.col("key")).alias("shard"), _range_of(F.col("key")).alias("range"))
+    target = made.target(F.col("shard"), F.col("size"), F.col("key"), F.col("lot"))
+    moved = rows.select("id", "size", "crc", "key", F.col("shard").alias("old_shard"), target.alias("shard"), _range_of(F.col("key")).alias("range"))
     counts = moved.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
@@ -205,26 +225,56 @@ def assignment(docs: DataFrame, old_shards: int, shards: int, id_col: str = "doc
     return slots.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "old_shard", "shard", "slot")
 
 
-def write_sharded(docs: DataFrame, path: str, shard_col: str = "shard") -> None:
-    docs.repartition(shard_col).write.mode("overwrite").partitionBy(shard_col).parquet(path)
+def write_sharded(docs: DataFrame, path: str, shard_col: str = "shard", text_col: str = "text", task_bytes: int = TASK_BYTES) -> None:
+    """Writes a folder for each shard. Several tasks write a shard, each about task_bytes of text."""
+    _salted(docs, shard_col, text_col, task_bytes).write.mode("overwrite").partitionBy(shard_col).parquet(path)
 
 
-def rewrite_affected(spark: SparkSession, path: str, shards: int, id_col: str = "doc_id", text_col: str = "text", shard_col: str = "shard") -> Plan:
+def _salted(docs: DataFrame, shard_col: str, text_col: str, task_bytes: int) -> DataFrame:
+    size, largest = docs.groupBy(shard_col).agg(F.sum(row_size(F.col(f"`{text_col}`"))).alias("size")).agg(F.sum("size"), F.max("size")).first()
+    pieces = max(1, -(-(largest or 0) // task_bytes))
+    tasks = max(1, -(-(size or 0) // task_bytes))
+    return docs.withColumn("__piece", (lot() * pieces).cast("int")).repartition(tasks, shard_col, "__piece").drop("__piece")
+
+
+def rewrite_affected(spark: SparkSession, path: str, shards: int, id_col: str = "doc_id", text_col: str = "text", shard_col: str = "shard", task_bytes: int = TASK_BYTES) -> Plan:
     """Moves the rows of a sharded table (folders shard_col=k below path) into shards of near equal bytes, in place.
 
-    Only folders that give or receive rows are written again; the others keep their files. The new contents are
-    complete in the checkpoint folder before the first folder is replaced.
+    Only folders that give or receive rows are written again; the others keep their files. The new contents and the list
+    of folders that they replace are complete in a folder beside them, which readers pass over, before the first folder
+    is replaced; if that is broken off, the next call completes it first.
     """
+    finish_rewrite(spark, path, shard_col)
     docs = spark.read.parquet(path)
     id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     made = plan(docs.select(F.col(shard_col).alias("shard"), row_size(text).alias("size"), row_key(id_, text).alias("key")), shards)
     touched = sorted({k for t in made.transfers if t.source != t.target for k in (t.source, t.target)})
     if touched:
         affected = docs.where(F.col(shard_col).isin(touched))
-        target = made.target(F.col(shard_col), row_size(text), row_key(id_, text))
-        ready = cut(affected.withColumn(shard_col, target))
-        ready.repartition(shard_col).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(shard_col).parquet(path)
-        for k in set(touched) - {t.target for t in made.transfers}:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{shard_col}={k}")
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        moved = _targeted(affected, made, F.col(shard_col), row_size(text), row_key(id_, text), shard_col)
+        write_sharded(cut(moved), f"{path}/{STAGED}/new", shard_col, text_col, task_bytes)
+        Path = spark._jvm.org.apache.hadoop.fs.Path
+        files = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        filled = [(k, files.exists(Path(f"{path}/{STAGED}/new/{shard_col}={k}"))) for k in touched]
+        spark.createDataFrame(filled, "shard int, filled boolean").coalesce(1).write.mode("overwrite").json(f"{path}/{STAGED}/touched")
+        finish_rewrite(spark, path, shard_col)
     return made
+
+
+def finish_rewrite(spark: SparkSession, path: str, shard_col: str = "shard") -> None:
+    """Puts staged folders in the place of those that they replace. Every step can be repeated; what was staged
+    incompletely is thrown away."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    staged = Path(f"{path}/{STAGED}")
+    files = staged.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(staged):
+        return
+    if files.exists(Path(f"{path}/{STAGED}/touched/_SUCCESS")):
+        for r in spark.read.json(f"{path}/{STAGED}/touched").collect():
+            new, old = (Path(f"{path}/{name}{shard_col}={r['shard']}") for name in (f"{STAGED}/new/", ""))
+            # A filled folder that is staged no more is in its place already.
+            if files.exists(new) or not r["filled"]:
+                files.delete(old, True)
+            if files.exists(new):
+                files.rename(new, old)
+    files.delete(staged, True)

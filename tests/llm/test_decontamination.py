@@ -49,7 +49,7 @@ def test_matches_brute_force(spark, block_bytes):
     rows = [(r["doc_id"], r["item_id"], r["n_shingles"], r["n_shared"]) for r in got.collect()]
     assert set(rows) == brute(docs, items)
     clean = D.without_contaminated(a, b, block_bytes=block_bytes)
-    bad = {r[0] for r in brute(docs, items)}
+    bad = {r[0] for r in brute(docs, [(i if i is not None else -1, *rest) for i, *rest in items])}
     assert clean.columns == a.columns
     assert sorted((tuple(r) for r in clean.collect()), key=str) == sorted((d for d in docs if d[0] not in bad), key=str)
 
@@ -66,3 +66,29 @@ def test_signature_outnumbers_what_may_be_missing():
     _, items = make()
     index = D.Index([(i, (t or "").encode()) for i, t, _ in items], 5, 0.8)
     assert min(index.needed) >= 1
+
+
+def test_a_very_long_item_takes_little_memory():
+    import tracemalloc
+
+    text = " ".join(f"t{i}" for i in range(100_000)).encode()
+    tracemalloc.start()
+    index = D.Index([(1, text), (2, b"a few words of another item here")], 5, 0.8)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200 << 20 and min(index.needed) >= 1
+    assert [h[0] for h in index.hits(b"before " + text + b" behind")] == [1]
+
+
+@pytest.mark.parametrize("kind", ["decimal(12,2)", "string", "date", "int"])
+def test_item_ids_of_any_type_and_clashing_names(spark, kind):
+    from pyspark.sql import functions as F
+
+    docs, items = make()
+    a = spark.createDataFrame(docs, DOCS).withColumnRenamed("doc_id", "n_shared")
+    value = F.date_add(F.lit("2020-01-01").cast("date"), F.col("item_id").cast("int")) if kind == "date" else F.col("item_id").cast(kind)
+    b = spark.createDataFrame(items, ITEMS).select(value.alias("n_shared"), "text")
+    got = D.contaminated(a, b, id_col="n_shared", item_col="n_shared")
+    assert got.columns == ["n_shared", "benchmark_n_shared", "n_shingles", "text_n_shared", "containment"]
+    assert dict(got.dtypes)["benchmark_n_shared"] == kind
+    assert {(r[0], r[2], r[3]) for r in got.collect()} == {(d, n, m) for d, _, n, m in brute(docs, items)}

@@ -68,3 +68,89 @@ def test_sidebar_beside_an_article_stays_out():
 def test_loose_text_of_containers():
     page = f"<body><div>Loose <b>words</b> before.<div>{ARTICLE}</div>And some <i>after</i> it. <a href=x>More of this</a></div></body>"
     assert H.main_text(page) == f"Loose words before.\n\n{WANTED}\n\nAnd some after it. More of this"
+
+
+def test_densities_and_sums_by_brute_force():
+    """Every node's density, counted again over the markup between its tags, and the subtree that has the largest sum."""
+    import math
+    import re
+
+    divs = [
+        "".join(f"<p>{'word ' * n}<a href=x>{'link ' * k}</a><b>bold</b></p>" for n, k in rows)
+        for rows in ([(40, 1), (55, 2), (60, 1)], [(2, 3), (1, 4)], [(12, 1)], [(70, 2), (3, 9)])
+    ]
+    body = "".join(f"<div>{d}</div>" for d in divs)
+    nodes = H.in_order(H.parse(f"<html><body>{body}</body></html>"))
+    H.measure(nodes)
+
+    def counted(inside):
+        chars = len("".join(re.sub(r"<[^>]*>", "", inside).split()))
+        links = re.findall(r"<a .*?</a>", inside)
+        return chars, len(re.findall(r"<[a-z]", inside)), sum(len("".join(re.sub(r"<[^>]*>", "", x).split())) for x in links), len(links)
+
+    c, _, lc, _ = counted(body)
+
+    def density(inside):
+        chars, tags, link_chars, link_tags = counted(inside)
+        base = math.log(chars * link_chars / (chars - link_chars) + lc / c * chars + math.e)
+        return chars / tags * math.log(max(1, chars / link_chars * tags / link_tags)) / max(1, math.log(max(base, math.e)))
+
+    found = [n for n in nodes if n.tag == "div"]
+    assert [n.density for n in found] == pytest.approx([density(d) for d in divs])
+    sums = [sum(density(p) for p in re.findall(r"<p>(.*?)</p>", d)) for d in divs]
+    assert [n.total for n in found] == pytest.approx(sums)
+    best = max(range(4), key=sums.__getitem__)
+    assert sums[best] > sum(density(d) for d in divs)
+    assert found[best] in H.main_nodes(nodes) and found[1] not in H.main_nodes(nodes)
+
+
+def test_densities_decide(monkeypatch):
+    """With all densities alike other subtrees are taken: on most pages of the table, and on those of the tests."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist()
+    before = [H.main_text(page) for page in pages]
+    monkeypatch.setattr(H, "composite_density", lambda *a: 1.0)
+    assert sum(H.main_text(page) != text for page, text in zip(pages, before)) > len(pages) / 2
+
+
+def test_names_that_only_hold_a_marking_word():
+    page = f"<body><div class='social-history'>{ARTICLE}</div><div class='copy'>Imprint of the site.</div></body>"
+    assert H.main_text(page) == WANTED
+
+
+def test_a_list_of_links_in_the_article_goes():
+    links = "".join(f"<li><a href=/{i}>More about topic {i}</a></li>" for i in range(20))
+    assert H.main_text(f"<body><article>{ARTICLE}<ul>{links}</ul></article></body>") == WANTED
+
+
+def test_unnamed_surroundings_are_thin():
+    page = f"<body><div><span>Site</span><span>name</span></div><div><ul>{'<li><a href=x>Topic</a></li>' * 9}</ul></div><div>{ARTICLE}</div><div><a href=1>Imprint</a> <a href=2>Contact</a></div></body>"
+    assert H.main_text(page) == WANTED
+
+
+@pytest.mark.parametrize("broken", ["<a " * 300_000, "<b>" * 200_000, "</x>" * 200_000, "<i></b>" * 100_000, "<script>" * 100_000, "<p '>" * 100_000, "<!--" * 200_000, "<li>" * 100_000, "<table><td>" * 50_000])
+def test_broken_pages_take_linear_time(broken):
+    import time
+
+    began = time.perf_counter()
+    assert H.main_text(f"<body>{ARTICLE}{broken}").startswith("First words")
+    assert time.perf_counter() - began < 8
+
+
+def test_depth_loses_no_text():
+    page = "<div>" * 2000 + "one" + "</div>two" * 2000
+    assert " ".join(H.blocks(H.parse(f"<body>{page}</body>"))).split() == ["one", *["two"] * 2000]
+
+
+def test_the_table_against_plain_cutting():
+    """Whole pages of the table: what stands in the article tag, cut by block tags, references decoded."""
+    import html
+    import re
+
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist():
+        inside = re.search("<article>(.*?)</article>", page, re.S)[1].replace("<br>", " ")
+        parts = [html.unescape(re.sub("<[^>]*>", "", part)) for part in re.split(r"</?(?:h1|p|ul|li|div|section)\b[^>]*>", inside)]
+        assert H.main_text(page) == "\n\n".join(" ".join(part.split()) for part in parts if part.split())

@@ -68,3 +68,21 @@ def test_nulls_repeats_and_empty_tables(spark):
     # The null id comes first of all; rows that repeat id and text are one document.
     assert got == sorted([(None, passage, 0), (1, "", 51), (1, "", 51), (2, "", 0), (3, "", 0), (4, "", 102), (5, "é" * 100_000, 0)], key=repr)
     assert L.deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_shuffled_copy_joins_in_proportion(spark):
+    """Lines in another order, repeats within a document, and passages that very many documents share."""
+    rng = random.Random(9)
+    lines = [" ".join(f"s{k}x{j}" for j in range(12)) for k in range(3000)]
+    other = lines[:]
+    rng.shuffle(other)
+    passage = "\n".join(" ".join(f"q{k}x{j}" for j in range(20)) for k in range(4))
+    docs = [(0, "\n".join(lines)), (1, "\n".join(other)), (2, "\n".join(lines[5:9] * 30))] + [(3 + i, f"own {i}\n{passage}\nend {i}") for i in range(300)]
+    frame = spark.createDataFrame([(i, t, "", 0) for i, t in docs], SCHEMA)
+    got = {r["doc_id"]: r["text"] for r in L.deduplicated(frame).collect()}
+    assert got[0] == docs[0][1] and got[3] == docs[3][1] and all(got[3 + i] == f"own {i}\nend {i}" for i in range(1, 300))
+    wanted = expected([docs[0], docs[2]], 50)
+    assert got[2] == wanted[2]
+    table = L.line_table(frame)
+    found = L.anchors(L.winnowed(table))
+    assert L.runs_at(table, found).count() <= 2 * table.count()

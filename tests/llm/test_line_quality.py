@@ -55,3 +55,13 @@ def test_documents(spark):
     assert got[7]["kept"] and not got[5]["kept"] and got[5]["n_failed_lines"] == 20 and got[5]["clean_text"] == GOOD.strip()
     assert not got[2]["kept"] and not got[3]["kept"] and not got[4]["kept"]
     assert L.evaluate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("line", ["Alle Rechte vorbehalten.", "Tous droits réservés.", "Todos los derechos reservados.", "Haga clic aquí.", "Click here.", "Hier klicken", "Diese Seite verwendet Cookies.", "Copyright 2020 by the publisher of this page.", "En savoir plus"])
+def test_page_furniture_of_four_languages(line):
+    assert L.line_fails(line) is not None
+
+
+@pytest.mark.parametrize("line", ["Copyright law is discussed in this chapter.", "We read more books than in any year before.", "Wir teilen uns die Arbeit in diesem Jahr.", "JavaScript was designed in ten days by one person.", "Nous allons partager le pain avec les voisins."])
+def test_sentences_that_hold_such_words_stay(line):
+    assert L.line_fails(line) is None

@@ -99,3 +99,35 @@ def test_rewrite_touches_affected_files_only(spark, tmp_path, shards):
     counts = {r["shard"]: r["count"] for r in out.groupBy("shard").count().collect()}
     assert set(counts) == set(range(shards)) and max(counts.values()) - min(counts.values()) <= 2
     assert len(before & after) >= 1
+
+
+def test_many_equal_rows_are_parted(spark):
+    data = [(1, "same text", "s")] * 600 + [(i, "other text", "s") for i in range(2, 403)]
+    frame = spark.createDataFrame(data, SCHEMA)
+    got = [r["shard"] for r in R.assignment(frame, 20, 24).collect()]
+    counts = [got.count(k) for k in range(24)]
+    assert sum(counts) == len(data) and min(counts) > 10 and max(counts) < 90
+    many = [r["shard"] for r in R.reshard(frame, 20, 24).collect()]
+    assert len(many) == len(data) and max(many.count(k) for k in range(24)) < 90
+
+
+def test_a_rewrite_that_was_broken_off_is_finished(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    data = spark.createDataFrame([(i, "y" * 50) for i in range(300)], "doc_id long, text string")
+    R.write_sharded(data.withColumn("shard", F.when(F.col("doc_id") < 250, 0).otherwise(5)), path, task_bytes=4_000)
+    assert len(list((tmp_path / "t" / "shard=0").glob("*.parquet"))) > 1
+    real = R.finish_rewrite
+    calls = []
+    monkeypatch.setattr(R, "finish_rewrite", lambda *a: calls.append(a) or (real(*a) if len(calls) == 1 else None))
+    R.rewrite_affected(spark, path, 3)
+    assert spark.read.parquet(path).count() == 300 and (tmp_path / "t" / R.STAGED).exists()
+    # Half of the swap is done, as if the driver had been lost in it.
+    import shutil
+
+    shutil.rmtree(tmp_path / "t" / "shard=0")
+    (tmp_path / "t" / R.STAGED / "new" / "shard=0").rename(tmp_path / "t" / "shard=0")
+    real(spark, path)
+    out = spark.read.parquet(path)
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(300))
+    assert {r["shard"]: r["count"] for r in out.groupBy("shard").count().collect()} == {0: 100, 1: 100, 2: 100}
+    assert not (tmp_path / "t" / R.STAGED).exists()
