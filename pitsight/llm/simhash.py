@@ -23,7 +23,9 @@ CELL_PAIRS = 48
 #: Near copies: bits of a fingerprint that are nearest to their majority, and so may differ; projected grids; the number
 #: of differing bits up to which a pair is compared word by word; points of a cell that are all compared; points that the
 #: members of a larger one are compared with in a round; candidates of a point that are looked at first.
-SOFT, TABLES, NEAR_BITS, NEAR_CELL, LEADERS, BEST = 8, 6, 13, 8, 2, 3
+SOFT, TABLES, NEAR_BITS, NEAR_CELL, LEADERS, BEST = 8, 6, 13, 12, 2, 3
+#: Points whose cells a task names.
+TASK_POINTS = 8_192
 CHUNK = 1 << 16
 
 
@@ -181,7 +183,7 @@ def row_hash(docs: DataFrame) -> Column:
 
 def segments_for(points: int) -> int:
     """Coordinates of a grid: more for more points, so that a cell's chance company stays the same."""
-    return int(min(28, max(8, round(math.log(max(points, 2), 1.6)) - 10)))
+    return int(min(28, max(8, round(math.log(max(points, 2), 1.6)) - 8)))
 
 
 def table_segments(table: int, segments: int, seed: int) -> np.ndarray:
@@ -235,7 +237,9 @@ def candidate_pairs(points: DataFrame, segments: int, seed: int) -> tuple[DataFr
                     yield pa.RecordBatch.from_arrays(columns, ["g", "cell", "fp", "low"])
 
     low = thermometer(F.col("fp").bitwiseAND(F.bitwise_not("soft")))
-    cells = points.select("fp", "soft", low.alias("low")).mapInArrow(run, "g byte, cell long, fp long, low long")
+    # A point becomes a hundred rows and more: it takes more tasks than the points themselves.
+    tasks = -(-points.count() // TASK_POINTS) or 1
+    cells = points.select("fp", "soft", low.alias("low")).repartition(tasks, "fp").mapInArrow(run, "g byte, cell long, fp long, low long")
     shared = cells.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = cut(cells.join(shared, ["g", "cell"]))
     few = met.where(F.col("n") <= NEAR_CELL).drop("n")
