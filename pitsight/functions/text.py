@@ -2,22 +2,58 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and their plain forms, fixed values for both sides of a comparison.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿß"
-PLAIN = "aaaaaaceeeeiiiinoooooouuuuyys"
+#: Competition names and the keys that they stand for, fixed values; a key stands for itself.
+COMPETITIONS = {
+    "Premier League": "premier-league", "Ligue 1": "ligue-1", "La Liga": "la-liga", "Bundesliga": "bundesliga", "Serie A": "serie-a",
+    "Champions League": "champions-league", "MLS": "mls", "Major League Soccer": "mls",
+}
+
+
+@cache
+def plain_forms() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+    """From the Unicode tables: characters whose compatibility decomposition has one ASCII character in it; those with
+    several; and those that canonical decomposition makes one other character once diacritics (U+0300 to U+036F) go."""
+    one, several, unmarked = {}, {}, {}
+    for code in range(0x80, sys.maxunicode + 1):
+        if 0xD800 <= code < 0xE000:
+            continue
+        c = chr(code)
+        ascii_part = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        if ascii_part:
+            (one if len(ascii_part) == 1 else several)[c] = ascii_part
+        bare = "".join(x for x in unicodedata.normalize("NFD", c) if not "\u0300" <= x <= "\u036f")
+        if len(bare) == 1 and bare != c:
+            unmarked[c] = bare
+    return one, several, unmarked
 
 
 def folded(value: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(value), ACCENTED, PLAIN)
+    """Lower case without diacritics, for searching; letters that are no accented form of another stay."""
+    unmarked = plain_forms()[2]
+    bare = F.translate(value, "".join(unmarked), "".join(unmarked.values()))
+    return F.lower(F.regexp_replace(bare, "[\\x{300}-\\x{36F}]", ""))
+
+
+def ascii_form(value: Column) -> Column:
+    """The ASCII characters of the compatibility decomposition; all others go."""
+    one, several, _ = plain_forms()
+    single = F.translate(value, "".join(one), "".join(one.values()))
+    pairs = F.create_map(*(F.lit(x) for item in several.items() for x in item))
+    spelled = F.array_join(F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), c)), "")
+    rare = "[" + "".join(several) + "]"
+    return F.regexp_replace(F.when(single.rlike(rare), spelled).otherwise(single), "[^\\x00-\\x7F]", "")
 
 
 def slugify(value: Column) -> Column:
-    """Lower-case plain letters and digits with single hyphens; 'unknown' where nothing is left."""
-    slug = F.regexp_replace(F.regexp_replace(folded(value), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """Lower-case ASCII letters and digits with single hyphens; 'unknown' where nothing is left."""
+    slug = F.regexp_replace(F.regexp_replace(F.lower(ascii_form(value)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.coalesce(F.nullif(slug, F.lit("")), F.lit("unknown"))
 
 
@@ -37,6 +73,17 @@ def reversed_key(key: Column) -> Column:
     return F.when(F.size(parts) == 4, F.concat_ws("|", parts[0], parts[2], parts[1], parts[3]))
 
 
+def key_parts(key: Column) -> Column:
+    """(sport, home, away, kickoff) of a natural key; the kickoff may hold the separator; null with fewer than four parts."""
+    parts = F.split(key, r"\|", 4)
+    return F.when(F.size(parts) == 4, F.struct(parts[0].alias("sport"), parts[1].alias("home"), parts[2].alias("away"), parts[3].alias("kickoff")))
+
+
+def competition(name: Column) -> Column:
+    """Key of a competition by its display name; any other name as it is."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for item in COMPETITIONS.items() for x in item)), name), name)
+
+
 def event_id_of(provider_id: Column) -> Column:
     return F.substring_index(provider_id, ":", 1)
 

@@ -54,3 +54,9 @@ def rfc3339(at: Column) -> Column:
 def overlaps(start: Column, end: Column, from_: Column, to: Column) -> Column:
     """Whether two ranges share a moment; a null end is open."""
     return (F.coalesce(start, from_) <= to) & (F.coalesce(end, to) >= from_)
+
+
+def backoff_seconds(attempt: Column, retry_after: Column) -> Column:
+    """Wait before a request is repeated: half a second, doubled with each attempt, up to eight; or what the provider
+    asks for, if that is longer."""
+    return F.greatest(F.coalesce(retry_after.cast("double"), F.lit(0e0)), F.least(F.lit(8e0), F.lit(0.5) * F.pow(F.lit(2e0), attempt)))

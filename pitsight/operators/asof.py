@@ -43,13 +43,17 @@ def visible_before(facts: DataFrame, cutoffs: DataFrame, key: str) -> DataFrame:
     return joined.where((F.col("available_at") < F.col("cutoff_at")) & (F.col("event_at").isNull() | (F.col("event_at") < F.col("cutoff_at"))))
 
 
-def band_join(left: DataFrame, right: DataFrame, at: str, other: str, seconds: int) -> DataFrame:
+def band_join(left: DataFrame, right: DataFrame, at: str, other: str, seconds: int, on: dict[str, str] | None = None) -> DataFrame:
     """Pairs whose times (epoch seconds) lie at most so many seconds apart: an equi-join on time buckets of twice that
-    width, each left row offered to its own and both neighbouring ones."""
+    width, each left row offered to its own and both neighbouring ones, and on the columns (left: right) of on."""
     width = 2 * seconds
     bucket = F.floor(F.col(at) / width)
     offered = left.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    return offered.join(right.withColumn("bucket", F.floor(F.col(other) / width)), "bucket").where(F.abs(F.col(at) - F.col(other)) <= seconds).drop("bucket")
+    placed = right.withColumn("_bucket", F.floor(F.col(other) / width))
+    keys = F.col("bucket") == F.col("_bucket")
+    for mine, theirs in (on or {}).items():
+        keys = keys & (F.col(mine) == F.col(theirs))
+    return offered.join(placed, keys).where(F.abs(F.col(at) - F.col(other)) <= seconds).drop("bucket", "_bucket")
 
 
 def snapshot_states(matches: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -80,3 +84,14 @@ def previous_changes(snapshots: DataFrame) -> DataFrame:
     """Each snapshot with the home odds of the one before it for the same match and bookmaker."""
     w = Window.partitionBy("match_id", "bookmaker").orderBy("available_at", "snapshot_id")
     return snapshots.withColumn("previous_home_odds", F.lag("home_odds").over(w))
+
+
+def probe_changes(snapshots: DataFrame, of: Column, hours: int) -> DataFrame:
+    """(n_changed): matches whose as-of odds change if the snapshots that `of` names are offered again with conspicuous
+    odds, so many hours after kickoff."""
+    later = snapshots.where(of).withColumns({
+        "snapshot_id": F.col("snapshot_id") + 5, "available_at": F.col("kickoff_at") + F.make_dt_interval(hours=F.lit(hours)), "home_odds": F.lit(1.01), "draw_odds": F.lit(20e0), "away_odds": F.lit(30e0),
+    })
+    before = latest_odds(snapshots).select("match_id", F.col("snapshot_id").alias("a"))
+    after = latest_odds(snapshots.unionByName(later)).select("match_id", F.col("snapshot_id").alias("b"))
+    return before.join(after, "match_id", "full_outer").agg(F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("n_changed"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,51 +12,72 @@ from pyspark.sql import functions as F
 INITIAL, K, HOME_ADVANTAGE, SCALE = 1500.0, 20.0, 80.0, 400.0
 
 
-def walk(rows: pd.DataFrame, k: float = K, home_advantage: float = HOME_ADVANTAGE) -> pd.DataFrame:
-    """Ratings at kickoff of one pool's matches. Events go by (time, kind, id), and at one time all kickoffs are read
-    before results are applied: a result known just at a kickoff isn't seen by it."""
-    events = []
-    for r in rows.itertuples(index=False):
-        events.append((r.kt, 0, r.match_id, r.h, r.a, -1, -1))
-        if r.at == r.at and r.at is not None:
-            events.append((r.at, 1, r.match_id, r.h, r.a, r.hs, r.as_))
-    ratings: dict[int, float] = {}
-    out = []
-    for _, kind, match, h, a, hs, as_ in sorted(events):
-        rh, ra = ratings.get(h, INITIAL), ratings.get(a, INITIAL)
-        if kind == 0:
-            out.append((match, rh, ra))
-            continue
-        expected = 1.0 / (1.0 + 10.0 ** ((ra - (rh + home_advantage)) / SCALE))
-        actual = 1.0 if hs > as_ else 0.5 if hs == as_ else 0.0
-        ratings[h] = rh + k * (actual - expected)
-        ratings[a] = ra + k * ((1.0 - actual) - (1.0 - expected))
-    return pd.DataFrame(out, columns=["match_id", "home_elo", "away_elo"])
-
-
-def elo_walk(matches: DataFrame, pool: str = "league", k: float = K, home_advantage: float = HOME_ADVANTAGE) -> DataFrame:
-    """(pool, match_id, home_elo, away_elo, elo_diff) before every match.
-
-    A rating depends on all earlier results of its pool, so a pool is the unit of parallel work: pools are folded side
-    by side, and a pool is as large as one competition's history (six numbers a match).
+def walk(batches: Iterator[pd.DataFrame], ks: np.ndarray, advantages: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Ratings at every kickoff, for all cells of parameters at once, from events in the order of pool, time, kind and id.
+
+    At one time all kickoffs come before results: a result known just at a kickoff isn't seen by it. Only the ratings of
+    the pool at hand are kept from batch to batch.
     """
+    pool, ratings = None, {}
+    initial = np.full(len(ks), INITIAL)
+    for batch in batches:
+        at, home, away = [], [], []
+        columns = (batch[c].tolist() for c in ("pool", "kind", "h", "a", "hs", "as_"))
+        for i, (p, kind, h, a, hs, as_) in enumerate(zip(*columns)):
+            if p != pool:
+                pool, ratings = p, {}
+            rh, ra = ratings.get(h, initial), ratings.get(a, initial)
+            if kind == 0:
+                at.append(i)
+                home.append(rh)
+                away.append(ra)
+                continue
+            expected = 1.0 / (1.0 + 10.0 ** ((ra - (rh + advantages)) / SCALE))
+            actual = 1.0 if hs > as_ else 0.5 if hs == as_ else 0.0
+            ratings[h] = rh + ks * (actual - expected)
+            ratings[a] = ra + ks * ((1.0 - actual) - (1.0 - expected))
+        out = batch.iloc[at][["pool", "match_id"]]
+        yield out.assign(home=[r.tolist() for r in home], away=[r.tolist() for r in away])
+
+
+def rated(matches: DataFrame, ks: list[float], advantages: list[float], pool: str | None) -> DataFrame:
+    """(pool, match_id, home, away): the ratings before every match, an array entry for each pair of parameters."""
     seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    rows = matches.select(F.col(pool).alias("pool"), "match_id", seconds("kickoff_at").alias("kt"), seconds("available_at").cast("double").alias("at"), F.col("home_team_id").alias("h"), F.col("away_team_id").alias("a"), F.coalesce("home_score", F.lit(-1)).alias("hs"), F.coalesce("away_score", F.lit(-1)).alias("as_"))
+    of = F.col(pool).cast("string") if pool else F.lit("")
+    known = F.col("available_at").isNotNull()
+    kickoff = F.struct(seconds("kickoff_at").alias("t"), F.lit(0).alias("kind"))
+    result = F.when(known, F.struct(seconds("available_at").alias("t"), F.lit(1).alias("kind")))
+    scores = [F.coalesce(c, F.lit(-1)).cast("int").alias(n) for c, n in (("home_score", "hs"), ("away_score", "as_"))]
+    events = matches.select(of.alias("pool"), "match_id", F.col("home_team_id").alias("h"), F.col("away_team_id").alias("a"), *scores, F.explode(F.array_compact(F.array(kickoff, result))).alias("e")).select("*", "e.*").drop("e")
+    in_order = events.repartition("pool").sortWithinPartitions("pool", "t", "kind", "match_id")
+    k, ha = np.array(ks, np.float64), np.array(advantages, np.float64)
+    return in_order.mapInPandas(lambda batches: walk(batches, k, ha), "pool string, match_id long, home array<double>, away array<double>")
 
-    def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return walk(group, k, home_advantage).assign(pool=key[0])
 
-    out = rows.groupBy("pool").applyInPandas(fold, "match_id long, home_elo double, away_elo double, pool string")
-    return out.select(F.col("pool").alias(pool), "match_id", "home_elo", "away_elo", (F.col("home_elo") - F.col("away_elo")).alias("elo_diff"))
+def elo_walk(matches: DataFrame, pool: str | None = None, k: float = K, home_advantage: float = HOME_ADVANTAGE) -> DataFrame:
+    """(match_id, home_elo, away_elo, elo_diff) before every match, and the pool where one is named.
 
+    All competitions share one timeline: a rating depends on all earlier results of its team wherever they were played, so
+    the fold is sequential by nature, one task that holds a number a team and reads sorted events in batches. Where
+    ratings are to be kept apart by a column, that is the pool, and pools are folded side by side. Null scores of a known
+    result count as a draw; an empty table gives no rows.
+    """
+    out = rated(matches, [k], [home_advantage], pool)
+    home, away = F.col("home")[0], F.col("away")[0]
+    return out.select(*([F.col("pool").alias(pool)] if pool else []), "match_id", home.alias("home_elo"), away.alias("away_elo"), (home - away).alias("elo_diff"))
 
-def elo_grid(matches: DataFrame, ks: tuple[int, ...] = (10, 15, 20, 25, 30), advantages: tuple[int, ...] = (0, 40, 60, 80, 100), pool: str = "league") -> DataFrame:
-    """elo_walk for every pair of parameters: 25 cells by number of pools, folded side by side."""
-    seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    cells = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(ha).alias("ha")) for k in ks for ha in advantages)))
-    rows = matches.select(F.col(pool).alias("pool"), "match_id", seconds("kickoff_at").alias("kt"), seconds("available_at").cast("double").alias("at"), F.col("home_team_id").alias("h"), F.col("away_team_id").alias("a"), F.coalesce("home_score", F.lit(-1)).alias("hs"), F.coalesce("away_score", F.lit(-1)).alias("as_"), cells.alias("cell")).select("*", "cell.k", "cell.ha").drop("cell")
 
-    def fold(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return walk(group, float(key[1]), float(key[2])).assign(k=key[1], ha=key[2])
+def elo_grid(matches: DataFrame, ks: tuple[int, ...] = (10, 15, 20, 25, 30), advantages: tuple[int, ...] = (0, 40, 60, 80, 100), pool: str | None = None) -> DataFrame:
+    """elo_walk for every pair of parameters (k, ha), all of them in one fold."""
+    cells = [(k, ha) for k in ks for ha in advantages]
+    out = rated(matches, [k for k, _ in cells], [ha for _, ha in cells], pool)
+    named = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(ha).alias("ha")) for k, ha in cells))
+    each = out.select("match_id", F.explode(F.arrays_zip(named.alias("cell"), F.col("home").alias("home"), F.col("away").alias("away"))).alias("x"))
+    return each.select("match_id", F.col("x.home").alias("home_elo"), F.col("x.away").alias("away_elo"), "x.cell.k", "x.cell.ha")
+
 
-    return rows.groupBy("pool", "k", "ha").applyInPandas(fold, "match_id long, home_elo double, away_elo double, k int, ha int")
+def agreement(stored: DataFrame, rebuilt: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, mae, p95, largest): absolute differences of stored and rebuilt rating differences, joined by match."""
+    e = F.abs(F.col("elo_diff") - F.col("_again"))
+    joined = stored.join(rebuilt.select("match_id", F.col("elo_diff").alias("_again")), "match_id")
+    return joined.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(e).alias("mae"), F.percentile(e, 0.95).alias("p95"), F.max(e).alias("largest"))

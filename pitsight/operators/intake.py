@@ -129,10 +129,17 @@ def thinned(slots: DataFrame, group: str, at: str, gap: int) -> DataFrame:
 
 
 def audit(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Null rate, distinct values, range, mean, population deviation and median of each column, in one grouped pass over
-    the unpivoted rows."""
+    """Null rate, distinct values, range, mean, population deviation and median of each column. The unpivoted rows are
+    first counted by value, so that the last step sees every distinct value once, however many rows have it."""
     long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns))).alias("f")).select("f.*")
-    return long.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.col("x").isNull().cast("double")).alias("null_rate"), F.countDistinct("x").alias("n_distinct"), F.min("x").alias("low"), F.max("x").alias("high"),
-        F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.percentile("x", 0.5).alias("p50"),
+    counted = long.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("k"))
+    x, k = F.col("x"), F.col("k")
+    known = F.sum(F.when(x.isNotNull(), k))
+    mean = F.sum(x * k) / known
+    moments = counted.groupBy("feature").agg(
+        F.sum("k").alias("n"), (F.coalesce(F.sum(F.when(x.isNull(), k)), F.lit(0)) / F.sum("k")).alias("null_rate"), F.count("x").alias("n_distinct"), F.min("x").alias("low"), F.max("x").alias("high"),
+        mean.alias("mean"), F.percentile("x", F.lit(0.5), F.col("k")).alias("p50"),
     )
+    spread = counted.join(F.broadcast(moments.select("feature", F.col("mean").alias("m"))), "feature").groupBy("feature").agg(F.sqrt(F.sum(k * (x - F.col("m")) * (x - F.col("m"))) / known).alias("std"))
+    # A row a column on both sides.
+    return moments.join(F.broadcast(spread), "feature").select("feature", "n", "null_rate", "n_distinct", "low", "high", "mean", "std", "p50")

@@ -122,3 +122,10 @@ def buckets(rows: DataFrame, column: str, bins: list[tuple[str, float | None, fl
     counted = rows.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"), F.sum("profit").alias("profit"))
     names = rows.sparkSession.createDataFrame([(b[0],) for b in bins], "label string")
     return names.join(counted, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("profit", F.lit(0e0)).alias("profit"))
+
+
+def fingerprints(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """(by, n, fingerprint): the sum of the rows' hashes (60 bits of SHA-256 over the columns as text) in each group. It
+    doesn't depend on the order of rows, and repeats count."""
+    one = F.conv(F.substring(F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in columns)), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(one).cast("decimal(38,0)").cast("string").alias("fingerprint"))

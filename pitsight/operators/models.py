@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import odds as O
 
 CLASSES = ("HOME", "DRAW", "AWAY")
+#: Partitions that training rows of sampled models are dealt into.
+FIT_PARTITIONS = 16
 
 
 def split_roles(rows: DataFrame, folds: list[tuple[str, str, str, str]], at: str = "kickoff_at") -> DataFrame:
@@ -33,6 +35,14 @@ def period_of(at: Column, bounds: list[tuple[str, str]], last: str) -> Column:
     return out.otherwise(last)
 
 
+def disjoint_cover(rows: DataFrame, periods: list[tuple[str, str, str]], at: str = "kickoff_at") -> DataFrame:
+    """(rows_in, covered, shared, disjoint_cover): rows, those inside of some half-open period, those inside of several,
+    and whether every row is in exactly one. Bounds are literals: one pass without a join."""
+    time = lambda s: F.lit(s).cast("timestamp_ntz")
+    hits = sum(((F.col(at) >= time(a)) & (F.col(at) < time(b))).cast("int") for _, a, b in periods)
+    return rows.agg(F.count(F.lit(1)).alias("rows_in"), F.count_if(hits > 0).alias("covered"), F.count_if(hits > 1).alias("shared"), (F.count_if(hits != 1) == 0).alias("disjoint_cover"))
+
+
 def class_frequencies(train: DataFrame, y: str = "y", by: list[str] | None = None) -> DataFrame:
     shares = [F.avg((F.col(y) == c).cast("double")).alias(f"p_{c.lower()}") for c in CLASSES]
     return train.groupBy(*(by or [])).agg(*shares, F.count(F.lit(1)).alias("n"))
@@ -57,10 +67,36 @@ def log_loss_of(y: Column, home: Column, draw: Column, away: Column) -> Column:
     return -F.log(F.greatest(O.probability_of(y, home, draw, away), F.lit(O.CLIP)))
 
 
+def advantage_losses(rates: DataFrame, factors: list[float], y: str = "target") -> DataFrame:
+    """(advantage, log_loss) of the Poisson model with the home side's rate times each factor."""
+    each = rates.select(y, "lambda_home", "lambda_away", F.explode(F.array(*map(F.lit, factors))).alias("advantage"))
+    p = O.poisson_1x2(F.col("lambda_home") * F.col("advantage"), F.col("lambda_away"))
+    return each.groupBy("advantage").agg(F.avg(log_loss_of(F.col(y), *p)).alias("log_loss"))
+
+
+def provenance(cards: DataFrame, rows: DataFrame, frozen: dict[str, str], at: str = "kickoff_at") -> DataFrame:
+    """(model_version, check_name, ok): each registered card against the frozen protocol and the rows that it names.
+
+    cards: (model_version, status, selected_model, train_end, select_end, test_start, train_rows, select_rows, test_rows).
+    The period ends must be the frozen ones, the selection must end where the test starts, the status and model must be
+    the frozen ones, and each number of rows must be positive and that of the table. Cards are few: rows are counted once
+    for all of them."""
+    time = lambda c: F.col(c).cast("timestamp_ntz")
+    inside = {"train": F.col(at) < time("train_end"), "select": (F.col(at) >= time("train_end")) & (F.col(at) < time("select_end")), "test": F.col(at) >= time("test_start")}
+    counted = rows.select(at).crossJoin(F.broadcast(cards)).groupBy("model_version").agg(*(F.count_if(c).alias(f"{n}_counted") for n, c in inside.items()))
+    joined = cards.join(counted, "model_version", "left")
+    checks = {c: F.col(c) == F.lit(frozen[c]) for c in ("status", "selected_model", "train_end", "select_end", "test_start")}
+    checks["select_ends_at_test"] = F.col("select_end") == F.col("test_start")
+    for n in inside:
+        checks[f"{n}_rows"] = (F.col(f"{n}_rows") > 0) & (F.col(f"{n}_rows") == F.coalesce(f"{n}_counted", F.lit(0)))
+    listed = F.explode(F.array(*(F.struct(F.lit(n).alias("check_name"), F.coalesce(c, F.lit(False)).alias("ok")) for n, c in checks.items())))
+    return joined.select("model_version", listed.alias("x")).select("model_version", "x.*")
+
+
 def draw_transform_grid(rows: DataFrame, bases: list[float], decays: list[float]) -> DataFrame:
     """Mean log-loss of the rating model for every pair of draw parameters: rows are first summed up by rating
     difference and outcome, so that the grid meets a bounded number of groups rather than every match."""
-    grouped = rows.groupBy(F.round("elo_diff").alias("diff"), "y").agg(F.count(F.lit(1)).alias("n"))
+    grouped = rows.groupBy(F.bround("elo_diff").alias("diff"), "y").agg(F.count(F.lit(1)).alias("n"))
     cells = F.explode(F.array(*(F.struct(F.lit(b).alias("draw_base"), F.lit(d).alias("draw_decay")) for b in bases for d in decays)))
     each = grouped.withColumn("cell", cells).select("diff", "y", "n", "cell.*")
     expected = F.lit(1e0) / (F.lit(1e0) + F.pow(F.lit(1e1), -((F.col("diff") + O.HOME_ADVANTAGE) / O.SCALE)))
@@ -114,15 +150,20 @@ def isotonic_calibrated(fit: DataFrame, rows: DataFrame, least_rows: int = 200,
 
 
 def boosted_trees(train: DataFrame, rows: DataFrame, features: list[str], rounds: int = 10, depth: int = 4) -> DataFrame:
-    """Gradient-boosted trees, one class against the rest, scaled to a sum of one: MLlib's in place of other libraries'."""
+    """Gradient-boosted trees, one class against the rest, scaled to a sum of one: MLlib's in place of other libraries'.
+
+    Rows are sampled by partition and place, so training rows are dealt and ordered by match_id first: reruns agree
+    whatever the shuffles before."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     assemble = VectorAssembler(inputCols=features, outputCol="x")
-    fit, out = assemble.transform(train).select("x", "y").persist(), assemble.transform(rows.persist())
+    dealt = train.repartition(FIT_PARTITIONS, "match_id").sortWithinPartitions("match_id")
+    fit, out = assemble.transform(dealt).select("x", "y").persist(), assemble.transform(rows)
     for c in CLASSES:
         model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=42).fit(fit.withColumn("label", (F.col("y") == c).cast("double")))
         out = model.transform(out).withColumn(f"p_{c.lower()}", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
+    fit.unpersist()
     p = O.clipped(F.col("p_home"), F.col("p_draw"), F.col("p_away"))
     return out.drop("x").withColumns({"p_home": p[0], "p_draw": p[1], "p_away": p[2]})

@@ -53,3 +53,22 @@ def observed(events: DataFrame, key: str, order: list[str], at: str, start: str,
     last = F.max_by(F.struct(*events.columns), F.struct(*order)).alias("e")
     inside = (F.col(at) >= F.lit(start).cast("timestamp_ntz")) & (F.col(at) < F.lit(end).cast("timestamp_ntz"))
     return events.groupBy(F.col(key).alias("_key")).agg(last).select("e.*").withColumn("in_window", inside)
+
+
+def unaligned(matches: DataFrame, events: DataFrame, covered: DataFrame, seconds: int = 120) -> DataFrame:
+    """Matches that aren't covered and that no event's time lies within so many seconds of.
+
+    matches: (match_id, t, ...), events: (t), covered: (match_id); times in seconds. Event times are rounded down to
+    buckets, so a match looks into three of them."""
+    open_ = matches.join(covered.select("match_id").distinct(), "match_id", "left_anti")
+    times = events.select(F.col("t").alias("_t")).distinct().withColumn("_b", F.floor(F.col("_t") / seconds))
+    near = open_.select("match_id", "t", F.explode(F.array(*(F.floor(F.col("t") / seconds) + i for i in (-1, 0, 1)))).alias("_b"))
+    present = near.join(times, "_b").where(F.abs(F.col("_t") - F.col("t")) <= seconds).select("match_id").distinct()
+    return open_.join(present, "match_id", "left_anti")
+
+
+def day_slots(matches: DataFrame, existing: DataFrame) -> DataFrame:
+    """(league, day, slot_at, n): one slot a league and day, at the first kickoff, but for those asked for before.
+    matches: (league, kickoff_at), existing: (league, slot_at)."""
+    slots = matches.groupBy("league", F.to_date("kickoff_at").alias("day")).agg(F.min("kickoff_at").alias("slot_at"), F.count(F.lit(1)).alias("n"))
+    return slots.join(existing.select("league", "slot_at").distinct(), ["league", "slot_at"], "left_anti")

@@ -67,3 +67,27 @@ def parity_errors(values: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """Number of value rows whose stored figures differ from recomputed ones."""
     off = lambda stored, again: F.count_if(F.abs(F.col(stored) - again) > tolerance).alias(f"{stored}_errors")
     return values.agg(F.count(F.lit(1)).alias("n"), off("implied", F.lit(1e0) / F.col("odds")), off("edge", F.col("p") - F.lit(1e0) / F.col("odds")), off("ev", F.col("p") * F.col("odds") - 1))
+
+
+def page_info(total: Column, limit: Column, offset: Column) -> Column:
+    """(page, page_count, has_previous, has_next, range_start, range_end) of a page of a list."""
+    size = F.greatest(limit, F.lit(1))
+    return F.struct(
+        (F.floor(offset / size) + 1).alias("page"), F.greatest(F.ceil(total / size), F.lit(1)).alias("page_count"), (offset > 0).alias("has_previous"), (offset + size < total).alias("has_next"),
+        F.when(total == 0, 0).otherwise(offset + 1).cast("long").alias("range_start"), F.least(offset + size, total).cast("long").alias("range_end"),
+    )
+
+
+def page_summary(page: DataFrame) -> DataFrame:
+    """(displayed, best_match, best_selection, average_ev, average_edge) of one page of picks; the best is that of the
+    lowest rank. Averages are null for an empty page."""
+    best = F.min_by(F.struct("match_id", "selection"), "pick_rank")
+    return page.agg(F.count(F.lit(1)).alias("displayed"), best["match_id"].alias("best_match"), best["selection"].alias("best_selection"), F.avg("ev").alias("average_ev"), F.avg("edge").alias("average_edge"))
+
+
+SORTS = {"edge": "edge", "ev": "ev", "probability": "p", "odds": "odds"}
+
+
+def sorted_values(rows: DataFrame, sort: str) -> DataFrame:
+    """Value rows by one of SORTS, highest first, ties by match and selection; any other sort leaves them as they are."""
+    return rows.orderBy(F.desc(SORTS[sort]), "match_id", "selection") if sort in SORTS else rows

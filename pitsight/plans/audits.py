@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import odds as O
 from ..functions import text as X
 from ..operators import elo, metrics, models, value
 from ..sources import bridge, readers
 from .catalog import values
 from .history import ELO, FEATURES, features
-from .modelling import FOLDS, PERIODS, ROLES, TRAIN_END
+from .modelling import FACTORIALS, FOLDS, PERIODS, POISSON, ROLES, TRAIN_END
 from .registry import query
 from .reports import BETS, BIN, LABELLED, STRATEGY, bets, labelled, rounded, tidy
 
@@ -27,12 +26,21 @@ def class_ece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(binned.groupBy("class").agg((F.sum(F.col("n") * F.abs(F.col("h") - F.col("c"))) / F.sum("n")).alias("ece")), "ece")
 
 
-@query(ELO + " SELECT league, count(*) AS n, round(avg(e), 6) AS mae, round(quantile_cont(e, 0.95), 6) AS p95, round(max(e), 6) AS largest FROM (SELECT league, abs(elo_diff - round(elo_diff, 0)) AS e FROM elo) GROUP BY league")
+#: The walk over matches some of whose results became known two days later.
+LATE = ELO.replace(", ev AS MATERIALIZED", ", lm AS (SELECT * REPLACE (CASE WHEN match_id % 11 = 0 THEN available_at + INTERVAL 2 DAYS ELSE available_at END AS available_at) FROM m), lev AS MATERIALIZED", 1)
+for old, new in (("FROM m\n", "FROM lm\n"), ("FROM m WHERE", "FROM lm WHERE"), ("cell AS", "lcell AS"), ("FROM cell", "FROM lcell"), ("w AS (", "lw AS ("), ("w.", "lw."), ("ev.", "lev."), ("FROM w ", "FROM lw "), ("JOIN ev ", "JOIN lev "), ("elo AS (", "late AS (")):
+    LATE = LATE.replace(old, new)
+
+
+@query(ELO + LATE + """ SELECT league, count(*) AS n, round(avg(e), 6) AS mae, round(quantile_cont(e, 0.95), 6) AS p95, round(max(e), 6) AS largest
+FROM (SELECT elo.league, abs(elo.elo_diff - late.elo_diff) AS e FROM elo JOIN late ON late.match_id = elo.match_id) GROUP BY league""")
 def reconstruction_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of rebuilt rating differences from stored ones (here: whole numbers)."""
-    walked = elo.elo_walk(bridge.matches(spark, sf_dir))
-    e = F.abs(F.col("elo_diff") - F.round("elo_diff", 0))
-    return rounded(walked.groupBy("league").agg(F.count(F.lit(1)).alias("n"), F.avg(e).alias("mae"), F.percentile(e, 0.95).alias("p95"), F.max(e).alias("largest")), "mae", "p95", "largest")
+    """Ratings rebuilt with three hours from kickoff to result against stored ones, for which some results came later."""
+    m = bridge.matches(spark, sf_dir)
+    late = F.when(F.col("match_id") % 11 == 0, F.col("available_at") + F.expr("INTERVAL 2 DAYS")).otherwise(F.col("available_at"))
+    stored = elo.elo_walk(m.withColumn("available_at", late))
+    found = elo.agreement(stored.join(m.select("match_id", "league"), "match_id"), elo.elo_walk(m), ["league"])
+    return rounded(found, "mae", "p95", "largest")
 
 
 @query(LABELLED + ROLES + """ SELECT fold, count(*) AS n, count(DISTINCT match_id) AS distinct_ids, count(*) FILTER (WHERE role = 'train' AND kickoff_at >= b) + count(*) FILTER (WHERE role = 'validation' AND kickoff_at < b) AS misplaced FROM (
@@ -56,23 +64,6 @@ def dataset_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.dataset_problems(faulty, ["home_elo_pre", "home_form_5", "elo_diff"], {"version": "1"})
 
 
-@query(FEATURES + """ SELECT league, count(*) AS n, count(*) FILTER (WHERE same > 1) AS tied, count(*) FILTER (WHERE home_matches_played > seen_home) AS future_rows FROM (
-  SELECT f.league, f.match_id, home_matches_played, count(*) OVER (PARTITION BY f.league, f.kickoff_at) AS same, (SELECT count(*) FROM m x WHERE x.status = 'finished' AND (x.home_team_id = m.home_team_id OR x.away_team_id = m.home_team_id) AND x.available_at < m.kickoff_at) AS seen_home
-  FROM feats f JOIN m ON m.match_id = f.match_id WHERE f.status = 'finished' AND f.match_id % 97 = 0) GROUP BY league""")
-def pit_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches of a built table that tie with another, and those that count more earlier matches than were known: the
-    count is taken again from availability times."""
-    m = bridge.matches(spark, sf_dir)
-    rows = features(m).where("status = 'finished' AND match_id % 97 = 0").select("match_id", "league", "kickoff_at", "home_matches_played")
-    sides = m.select("match_id", "status", "available_at", F.explode(F.array("home_team_id", "away_team_id")).alias("team_id"))
-    asked = rows.join(m.select("match_id", F.col("home_team_id").alias("team_id")), "match_id")
-    known = sides.where("status = 'finished'").select("team_id", "available_at")
-    seen = asked.join(known, "team_id").where(F.col("available_at") < F.col("kickoff_at")).groupBy("match_id").agg(F.count(F.lit(1)).alias("seen"))
-    same = F.count(F.lit(1)).over(Window.partitionBy("league", "kickoff_at"))
-    checked = rows.join(seen, "match_id", "left").withColumn("same", same)
-    return checked.groupBy("league").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("same") > 1).alias("tied"), F.count_if(F.col("home_matches_played") > F.coalesce("seen", F.lit(0))).alias("future_rows"))
-
-
 def pit_checks(table: DataFrame, m: DataFrame) -> DataFrame:
     """(league, n, tied, future_rows, self_rows, elo_mismatches) over all rows of a built table: rows that share league
     and kickoff with another, that count more earlier matches of a side than were known, whose own result is known
@@ -96,12 +87,32 @@ def pit_checks(table: DataFrame, m: DataFrame) -> DataFrame:
     return checked.groupBy("league").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("same") > 1).alias("tied"), F.count_if(future).alias("future_rows"), F.count_if(F.col("own")).alias("self_rows"), F.count_if(~rated).alias("elo_mismatches"))
 
 
+SEEN = """, asks AS (SELECT match_id, side, team_id, t, own, result, sum(result) OVER (PARTITION BY team_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (
+  SELECT match_id, side, team_id, CAST(epoch(kickoff_at) AS BIGINT) AS t, coalesce(available_at < kickoff_at, false) AS own, 0 AS result FROM mside UNION ALL
+  SELECT match_id, side, team_id, CAST(epoch(available_at) AS BIGINT), false, 1 FROM mside WHERE available_at IS NOT NULL)),
+known AS (SELECT match_id, max(before) FILTER (WHERE side = 'home') AS home_seen, max(before) FILTER (WHERE side = 'away') AS away_seen FROM (SELECT match_id, side, coalesce(before, 0) - CAST(own AS INT) AS before FROM asks WHERE result = 0) GROUP BY match_id)"""
+MSIDE = ", mside AS (SELECT match_id, 'home' AS side, home_team_id AS team_id, kickoff_at, available_at FROM m UNION ALL SELECT match_id, 'away', away_team_id, kickoff_at, available_at FROM m)"
+
+
+@query(FEATURES + MSIDE + SEEN + """, built AS (SELECT * REPLACE (home_elo_pre + CASE WHEN match_id % 7 = 1 THEN 1e0 ELSE 0e0 END AS home_elo_pre, away_matches_played + CASE WHEN match_id % 13 = 2 THEN 1 ELSE 0 END AS away_matches_played) FROM feats WHERE status = 'finished')
+SELECT b.league, count(*) AS n, count(*) FILTER (WHERE same > 1) AS tied, count(*) FILTER (WHERE home_matches_played > home_seen OR away_matches_played > away_seen) AS future_rows,
+  count(*) FILTER (WHERE m.available_at < m.kickoff_at) AS self_rows, count(*) FILTER (WHERE home_elo_pre <> home_elo OR away_elo_pre <> away_elo) AS elo_mismatches
+FROM (SELECT *, count(*) OVER (PARTITION BY league, kickoff_at) AS same FROM built) b JOIN known k ON k.match_id = b.match_id JOIN elo ON elo.match_id = b.match_id JOIN m ON m.match_id = b.match_id GROUP BY b.league""")
+def pit_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule of pit_checks over a whole built table with planted faults: ratings that are one off, and matches that
+    count one result more than was known."""
+    m, k = bridge.matches(spark, sf_dir), F.col("match_id")
+    faults = {"home_elo_pre": F.col("home_elo_pre") + F.when(k % 7 == 1, 1e0).otherwise(0e0), "away_matches_played": F.col("away_matches_played") + F.when(k % 13 == 2, 1).otherwise(0)}
+    return pit_checks(features(m).where("status = 'finished'").withColumns(faults), m)
+
+
 @query()
 def pit_recheck_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What pit_recheck asks of every 97th match asked of all, with own results and ratings."""
+    """The same over the table as it is built."""
     m = bridge.matches(spark, sf_dir)
     return pit_checks(features(m).where("status = 'finished'"), m)
 
+
 @query(BETS + """, pm AS (SELECT league, selection, hit, profit, sum(hit) OVER w AS island, sum(profit) OVER w AS eq FROM x WINDOW w AS (PARTITION BY league ORDER BY kickoff_at, match_id, selection ROWS UNBOUNDED PRECEDING))
 SELECT a.league, n, hits, profit, CASE WHEN l = 0 THEN NULL ELSE round(g / l, 6) END AS profit_factor, longest_losing_streak, best FROM (
   SELECT league, count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, round(sum(profit), 4) AS profit, sum(greatest(profit, 0e0)) AS g, sum(greatest(-profit, 0e0)) AS l, round(max(eq), 4) AS best FROM pm GROUP BY league) a
@@ -162,22 +173,35 @@ def shown_percents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("match_id", X.percent(F.col("p_home")).alias("home"), X.percent(F.col("p_draw")).alias("draw"))
 
 
-@query(LABELLED + f""", tr AS (SELECT * FROM q WHERE kickoff_at < TIMESTAMP '{TRAIN_END}'), gr AS (SELECT 0.9e0 + 0.025e0 * i AS advantage FROM range(19) r(i)),
-ls AS (SELECT advantage, avg(-ln(CASE y WHEN 'HOME' THEN h WHEN 'DRAW' THEN dd ELSE aa END / (h + dd + aa))) AS loss FROM (SELECT advantage, y, p_home * advantage AS h, p_draw AS dd, p_away / advantage AS aa FROM tr, gr) GROUP BY advantage)
-SELECT round(advantage, 6) AS advantage, round(loss, 8) AS log_loss FROM ls""")
+@query(POISSON + f""", gr AS (SELECT 0.9e0 + 0.025e0 * i AS advantage FROM range(19) r(i)), lt AS (SELECT lam.* FROM lam JOIN tr ON tr.match_id = lam.match_id),
+gs AS (SELECT match_id, advantage, any_value(target) AS y, sum(pr) FILTER (WHERE i > j) AS h, sum(pr) FILTER (WHERE i = j) AS dd, sum(pr) FILTER (WHERE i < j) AS aa FROM (
+  SELECT match_id, advantage, target, x.i AS i, y.i AS j, exp(-lh * advantage) * pow(lh * advantage, x.i) / [{FACTORIALS}][x.i + 1] * exp(-la) * pow(la, y.i) / [{FACTORIALS}][y.i + 1] AS pr FROM lt, gr, range(11) x(i), range(11) y(i)) GROUP BY match_id, advantage),
+ls AS (SELECT advantage, avg(-ln(greatest(CASE y WHEN 'HOME' THEN h WHEN 'DRAW' THEN dd ELSE aa END / (h + dd + aa), 1e-15))) AS loss FROM gs GROUP BY advantage)
+SELECT round(advantage, 6) AS advantage, round(loss, 8) AS log_loss, row_number() OVER (ORDER BY round(loss, 8), advantage) = 1 AS chosen FROM ls""")
 def advantage_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log-loss of nineteen home advantages in one pass: every row is offered to all cells and summed before the shuffle."""
-    train = labelled(spark, sf_dir).where(F.col("kickoff_at") < F.lit(TRAIN_END).cast("timestamp_ntz"))
-    a = F.col("advantage")
-    rows = train.select("y", "p_home", "p_draw", "p_away", F.explode(F.array(*(F.lit(0.9) + F.lit(0.025) * i for i in range(19)))).alias("advantage"))
-    h, d, w = F.col("p_home") * a, F.col("p_draw"), F.col("p_away") / a
-    loss = -F.log(O.probability_of(F.col("y"), h, d, w) / (h + d + w))
-    return rows.groupBy("advantage").agg(F.avg(loss).alias("log_loss")).select(F.round("advantage", 6).alias("advantage"), F.round("log_loss", 8).alias("log_loss"))
+    """Log-loss of nineteen factors on the home side's goal rate, the first smallest marked, in one pass: every row is
+    offered to all cells and summed before the shuffle. The window ranges over one row a cell."""
+    rows = features(bridge.matches(spark, sf_dir)).where("status = 'finished'")
+    train = rows.where(F.col("kickoff_at") < F.lit(TRAIN_END).cast("timestamp_ntz"))
+    rates = models.goal_rates(train, models.mean_goal_rates(train))
+    grid = models.advantage_losses(rates, [0.9 + 0.025 * i for i in range(19)])
+    shown = grid.select(F.round("advantage", 6).alias("advantage"), F.round("log_loss", 8).alias("log_loss"))
+    return shown.withColumn("chosen", F.row_number().over(Window.orderBy("log_loss", "advantage")) == 1)
+
+
+#: (plan, period, start, end): the frozen periods, and a plan with a gap and an overlap.
+PLANS = [("frozen", n, a, b) for (n, b), a in zip([*PERIODS, ("final_test", "2100-01-01")], ["1900-01-01", *(end for _, end in PERIODS)])]
+PLANS += [("faulty", "train", "1900-01-01", TRAIN_END), ("faulty", "calibration_fit", "1999-03-01", "2000-03-01"), ("faulty", "calibration_select", PERIODS[1][1], PERIODS[2][1]), ("faulty", "final_test", PERIODS[2][1], "2100-01-01")]
+PLAN_SQL = ", ".join(f"('{p}', '{n}', TIMESTAMP '{a}', TIMESTAMP '{b}')" for p, n, a, b in PLANS)
 
 
-@query(LABELLED + f", pr AS (SELECT match_id, CASE WHEN kickoff_at < TIMESTAMP '{PERIODS[0][1]}' THEN 'train' WHEN kickoff_at < TIMESTAMP '{PERIODS[1][1]}' THEN 'calibration_fit' WHEN kickoff_at < TIMESTAMP '{PERIODS[2][1]}' THEN 'calibration_select' ELSE 'final_test' END AS period FROM q) SELECT count(*) AS rows_in, count(DISTINCT match_id) AS covered, CAST(0 AS BIGINT) AS shared FROM pr")
+@query(LABELLED + f""", pl AS (SELECT * FROM (VALUES {PLAN_SQL}) v(plan, period, a, b)),
+hits AS (SELECT plan, match_id, count(period) AS n FROM (SELECT p.plan, q.match_id, pl.period FROM q CROSS JOIN (SELECT DISTINCT plan FROM pl) p LEFT JOIN pl ON pl.plan = p.plan AND kickoff_at >= a AND kickoff_at < b) GROUP BY plan, match_id)
+SELECT plan, count(*) AS rows_in, count(*) FILTER (WHERE n > 0) AS covered, count(*) FILTER (WHERE n > 1) AS shared, count(*) FILTER (WHERE n <> 1) = 0 AS disjoint_cover FROM hits GROUP BY plan""")
 def period_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The periods cover the table and share no match."""
-    rows = labelled(spark, sf_dir).select("match_id", models.period_of(F.col("kickoff_at"), PERIODS, "final_test").alias("period"))
-    each = rows.groupBy("match_id").agg(F.countDistinct("period").alias("periods"), F.count(F.lit(1)).alias("n"))
-    return each.agg(F.sum("n").alias("rows_in"), F.count(F.lit(1)).alias("covered"), F.count_if(F.col("periods") > 1).alias("shared"))
+    """Whether the periods of each plan cover all rows, and share none: the frozen plan, and one with faults."""
+    rows, out = labelled(spark, sf_dir), None
+    for plan in ("frozen", "faulty"):
+        one = models.disjoint_cover(rows, [(n, a, b) for p, n, a, b in PLANS if p == plan]).withColumn("plan", F.lit(plan))
+        out = one if out is None else out.union(one)
+    return out

@@ -35,18 +35,22 @@ hh AS (
   FROM pairs WINDOW w AS (PARTITION BY lo, hi ORDER BY kt RANGE BETWEEN UNBOUNDED PRECEDING AND 10801 PRECEDING)),
 h2h AS (
   SELECT match_id, meetings, CASE WHEN h = lo THEN lw ELSE hw END AS home_wins, draws, CASE WHEN h = lo THEN hw ELSE lw END AS away_wins, CAST(meetings >= 2 AS INT) AS available FROM hh)"""
-ELO = """, ev AS (
-  SELECT league, match_id, h, a, kind, hs, aw, row_number() OVER (PARTITION BY league ORDER BY ts, kind, match_id) AS n FROM (
+ELO = """, ev AS MATERIALIZED (
+  SELECT league, match_id, h, a, kind, hs, aw, row_number() OVER (ORDER BY ts, kind, match_id) AS n FROM (
     SELECT league, match_id, home_team_id AS h, away_team_id AS a, 0 AS kind, epoch(kickoff_at) AS ts, 0 AS hs, 0 AS aw FROM m
     UNION ALL SELECT league, match_id, home_team_id, away_team_id, 1, epoch(available_at), home_score, away_score FROM m WHERE status = 'finished')),
+cell AS (SELECT * FROM (VALUES {cells}) c(k, ha)),
 w AS (
-  SELECT league, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS match_id, 1 AS kind, [1500e0 FOR x IN range(20)] AS r, 0e0 AS he, 0e0 AS ae FROM (SELECT DISTINCT league FROM ev)
+  SELECT k, ha, CAST('' AS VARCHAR) AS league, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS match_id, 1 AS kind, [1500e0 FOR x IN range(20)] AS r, 0e0 AS he, 0e0 AS ae FROM cell
   UNION ALL
-  SELECT league, n, match_id, kind, CASE WHEN kind = 0 THEN r ELSE [CASE WHEN x = h THEN he + 20e0 * (act - e) WHEN x = a THEN ae + 20e0 * ((1e0 - act) - (1e0 - e)) ELSE r[x + 1] END FOR x IN range(20)] END, he, ae
-  FROM (SELECT ev.league, ev.n, ev.match_id, ev.kind, ev.h, ev.a, w.r, w.r[ev.h + 1] AS he, w.r[ev.a + 1] AS ae,
-          1e0 / (1e0 + pow(10e0, (w.r[ev.a + 1] - (w.r[ev.h + 1] + 80e0)) / 400e0)) AS e, CASE WHEN hs > aw THEN 1e0 WHEN hs = aw THEN 0.5e0 ELSE 0e0 END AS act
-        FROM w JOIN ev ON ev.league = w.league AND ev.n = w.n + 1)),
-elo AS (SELECT league, match_id, he AS home_elo, ae AS away_elo, he - ae AS elo_diff FROM w WHERE kind = 0)"""
+  SELECT k, ha, league, n, match_id, kind, CASE WHEN kind = 0 THEN r ELSE [CASE WHEN x = h THEN he + k * (act - e) WHEN x = a THEN ae + k * ((1e0 - act) - (1e0 - e)) ELSE r[x + 1] END FOR x IN range(20)] END, he, ae
+  FROM (SELECT w.k, w.ha, ev.league, ev.n, ev.match_id, ev.kind, ev.h, ev.a, w.r, w.r[ev.h + 1] AS he, w.r[ev.a + 1] AS ae,
+          1e0 / (1e0 + pow(10e0, (w.r[ev.a + 1] - (w.r[ev.h + 1] + w.ha)) / 400e0)) AS e, CASE WHEN hs > aw THEN 1e0 WHEN hs = aw THEN 0.5e0 ELSE 0e0 END AS act
+        FROM w JOIN ev ON ev.n = w.n + 1)),
+elo AS (SELECT k, ha, league, match_id, he AS home_elo, ae AS away_elo, he - ae AS elo_diff FROM w WHERE kind = 0)"""
+KS, ADVANTAGES = (10, 15, 20, 25, 30), (0, 40, 60, 80, 100)
+ELO_GRID = ELO.replace("{cells}", ", ".join(f"({k}e0, {ha}e0)" for k in KS for ha in ADVANTAGES))
+ELO = ELO.replace("{cells}", "(20e0, 80e0)")
 
 
 @query(FORM + " SELECT * FROM form")
@@ -61,7 +65,8 @@ def h2h(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ELO + " SELECT league, match_id, round(home_elo, 6) AS home_elo, round(away_elo, 6) AS away_elo, round(elo_diff, 6) AS elo_diff FROM elo")
 def elo_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    walked = elo.elo_walk(bridge.matches(spark, sf_dir))
+    m = bridge.matches(spark, sf_dir)
+    walked = elo.elo_walk(m).join(m.select("match_id", "league"), "match_id")
     return walked.select("league", "match_id", *(F.round(c, 6).alias(c) for c in ("home_elo", "away_elo", "elo_diff")))
 
 
@@ -146,16 +151,25 @@ def elo_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walked.agg(F.round(F.min(x), 4).alias("low"), q(0.1, "p10"), q(0.5, "p50"), q(0.9, "p90"), F.round(F.max(x), 4).alias("high"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_pop(x), 4).alias("std"))
 
 
-@query()
+@query(ELO_GRID + """, gp AS (SELECT k, ha, CASE y WHEN 'DRAW' THEN dr WHEN 'HOME' THEN (1e0 - dr) * e ELSE (1e0 - dr) * (1e0 - e) END AS p FROM (
+  SELECT k, ha, CASE WHEN home_score > away_score THEN 'HOME' WHEN home_score < away_score THEN 'AWAY' ELSE 'DRAW' END AS y,
+    1e0 / (1e0 + pow(10e0, -((elo_diff + ha) / 400e0))) AS e, least(greatest(0.26e0 * exp(-0.8e0 * abs(elo_diff) / 400e0), 0.05e0), 0.42e0) AS dr
+  FROM elo JOIN m ON m.match_id = elo.match_id WHERE status = 'finished')),
+gc AS (SELECT CAST(k AS INT) AS k, CAST(ha AS INT) AS ha, avg(-ln(greatest(p, 1e-15))) AS log_loss, count(*) AS n FROM gp GROUP BY k, ha)
+SELECT k, ha, round(log_loss, 8) AS log_loss, n, row_number() OVER (ORDER BY round(log_loss, 8), k, ha) AS cell_rank, round(min(log_loss) OVER (), 8) AS best, round(max(log_loss) OVER () - min(log_loss) OVER (), 8) AS spread, k = 20 AND ha = 80 AS candidate FROM gc""")
 def elo_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log-loss of every pair of step size and home advantage, ranked; too many folds for one SQL statement."""
+    """Log-loss of every pair of step size and home advantage, ranked, with the range over the grid and the candidate in
+    use marked. The windows range over one row a cell."""
     m = bridge.matches(spark, sf_dir)
-    walked = elo.elo_grid(m)
+    walked = elo.elo_grid(m, KS, ADVANTAGES)
     y = m.where("status = 'finished'").select("match_id", O.outcome(F.col("home_score"), F.col("away_score")).alias("y"))
     joined = walked.join(y, "match_id")
     diff = F.col("home_elo") - F.col("away_elo")
     expected = F.lit(1e0) / (F.lit(1e0) + F.pow(F.lit(1e1), -((diff + F.col("ha")) / 400e0)))
     draw = F.least(F.greatest(F.lit(0.26) * F.exp(F.lit(-0.8) * F.abs(diff) / 400e0), F.lit(0.05)), F.lit(0.42))
     p = F.when(F.col("y") == "DRAW", draw).when(F.col("y") == "HOME", (1 - draw) * expected).otherwise((1 - draw) * (1 - expected))
-    cells = joined.groupBy("k", "ha").agg(F.avg(-F.log(F.greatest(p, F.lit(1e-15)))).alias("log_loss"), F.count(F.lit(1)).alias("n"))
-    return cells.withColumn("cell_rank", F.row_number().over(Window.orderBy("log_loss", "k", "ha")))
+    cells = joined.groupBy("k", "ha").agg(F.avg(-F.log(F.greatest(p, F.lit(1e-15)))).alias("loss"), F.count(F.lit(1)).alias("n"))
+    every = Window.partitionBy()
+    low, high = F.min("loss").over(every), F.max("loss").over(every)
+    ranked = cells.withColumns({"log_loss": F.round("loss", 8), "best": F.round(low, 8), "spread": F.round(high - low, 8), "candidate": (F.col("k") == elo.K) & (F.col("ha") == elo.HOME_ADVANTAGE)})
+    return ranked.withColumn("cell_rank", F.row_number().over(Window.orderBy("log_loss", "k", "ha"))).drop("loss")

@@ -124,14 +124,21 @@ def elo_1x2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walked.select("match_id", *(F.round(c, 6).alias(n) for c, n in zip(p, ("p_home", "p_draw", "p_away"))))
 
 
-@query()
+@query(ELO + f""", dt AS MATERIALIZED (SELECT round_even(elo_diff, 0) AS diff, CASE WHEN home_score > away_score THEN 'HOME' WHEN home_score < away_score THEN 'AWAY' ELSE 'DRAW' END AS y, count(*) AS n
+  FROM elo JOIN m ON m.match_id = elo.match_id WHERE status = 'finished' AND kickoff_at < TIMESTAMP '{TRAIN_END}' GROUP BY 1, 2),
+dc AS (SELECT 0.12e0 + 0.02e0 * i AS draw_base, 0.25e0 * j AS draw_decay FROM range(15) a(i), range(17) b(j)),
+dp AS (SELECT draw_base, draw_decay, y, n, greatest((1e0 - dr) * e, 1e-15) AS h, greatest(dr, 1e-15) AS dd, greatest((1e0 - dr) * (1e0 - e), 1e-15) AS aa FROM (
+  SELECT *, 1e0 / (1e0 + pow(10e0, -((diff + 80e0) / 400e0))) AS e, least(greatest(draw_base * exp(-draw_decay * abs(diff) / 400e0), 0.05e0), 0.42e0) AS dr FROM dt, dc)),
+dl AS (SELECT draw_base, draw_decay, sum(-ln(CASE y WHEN 'HOME' THEN h WHEN 'DRAW' THEN dd ELSE aa END / (h + dd + aa)) * n) / sum(n) AS log_loss FROM dp GROUP BY 1, 2)
+SELECT round(draw_base, 6) AS draw_base, round(draw_decay, 6) AS draw_decay, round(log_loss, 8) AS log_loss FROM dl ORDER BY round(log_loss, 8), draw_base, draw_decay LIMIT 5""")
 def elo_draw_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Draw parameters by grid, best first: a fitted model, in place of a bounded quasi-Newton search."""
     m = bridge.matches(spark, sf_dir)
     train = m.where((F.col("status") == "finished") & (F.col("kickoff_at") < F.lit(TRAIN_END).cast("timestamp_ntz"))).select("match_id", O.outcome(F.col("home_score"), F.col("away_score")).alias("y"))
     rows = elo.elo_walk(m).join(train, "match_id").select("elo_diff", "y")
     grid = models.draw_transform_grid(rows, [0.12 + 0.02 * i for i in range(15)], [0.25 * i for i in range(17)])
-    return grid.orderBy("log_loss", "draw_base", "draw_decay").limit(5)
+    shown = grid.select(*(F.round(c, d).alias(c) for c, d in (("draw_base", 6), ("draw_decay", 6), ("log_loss", 8))))
+    return shown.orderBy("log_loss", "draw_base", "draw_decay").limit(5)
 
 
 def periods(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -179,10 +186,22 @@ def segment_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(loss.withColumn("collapsed", F.col("model_loss") > F.col("base_loss") + 0.02), "model_loss", "base_loss")
 
 
-@query(f"""SELECT name, registered, frozen, registered = frozen AS ok FROM (VALUES ('train_end', '{TRAIN_END}', '{TRAIN_END}'), ('calibration_end', '{TEST_START}', '{TEST_START}'), ('oos_start', '{TEST_START}', '{TEST_START}'), ('status', 'candidate', 'candidate')) a(name, registered, frozen)""")
+FROZEN = {"status": "candidate", "selected_model": "elo", "train_end": TRAIN_END, "select_end": TEST_START, "test_start": TEST_START}
+#: Registered cards; row counts are those of the card "right" plus what is written here.
+CARDS = [("right", "candidate", "elo", TRAIN_END, TEST_START, TEST_START, 0), ("promoted", "production", "elo", TRAIN_END, TEST_START, TEST_START, 0), ("late", "candidate", "poisson", TRAIN_END, "2000-12-01", TEST_START, 0), ("miscounted", "candidate", "elo", "1998-01-01", TEST_START, TEST_START, 7)]
+CARD_SQL = ", ".join(f"('{v}', '{s}', '{m}', '{a}', '{b}', '{c}', {extra})" for v, s, m, a, b, c, extra in CARDS)
+
+
+@query(LABELLED + f""", cards AS (SELECT * FROM (VALUES {CARD_SQL}) v(model_version, status, selected_model, train_end, select_end, test_start, extra)),
+ct AS (SELECT model_version, count(*) FILTER (WHERE kickoff_at < CAST(train_end AS TIMESTAMP)) AS train, count(*) FILTER (WHERE kickoff_at >= CAST(train_end AS TIMESTAMP) AND kickoff_at < CAST(select_end AS TIMESTAMP)) AS sel, count(*) FILTER (WHERE kickoff_at >= CAST(test_start AS TIMESTAMP)) AS test FROM q, cards GROUP BY model_version),
+al AS (SELECT cards.*, ct.*, r.train AS rt, r.sel AS rs, r.test AS re FROM cards JOIN ct ON ct.model_version = cards.model_version, (SELECT * FROM ct WHERE model_version = 'right') r)
+SELECT model_version, unnest(['status', 'selected_model', 'train_end', 'select_end', 'test_start', 'select_ends_at_test', 'train_rows', 'select_rows', 'test_rows']) AS check_name,
+  unnest([status = 'candidate', selected_model = 'elo', train_end = '{TRAIN_END}', select_end = '{TEST_START}', test_start = '{TEST_START}', select_end = test_start, rt + extra > 0 AND train = rt + extra, rs + extra > 0 AND sel = rs + extra, re + extra > 0 AND test = re + extra]) AS ok FROM al""")
 def provenance_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registered periods and status against the frozen ones."""
-    frozen = {"train_end": TRAIN_END, "calibration_end": TEST_START, "oos_start": TEST_START, "status": "candidate"}
-    registered = dict(frozen)
-    rows = spark.createDataFrame([(k, registered[k], v) for k, v in frozen.items()], "name string, registered string, frozen string")
-    return rows.withColumn("ok", F.col("registered") == F.col("frozen"))
+    """Registered cards, one of them right, against the frozen protocol and the rows of the table."""
+    rows = labelled(spark, sf_dir)
+    at, time = F.col("kickoff_at"), lambda s: F.lit(s).cast("timestamp_ntz")
+    counts = rows.agg(F.count_if(at < time(TRAIN_END)).alias("t"), F.count_if((at >= time(TRAIN_END)) & (at < time(TEST_START))).alias("s"), F.count_if(at >= time(TEST_START)).alias("e"))
+    cards = spark.createDataFrame(CARDS, "model_version string, status string, selected_model string, train_end string, select_end string, test_start string, extra long").crossJoin(F.broadcast(counts))
+    cards = cards.withColumns({"train_rows": F.col("t") + F.col("extra"), "select_rows": F.col("s") + F.col("extra"), "test_rows": F.col("e") + F.col("extra")}).drop("t", "s", "e", "extra")
+    return models.provenance(cards, rows, FROZEN)

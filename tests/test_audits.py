@@ -23,7 +23,7 @@ def test_every_row_is_checked(spark):
     m = spark.createDataFrame(rows, SCHEMA)
     table = history.features(m).where("status = 'finished'")
     table = table.withColumn("away_matches_played", F.col("away_matches_played") + F.when(F.col("match_id") % 5 == 0, 40).otherwise(0))
-    table = table.withColumn("home_elo_pre", F.col("home_elo_pre") + F.when(F.col("match_id") % 7 == 1, 1.0).otherwise(0.0)).localCheckpoint()
+    table = table.withColumn("home_elo_pre", F.col("home_elo_pre") + F.when(F.col("match_id") % 7 == 1, 1.0).otherwise(0.0)).checkpoint()
     ratings = {r["match_id"]: (r["home_elo"], r["away_elo"]) for r in elo.elo_walk(m).collect()}
     built, by_id = table.collect(), {r[0]: r for r in rows}
     shared = Counter((r["league"], r["kickoff_at"]) for r in built)

@@ -205,3 +205,67 @@ def test_identity(spark):
     assert {r["event_id"]: (r["status"], r["match_id"]) for r in intake.match_events(events, catalog).collect()} == {1: ("exact", 7), 2: ("alias", 7), 3: ("inverted", 7), 4: ("unmatched", None)}
     found = identity.alias_problems(spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y"), ("b", "z"), ("c", "c")], "alias string, name string"))
     assert sorted((r["problem"], r["alias"]) for r in found.collect()) == [("ambiguous", "b"), ("identity", "c"), ("repeated", "a")]
+
+
+NAMES = {"Beşiktaş": "besiktas", "Dinamo București": "dinamo-bucuresti", "Bodø/Glimt": "bod-glimt", "Großaspach": "groaspach", "Łódź": "odz", "ﬁne ½ ™": "fine-12-tm", "Cafe\u0301": "cafe", "Αθήνα": "unknown", "": "unknown"}
+
+
+def test_slugs_by_compatibility_decomposition(spark):
+    import re
+    import unicodedata
+
+    rows = [(name,) for name in [*NAMES, *(f"a{chr(c)}b" for c in range(0x80, 0x3000))]]
+    got = {r["name"]: r["slug"] for r in spark.createDataFrame(rows, "name string").select("name", X.slugify(F.col("name")).alias("slug")).collect()}
+    for name, slug in got.items():
+        plain = unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode().lower()
+        assert slug == (re.sub("[^a-z0-9]+", "-", plain).strip("-") or "unknown") and NAMES.get(name, slug) == slug
+
+
+def test_search_folding_keeps_letters_of_their_own(spark):
+    r = one(spark, a=X.folded(F.lit("ÉTÉ Beşiktaş Ærø Cafe\u0301")))
+    assert r["a"] == "ete besiktas ærø cafe"
+
+
+def test_one_timeline_across_competitions_and_pools(spark):
+    rows = [(1, "a", 0, 1, "2020-01-01", 2, 0), (2, "b", 0, 2, "2020-01-05", 1, 1), (3, "a", 1, 2, "2020-01-09", 0, 3), (4, "b", 0, 1, "2020-01-12", None, None)]
+    m = spark.createDataFrame(rows, "match_id long, league string, home_team_id long, away_team_id long, day string, home_score int, away_score int")
+    m = m.withColumn("kickoff_at", F.col("day").cast("timestamp_ntz")).withColumn("available_at", F.when(F.col("home_score").isNotNull(), F.col("kickoff_at") + F.expr("INTERVAL 3 HOURS")))
+
+    def plain(matches, k=20.0, ha=80.0):
+        r, out = {}, {}
+        for i, _, h, a, _, hs, as_ in matches:
+            x, y = r.get(h, 1500.0), r.get(a, 1500.0)
+            out[i] = (x, y)
+            if hs is not None:
+                e = 1 / (1 + 10 ** ((y - (x + ha)) / 400))
+                s = 1.0 if hs > as_ else 0.5 if hs == as_ else 0.0
+                r[h], r[a] = x + k * (s - e), y + k * ((1 - s) - (1 - e))
+        return out
+
+    got = {r["match_id"]: (r["home_elo"], r["away_elo"]) for r in elo.elo_walk(m.repartition(3)).collect()}
+    assert got == plain(rows)
+    apart = {r["match_id"]: (r["home_elo"], r["away_elo"]) for r in elo.elo_walk(m, pool="league").collect()}
+    assert apart == plain([r for r in rows if r[1] == "a"]) | plain([r for r in rows if r[1] == "b"]) != got
+    cells = {(r["k"], r["ha"], r["match_id"]): (r["home_elo"], r["away_elo"]) for r in elo.elo_grid(m, (10, 30), (0, 100)).collect()}
+    assert all(cells[k, ha, i] == v for k in (10, 30) for ha in (0, 100) for i, v in plain(rows, k, ha).items()) and len(cells) == 16
+
+
+def test_fingerprints_count_repeats_and_see_every_column(spark):
+    rows = [(1, "a", 0.5), (1, "b", 0.25), (2, "a", 0.5)]
+    f = lambda r: {x["g"]: (x["n"], x["fingerprint"]) for x in metrics.fingerprints(spark.createDataFrame(r, "g long, s string, p double"), ["g"], ["s", "p"]).collect()}
+    base = f(rows)
+    assert f(rows[::-1]) == base and f([*rows, rows[0]])[1] != base[1] and f([(1, "a", 0.5000001), *rows[1:]])[1] != base[1] and f([(1, "a", 0.5000001), *rows[1:]])[2] == base[2]
+
+
+def test_band_join_on_further_keys(spark):
+    left = spark.createDataFrame([(1, 100, "x"), (2, 100, "y")], "a long, t1 long, k1 string")
+    right = spark.createDataFrame([(7, 220, "x"), (8, 221, "x"), (9, -20, "y")], "b long, t2 long, k2 string")
+    got = asof.band_join(left, right, "t1", "t2", 120, {"k1": "k2"})
+    assert sorted((r["a"], r["b"]) for r in got.collect()) == [(1, 7), (2, 9)]
+
+
+def test_audit_by_counted_values(spark):
+    rows = [(1.0,), (1.0,), (4.0,), (None,)]
+    r = intake.audit(spark.createDataFrame(rows, "x double"), ["x"]).first()
+    assert (r["n"], r["null_rate"], r["n_distinct"], r["low"], r["high"], r["mean"], r["p50"]) == (4, 0.25, 2, 1.0, 4.0, 2.0, 1.0)
+    assert r["std"] == pytest.approx(2 ** 0.5)
