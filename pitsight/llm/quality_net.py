@@ -89,8 +89,8 @@ def add_contexts(total: np.ndarray, rows: np.ndarray, index: np.ndarray) -> None
 def context_vectors(texts: DataFrame, text_col: str = "text") -> np.ndarray:
     """The table of context vectors over all rows of texts, each scaled to length one.
 
-    Tasks add up whole documents into a table of fixed size and hand it on in blocks of BLOCK rows, which are summed by
-    block: what moves depends on the number of tasks and the table, and the table alone reaches the driver. Sums are of
+    Tasks add up whole documents into a table of fixed size and hand it on in compressed blocks of BLOCK rows, which are
+    summed by block: what moves depends on the number of tasks and the table, and the table alone reaches the driver. Sums are of
     whole numbers and exact, so that their order doesn't matter.
     """
     size = WORD_ROWS + SHAPE_ROWS
@@ -111,20 +111,20 @@ def context_vectors(texts: DataFrame, text_col: str = "text") -> np.ndarray:
         if n:
             add_contexts(total, np.concatenate(waiting, axis=1), index)
         if some:
-            blocks = range(0, size, BLOCK)
+            blocks, whole = range(0, size, BLOCK), total.astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(blocks), pa.int32()), pa.array([total[b : b + BLOCK].tobytes() for b in blocks], pa.binary())],
+                [pa.array(list(blocks), pa.int32()), pa.array([zlib.compress(whole[b : b + BLOCK].tobytes(), 1) for b in blocks], pa.binary())],
                 ["block", "data"],
             )
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(data, np.float64) for data in parts["data"])
+        total = sum(np.frombuffer(zlib.decompress(data), np.int64) for data in parts["data"])
         return pd.DataFrame({"block": parts["block"][:1], "data": [total.tobytes()]})
 
     parts = texts.select(F.col(text_col).cast("binary")).mapInArrow(run, "block int, data binary")
     table = np.zeros((size, WIDTH), np.float64)
     for row in parts.groupBy("block").applyInPandas(add, "block int, data binary").collect():
-        table[row["block"] : row["block"] + BLOCK] = np.frombuffer(row["data"], np.float64).reshape(-1, WIDTH)
+        table[row["block"] : row["block"] + BLOCK] = np.frombuffer(row["data"], np.int64).reshape(-1, WIDTH)
     return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-6)).astype(np.float32)
 
 
