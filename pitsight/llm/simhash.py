@@ -23,7 +23,7 @@ CELL_PAIRS = 48
 #: Near copies: bits of a fingerprint that are nearest to their majority, and so may differ; projected grids; the number
 #: of differing bits up to which a pair is compared word by word; points of a cell that are all compared; points that the
 #: members of a larger one are compared with in a round; candidates of a point that are looked at first.
-SOFT, TABLES, NEAR_BITS, NEAR_CELL, LEADERS, BEST = 8, 6, 13, 12, 2, 3
+SOFT, TABLES, NEAR_BITS, NEAR_CELL, LEADERS, BEST = 8, 6, 13, 24, 2, 3
 #: Points whose cells a task names.
 TASK_POINTS = 8_192
 CHUNK = 1 << 16
@@ -183,12 +183,15 @@ def row_hash(docs: DataFrame) -> Column:
 
 def segments_for(points: int) -> int:
     """Coordinates of a grid: more for more points, so that a cell's chance company stays the same."""
-    return int(min(28, max(8, round(math.log(max(points, 2), 1.6)) - 8)))
+    return int(min(28, max(8, round(math.log(max(points, 2), 1.6)) - 10)))
 
 
 def table_segments(table: int, segments: int, seed: int) -> np.ndarray:
-    """The segments that a grid's coordinates come from."""
-    return np.random.default_rng((seed, table)).permutation(32)[:segments]
+    """The segments that a grid's coordinates come from: successive grids go round the segments in one random order, so
+    that two segments in which a pair can't meet leave some grid out, then in another order."""
+    turns = -(-32 // segments)
+    order = np.random.default_rng((seed, table // turns)).permutation(32)
+    return np.roll(order, -(table % turns * 32 // turns))[:segments]
 
 
 def table_mask(table: int, segments: int, seed: int) -> int:
