@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name that may hold dots or backticks."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def words(text: bytes | None) -> list[bytes]:
     """The words of a UTF-8 text. bytes.split() without arguments splits at exactly those six characters."""
     return text.split() if text else []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, line_dedup, line_quality, mixing, ppm, quality_net, resharding, simhash, wordpiece
+from . import decontamination, html_text, lexical, line_dedup, line_quality, mixing, ppm, quality_net, resharding, simhash, wordpiece
 from .common import table
 
 OLD_SHARDS, SHARDS = 20, 24
@@ -65,9 +65,14 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~trained).alias("held_out"), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_html, op3_wordpiece, op4_reshard, op5_decontaminate, op6_line_quality, op7_quality, op8_mix, op9_line_dedup, op10_ppm)}
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_html, op3_wordpiece, op4_reshard, op5_decontaminate, op6_line_quality, op7_quality, op8_mix, op9_line_dedup, op10_ppm, op11_search)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SHINGLES = (
     "CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 5 THEN [array_to_string(w, ' ')] "
     "ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END"
@@ -101,4 +106,15 @@ t AS (SELECT source, source_size, CASE WHEN limited THEN CAST(most AS DOUBLE) EL
 q AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0e0 END AS rate FROM t)
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN chance < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM z JOIN q ON z.source IS NOT DISTINCT FROM q.source""",
+    "op11_search": f"""
+WITH t AS (SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}') AS ts FROM documents),
+d AS (SELECT place, doc_id, ts, CAST(len(ts) AS BIGINT) AS n FROM t WHERE len(ts) > 0),
+z AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM d),
+p AS (SELECT place, doc_id, n, term, count(*) AS tf FROM (SELECT place, doc_id, n, unnest(ts) AS term FROM d) GROUP BY ALL),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM benchmark),
+w AS (SELECT term, CAST(floor(1000e0 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, z WHERE term IN (SELECT term FROM i) GROUP BY term, n_docs),
+s AS (SELECT item_id, place, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM i JOIN w USING (term) JOIN p USING (term), z GROUP BY item_id, place, doc_id)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50""",
 }
