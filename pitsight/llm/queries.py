@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, lexical, line_dedup, line_quality, mixing, ppm, quality_net, resharding, simhash, wordpiece
+from . import decontamination, hard_negatives, html_text, lexical, line_dedup, line_quality, mixing, ppm, quality_net, resharding, simhash, vector_search, wordpiece
 from .common import table
 
 OLD_SHARDS, SHARDS = 20, 24
@@ -69,7 +69,16 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_html, op3_wordpiece, op4_reshard, op5_decontaminate, op6_line_quality, op7_quality, op8_mix, op9_line_dedup, op10_ppm, op11_search)}
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label, F.col("id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_html, op3_wordpiece, op4_reshard, op5_decontaminate, op6_line_quality, op7_quality, op8_mix, op9_line_dedup, op10_ppm, op11_search, op12_topk, op13_hard_negatives)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -86,6 +95,16 @@ def _shingle_sql(name: str, id_col: str, source: str) -> str:
     )
 
 
+def _vector_sql(scale: int, label: str) -> str:
+    return (
+        f"SELECT row_number() OVER () AS place, vec_id, {label} AS label, list_transform(embedding, lambda y: floor({scale} * CAST(y AS DOUBLE))) AS x FROM embeddings "
+        "WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = len(embedding)"
+    )
+
+
+#: Exact, as all sums are whole numbers far below 2^53.
+PRODUCT = "CAST(list_dot_product(q.x, c.x) AS BIGINT)"
+
 ORACLES = {
     "op5_decontaminate": f"""
 WITH {_shingle_sql("d", "doc_id", "documents")}, {_shingle_sql("b", "item_id", "benchmark")},
@@ -117,4 +136,15 @@ s AS (SELECT item_id, place, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 *
   FROM i JOIN w USING (term) JOIN p USING (term), z GROUP BY item_id, place, doc_id)
 SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50""",
+    "op12_topk": f"""
+WITH v AS ({_vector_sql(1024, "NULL")}),
+s AS (SELECT q.place, q.vec_id AS query_id, c.vec_id, {PRODUCT} AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.place <> c.place AND len(q.x) = len(c.x))
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+    "op13_hard_negatives": f"""
+WITH v AS (SELECT * FROM ({_vector_sql(256, "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")}) WHERE label IS NOT NULL),
+s AS (SELECT q.place AS a, q.vec_id AS anchor_id, c.place, c.vec_id, q.label = c.label AS same, {PRODUCT} AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.place <> c.place AND len(q.x) = len(c.x)),
+p AS (SELECT a, anchor_id, place AS b, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id, place) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.vec_id) AS r
+  FROM p JOIN s ON s.a = p.a AND NOT same WHERE 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(r AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE r <= 10""",
 }
