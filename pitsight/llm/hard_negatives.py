@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import vectors as V
 
-SCALE, CELLS = 256, 64
+SCALE, CELLS = 256, 256
 #: Positives of an anchor, negatives of a positive, and the window of their scores in percent of the positive's.
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 10, 30, 90
 #: Pairs scored exactly at a time.

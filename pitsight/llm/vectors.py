@@ -36,9 +36,11 @@ def quantised(vectors: DataFrame, scale: int, id_col: str = "vec_id", vector_col
 
 
 def shard_count(rows: DataFrame, shard_bytes: int = SHARD_BYTES) -> int:
-    """Shards that hold shard_bytes of components each, eight bytes a component."""
+    """Shards that hold at most shard_bytes of components each, about, eight bytes a component; smaller ones, down to a
+    sixteenth, where cores would have nothing to do."""
     size = rows.agg(F.sum(F.size("comps") * 8 + 16)).first()[0] or 0
-    return max(1, -(-size // shard_bytes))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-size // shard_bytes), min(cores, -(-size * 16 // shard_bytes)))
 
 
 def own_shard(shards: int) -> Column:
