@@ -77,8 +77,8 @@ def guarded(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
 
 
 def conflicts(rows: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
-    """Keys that stand for more than one payload: what an append-only store refuses."""
-    return rows.groupBy(*keys).agg(F.countDistinct(F.hash(*payload)).alias("n")).where("n > 1").select(*keys, "n")
+    """Keys that stand for more than one payload, nulls being values: what an append-only store refuses."""
+    return rows.groupBy(*keys).agg(F.countDistinct(F.struct(*payload)).alias("n")).where("n > 1").select(*keys, "n")
 
 
 def checksum(payload: Column, volatile: tuple[str, ...] = ()) -> Column:

@@ -1,6 +1,6 @@
 """Named queries, each with the SQL that it is checked against."""
 
-from . import audits, catalog, fixtures, grounding, history, intake, modelling, reports, rules, slots, streams
+from . import audits, catalog, fixtures, grounding, history, intake, modelling, reports, rules, slots, streams, tables
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "audits", "catalog", "fixtures", "grounding", "history", "intake", "modelling", "reports", "rules", "slots", "streams"]
+__all__ = ["ORACLES", "QUERIES", "audits", "catalog", "fixtures", "grounding", "history", "intake", "modelling", "reports", "rules", "slots", "streams", "tables"]

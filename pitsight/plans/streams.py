@@ -18,7 +18,7 @@ SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 def _folder(spark: SparkSession) -> str:
     """A new folder below the shared one that the cluster names; without one (tests), below the temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("name a shared folder in spark.checkpoint.dir")
     return f"{named or os.path.join(tempfile.gettempdir(), 'pitsight-streams')}/{uuid.uuid4().hex}"
 

@@ -27,24 +27,28 @@ def put_raw(payloads: DataFrame, path: str) -> None:
 
 def append_only(rows: DataFrame, path: str, key: str) -> int:
     """Appends rows with new keys; rows that repeat a stored one are passed over. Returns the number of keys that stand
-    for another payload, of which nothing is written."""
+    for another payload; then nothing is written. Payloads are compared by their values, nulls being values."""
     spark = rows.sparkSession
     columns = sorted(c for c in rows.columns if c != key)
-    digest = F.xxhash64(*columns)
-    mine = rows.withColumn("_digest", digest)
+    payload = F.struct(*columns).alias("_payload")
+    offered = rows.select(key, payload)
     if not _exists(spark, path):
-        bad = mine.groupBy(key).agg(F.countDistinct("_digest").alias("n")).where("n > 1")
-        count = bad.count()
+        count = _conflicts(offered, key)
         if not count:
-            mine.dropDuplicates([key]).drop("_digest").write.parquet(path)
+            rows.dropDuplicates([key]).write.parquet(path)
         return count
-    stored = spark.read.parquet(path).select(key, digest.alias("_digest"))
-    count = mine.select(key, "_digest").union(stored).groupBy(key).agg(F.countDistinct("_digest").alias("n")).where("n > 1").count()
+    stored = spark.read.parquet(path)
+    count = _conflicts(offered.union(stored.select(key, payload)), key)
     if not count:
-        mine.dropDuplicates([key]).join(stored.select(key), key, "left_anti").drop("_digest").write.mode("append").parquet(path)
+        rows.dropDuplicates([key]).join(stored.select(key), key, "left_anti").write.mode("append").parquet(path)
     return count
 
 
+def _conflicts(rows: DataFrame, key: str) -> int:
+    """Keys with more than one payload. A struct is never null, so that one of nulls only counts like any other."""
+    return rows.groupBy(key).agg(F.countDistinct("_payload").alias("n")).where("n > 1").count()
+
+
 def target_scoped(odds: DataFrame, universe: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Odds of the wanted matches up to kickoff, and those left out with the reason."""
     joined = odds.drop("kickoff_at").join(universe.select("match_id", "kickoff_at"), "match_id", "left")
