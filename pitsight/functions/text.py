@@ -42,13 +42,16 @@ def folded(value: Column) -> Column:
 
 
 def ascii_form(value: Column) -> Column:
-    """The ASCII characters of the compatibility decomposition; all others go."""
+    """The ASCII characters of the compatibility decomposition; all others go. Values that are ASCII as they are take no
+    part in the rest."""
     one, several, _ = plain_forms()
     single = F.translate(value, "".join(one), "".join(one.values()))
-    pairs = F.create_map(*(F.lit(x) for item in several.items() for x in item))
+    # One literal once folded, so that plans stay small.
+    pairs = F.str_to_map(F.lit("\x01".join(f"{c}\x02{text}" for c, text in several.items())), F.lit("\x01"), F.lit("\x02"))
     spelled = F.array_join(F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(pairs, c), c)), "")
     rare = "[" + "".join(several) + "]"
-    return F.regexp_replace(F.when(single.rlike(rare), spelled).otherwise(single), "[^\\x00-\\x7F]", "")
+    bare = F.regexp_replace(F.when(single.rlike(rare), spelled).otherwise(single), "[^\\x00-\\x7F]", "")
+    return F.when(value.rlike("[^\\x00-\\x7F]"), bare).otherwise(value)
 
 
 def slugify(value: Column) -> Column:
