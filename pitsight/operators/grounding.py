@@ -48,9 +48,10 @@ def check_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def ungrounded_numbers(texts: DataFrame, key: str, text: str, allowed: DataFrame) -> DataFrame:
-    """(key, number): numbers in a text that aren't among its allowed ones. allowed: (key, number)."""
+    """(key, number): numbers in a text that aren't among its allowed ones. allowed: (key, number), or (number) for all."""
     found = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\d+(?:[.,]\d+)?)"), F.lit(1)))).alias("number"))
-    return found.join(allowed.select(key, "number").distinct(), [key, "number"], "left_anti")
+    on = [key, "number"] if key in allowed.columns else ["number"]
+    return found.join(allowed.select(*on).distinct(), on, "left_anti").select(key, "number")
 
 
 def first_blocked(text: Column, terms: tuple[str, ...] = BLOCKED_TERMS) -> Column:

@@ -9,21 +9,15 @@ from ..operators import bundle
 from ..sources import bridge
 from .intake import SLUG
 from .registry import query
-from .streams import _folder
+from .streams import stored
 
 #: Matches of a document; when documents were collected; the league of their tables.
 PER_DOCUMENT, COLLECTED, LEAGUE = 64, "2030-01-01 00:00:00", "Table League"
-_WRITTEN: dict[tuple[str, str], str] = {}
 
 
 def written(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(raw_id, collected_at, body): the documents, from the folder that they are written to once a session."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _WRITTEN:
-        folder = _folder(spark)
-        _composed(spark, sf_dir).write.parquet(folder)
-        _WRITTEN[key] = folder
-    return spark.read.parquet(_WRITTEN[key])
+    """(raw_id, collected_at, body): the documents."""
+    return stored(spark, sf_dir, "bundles", _composed)
 
 
 def _composed(spark: SparkSession, sf_dir: str) -> DataFrame:

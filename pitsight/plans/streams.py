@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,19 @@ def _folder(spark: SparkSession) -> str:
     return f"{named or os.path.join(tempfile.gettempdir(), 'pitsight-streams')}/{uuid.uuid4().hex}"
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, compose: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """Rows that a provider or writer would have delivered: composed from the tables once a session, then read back."""
+    key = spark.sparkContext.applicationId, sf_dir, name
+    if key not in _STORED:
+        folder = _folder(spark)
+        compose(spark, sf_dir).write.parquet(folder)
+        _STORED[key] = folder
+    return spark.read.parquet(_STORED[key])
+
+
 def _run(spark: SparkSession, stream: DataFrame) -> DataFrame:
     folder = _folder(spark)
     streams.run_available(stream, f"{folder}/out", f"{folder}/progress")
