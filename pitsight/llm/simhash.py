@@ -8,10 +8,10 @@ from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hashes, shingles, words
+from .common import arrow_rows, cut, hashes, shingles, words, written
 from .components import connected_components
 
 #: The embedding: 32 segments of two bits, each with a bit count of 0, 1 or 2.
@@ -22,8 +22,10 @@ GROUPS = (7, 7, 6, 6, 6)
 CELL_PAIRS = 48
 #: Near copies: bits of a fingerprint that are nearest to their majority, and so may differ; projected grids; the number
 #: of differing bits up to which a pair is compared word by word; points of a cell that are all compared; points that the
-#: members of a larger one are compared with in a round; candidates of a point that are looked at first.
+#: members of a larger one are compared with in a round; candidates of a point that are looked at first; rows of two
+#: texts that a task holds at a time.
 SOFT, TABLES, NEAR_BITS, NEAR_CELL, LEADERS, BEST = 8, 6, 13, 24, 2, 3
+PAIR_ROWS = 1024
 #: Points whose cells a task names.
 TASK_POINTS = 8_192
 CHUNK = 1 << 16
@@ -291,21 +293,54 @@ def similar_pairs(pairs: DataFrame, points: DataFrame, texts: DataFrame, n: int,
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def joined_components(pairs: DataFrame, links: DataFrame, points: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
+    """The links (a, b) that the candidate pairs (b, a, d) add to those that there are, as far as they join components.
+
+    The BEST nearest candidates of each point are compared by their words; then components are renewed, and of the
+    candidates that still lie in two of them the nearest of each point and of each pair of components are compared,
+    twice as many as before, and so on until none is left. Every candidate is compared or lies within one component, so
+    that a large group of near copies costs some comparisons a point, not all its pairs."""
+    spark, left, most = points.sparkSession, pairs, BEST
+    bound, added = points.count(), links.limit(0)
+    roots = None
+    while not left.isEmpty():
+        if roots is None:
+            near = Window.partitionBy("b").orderBy("d", "a")
+            taken = left.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= most).drop("_r")
+        elif left.count() <= bound:
+            taken = left
+        else:
+            ends = [F.least("root_a", "root_b"), F.greatest("root_a", "root_b")]
+            near, between = Window.partitionBy("b").orderBy("d", "a"), Window.partitionBy(*ends).orderBy("d", "a", "b")
+            # The first window leaves few rows of a point, the second few of two components.
+            taken = left.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= most).drop("_r")
+            taken = taken.withColumn("_r", F.row_number().over(between)).where(F.col("_r") <= most).drop("_r")
+        taken = written(taken.select("b", "a"))
+        with arrow_rows(spark, PAIR_ROWS):
+            added = written(added.union(similar_pairs(taken, points, texts, n, similarity)))
+        roots = connected_components(links.union(added))
+        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        rest = left.select("b", "a", "d").join(taken, ["b", "a"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        rest = rest.withColumns({"root_a": F.coalesce("root_a", "a"), "root_b": F.coalesce("root_b", "b")})
+        left, most = written(rest.where(F.col("root_a") != F.col("root_b"))), most * 2
+    return added
+
+
 def near_copies(docs: DataFrame, text_col: str = "text", n: int = 5, similarity: float = 0.8) -> DataFrame:
     """(key, root): the component of every distinct text (text_key()), links being pairs of texts whose sets of n-word
     shingles have at least the given Jaccard similarity.
 
     Fingerprints find the pairs, the words decide: no pair below the similarity is linked; of those above it a small part
     isn't found (the README has the measured recall). Equal texts are one point, and so are, for the search, texts with
-    one fingerprint. Of each point's candidates the BEST nearest are compared first; then those that would still join two
-    components. After a round, the points of crowded cells that nothing was found for, and the most linked point of
-    every component, go through another with finer grids and other leaders, until no cell is crowded or nothing is found.
+    one fingerprint. Candidates are compared nearest first, see joined_components(). After a round, the points of crowded
+    cells that nothing was found for, and the most linked point of every component, go through another with finer grids
+    and other leaders, until no cell is crowded or nothing is found.
     """
     distinct = profiles(docs, text_col).groupBy("key").agg(F.min("fp").alias("fp"), F.min("soft").alias("soft"))
-    points = cut(distinct.withColumn("point", F.monotonically_increasing_id()))
+    points = written(distinct.withColumn("point", F.monotonically_increasing_id()))
     text = F.col(f"`{text_col}`")
     texts = docs.select(text_key(text).alias("key"), text.cast("binary").alias("text"))
-    nodes = cut(points.groupBy("fp").agg(F.min("point").alias("node"), F.min("soft").alias("soft")))
+    nodes = written(points.groupBy("fp").agg(F.min("point").alias("node"), F.min("soft").alias("soft")))
     alike = points.join(nodes.select("fp", "node"), "fp").where(F.col("point") != F.col("node")).select(F.col("point").alias("b"), F.col("node").alias("a"), F.lit(0).alias("d"))
     member, other = (nodes.select(F.col("fp").alias(c), F.col("node").alias(p)) for c, p in (("member", "b"), ("other", "a")))
     active, segments = nodes, segments_for(nodes.count())
@@ -313,23 +348,15 @@ def near_copies(docs: DataFrame, text_col: str = "text", n: int = 5, similarity:
     for turn in count():
         found, crowded = candidate_pairs(active, segments, turn)
         pairs = found.join(member, "member").join(other, "other").select("b", "a", "d")
-        pairs = cut(pairs if turn else pairs.union(alike))
-        nearest = F.slice(F.sort_array(F.collect_list(F.struct("d", "a"))), 1, BEST)
-        best = pairs.groupBy("b").agg(nearest.alias("to")).select("b", F.explode("to").alias("t")).select("b", "t.a")
-        new = cut(similar_pairs(best, points, texts, n, similarity))
-        roots = connected_components(links.union(new))
-        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-        apart = ~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b"))
-        left = cut(pairs.select("b", "a").join(best, ["b", "a"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("a", "b"))
-        if not left.isEmpty():
-            new = cut(new.union(similar_pairs(left, points, texts, n, similarity)))
-        links = links.union(new)
+        pairs = written(pairs if turn else pairs.union(alike))
+        new = joined_components(pairs, links, points, texts, n, similarity)
+        links = written(links.union(new))
         if new.isEmpty() or crowded.isEmpty():
             break
         degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
         hubs = connected_components(links).join(degrees, "node").groupBy("root").agg(F.max_by("node", F.struct("degree", "node")).alias("node")).select("node")
         waiting = nodes.join(crowded, "fp", "left_semi")
-        active = cut(waiting.join(degrees, "node", "left_anti").union(waiting.join(hubs, "node", "left_semi")))
+        active = written(waiting.join(degrees, "node", "left_anti").union(waiting.join(hubs, "node", "left_semi")))
         segments = min(28, segments + 3)
     labels = connected_components(links)
     return points.join(labels, points["point"] == labels["node"], "left").select("key", F.coalesce("root", "point").alias("root"))
