@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import new_folder
 from ..streaming import streams
 from .registry import query
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder below the shared one that the cluster names; without one (tests), below the temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and spark.sparkContext.master.split("[")[0] != "local":
-        raise RuntimeError("name a shared folder in spark.checkpoint.dir")
-    return f"{named or os.path.join(tempfile.gettempdir(), 'pitsight-streams')}/{uuid.uuid4().hex}"
-
-
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
@@ -31,14 +21,14 @@ def stored(spark: SparkSession, sf_dir: str, name: str, compose: Callable[[Spark
     """Rows that a provider or writer would have delivered: composed from the tables once a session, then read back."""
     key = spark.sparkContext.applicationId, sf_dir, name
     if key not in _STORED:
-        folder = _folder(spark)
+        folder = new_folder(spark)
         compose(spark, sf_dir).write.parquet(folder)
         _STORED[key] = folder
     return spark.read.parquet(_STORED[key])
 
 
 def _run(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    folder = _folder(spark)
+    folder = new_folder(spark)
     streams.run_available(stream, f"{folder}/out", f"{folder}/progress")
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import new_folder
 from ..sources import bridge
 from ..sources.keyed import Intake, KeyedTable, tee
 from ..streaming import streams
 from .registry import query
-from .streams import SCHEMA, _folder
+from .streams import SCHEMA
 
 #: The events arrive in three batches, by id; in each in order of time and id.
 BATCHES = 3
@@ -26,7 +27,7 @@ def _arriving(spark: SparkSession, sf_dir: str, batch: int) -> DataFrame:
 @query(ARRIVALS + """ SELECT user_id, event_type, first(first_event ORDER BY b) AS first_event, last(last_event ORDER BY b) AS last_event, last(big ORDER BY b) AS big FROM ky GROUP BY user_id, event_type""")
 def keyed_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches into a stored table: what a key came with first stays in first_event, the other columns are set anew."""
-    table = KeyedTable.create(spark, f"{_folder(spark)}/keyed", KEYED, ["user_id", "event_type"], buckets=16)
+    table = KeyedTable.create(spark, f"{new_folder(spark)}/keyed", KEYED, ["user_id", "event_type"], buckets=16)
     for batch in range(BATCHES):
         table.upsert(_arriving(spark, sf_dir, batch), ["ts", "event_id"], ["last_event", "big"])
     return table.read()
@@ -37,7 +38,7 @@ SELECT CAST(b AS BIGINT) AS batch, count(*) FILTER (WHERE r = 1) AS inserted, co
 def upsert_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New keys, stored rows with another flag, and offered rows of each batch; every batch is offered twice, which its
     number makes harmless."""
-    table = KeyedTable.create(spark, f"{_folder(spark)}/keyed", "user_id long, event_type string, big boolean", ["user_id", "event_type"], buckets=16)
+    table = KeyedTable.create(spark, f"{new_folder(spark)}/keyed", "user_id long, event_type string, big boolean", ["user_id", "event_type"], buckets=16)
     rows = []
     for batch in range(BATCHES):
         for _ in range(2):
@@ -55,7 +56,7 @@ def _taken_in(spark: SparkSession, sf_dir: str) -> Intake:
     events = bridge.read(spark, sf_dir, "events")
     buyers = events.where("event_type = 'purchase' AND value > 60")
     reason = F.when(F.col("value") <= 5, "low_value").when(F.from_json("props", "k int")["k"] % 7 == 0, "seventh_key")
-    into = Intake.create(spark, f"{_folder(spark)}/intake", "event_id long, user_id long, event_type string, value double", ["event_id"], buckets=16)
+    into = Intake.create(spark, f"{new_folder(spark)}/intake", "event_id long, user_id long, event_type string, value double", ["event_id"], buckets=16)
     for batch in range(BATCHES):
         run = {"run_id": f"run-{batch}", "provider": "events", "resource_type": "event", "data_mode": "live", "batch": batch}
         into.run(events.where(F.col("event_id") % BATCHES == batch), reason, run, ["event_id"], entity_id=F.col("event_id"), detail=F.concat(F.lit("value "), F.col("value").cast("string")), parents=(buyers, "user_id"))
@@ -77,7 +78,7 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'user', user_id, last(value ORDER BY event_id) FROM events GROUP BY user_id""")
 def stream_tee(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of three files into two keyed tables in one pass: every event, and each user's last one by id."""
-    folder = _folder(spark)
+    folder = new_folder(spark)
     events = bridge.read(spark, sf_dir, "events")
     events.repartitionByRange(3, "event_id").write.parquet(f"{folder}/in")
     every = KeyedTable.create(spark, f"{folder}/every", "event_id long, value double", ["event_id"], buckets=16)

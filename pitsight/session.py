@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Results depend on the time zone; the rest lets adaptive execution size and split shuffles at run time.
 SETTINGS = {
@@ -28,6 +29,21 @@ def build_session(name: str = "pitsight", **more: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one that the cluster names; without one (tests), below the temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("name a shared folder in spark.checkpoint.dir")
+    return f"{named or os.path.join(tempfile.gettempdir(), 'pitsight-streams')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table of files in the shared folder: for loops, as files have their true sizes and no lineage."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the Python workers where they couldn't find it: unless its folder is on PYTHONPATH, or is
     the working one of workers on this machine. Once for each application."""
