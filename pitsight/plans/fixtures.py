@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import odds as O
 from ..functions import text as X
 from ..functions import times
-from ..operators import asof, fixtures, intake
+from ..operators import asof, fixtures, intake, rules
 from ..sources import bridge, readers
 from .registry import query
 from .reports import rounded
@@ -61,23 +61,59 @@ def payload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHEN status <> 'scheduled' THEN 'not_scheduled' WHEN match_id % 59 = 0 THEN 'scheduled_has_score' ELSE 'accepted' END AS reason FROM m) GROUP BY reason""")
 def prematch_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First rejection of each candidate for features before kickoff."""
+    return rules.triage(candidates(spark, sf_dir), rules.prematch_rules(), "accepted")
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches, some of them faulty."""
     k = F.col("match_id")
-    m = bridge.matches(spark, sf_dir).withColumns({"home": F.when(k % 51 != 0, F.col("home_team_id")), "away": F.when(k % 53 != 0, F.col("away_team_id")), "score": F.when(k % 59 == 0, 1).otherwise(F.col("home_score"))})
-    reason = (
-        F.when(k % 50 == 0, "data_mode_mock").when(F.col("home").isNull(), "missing_home_team").when(F.col("away").isNull(), "missing_away_team")
-        .when(F.col("status") != "scheduled", "not_scheduled").when(F.col("score").isNotNull(), "scheduled_has_score").otherwise("accepted")
-    )
-    return m.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return bridge.matches(spark, sf_dir).withColumns({
+        "data_mode": F.when(k % 50 == 0, "mock").otherwise("live"), "home_team_id": F.when(k % 51 != 0, F.col("home_team_id")), "away_team_id": F.when(k % 53 != 0, F.col("away_team_id")),
+        "home_score": F.when(k % 59 == 0, 1).otherwise(F.col("home_score")),
+    })
+
+
+@query("""SELECT match_id, CASE WHEN match_id % 50 = 0 THEN 'data_mode_mock' WHEN match_id % 51 = 0 THEN 'missing_home_team' WHEN match_id % 53 = 0 THEN 'missing_away_team' ELSE 'scheduled_has_score' END AS reason
+FROM m WHERE status = 'scheduled' AND (match_id % 50 = 0 OR match_id % 51 = 0 OR match_id % 53 = 0 OR match_id % 59 = 0)""")
+def reported_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rejections that are reported: those of scheduled matches."""
+    return rules.prematch_rejections(candidates(spark, sf_dir))
+
+
+TRIAGE = """, tr AS (SELECT s.*, m.match_id IS NOT NULL AND m.season > 1993 AS inside, CASE WHEN bookmaker = 6 THEN 'mock' ELSE 'live' END AS mode, bookmaker = 5 AS odd_source, s.kickoff_at - INTERVAL 6 HOURS AS cutoff_at FROM s LEFT JOIN m USING (match_id))"""
+
+
+@query(TRIAGE + """ SELECT snapshot_id, array_to_string(list_filter([CASE WHEN mode = 'mock' THEN 'mock_odds' END, CASE WHEN mode <> 'live' THEN 'non_live_data_mode' END, CASE WHEN odd_source THEN 'unexpected_provider' END, CASE WHEN NOT inside THEN 'outside_oos_universe' END,
+  CASE WHEN away_odds IS NULL THEN 'incomplete_1x2' END, CASE WHEN available_at > cutoff_at THEN 'available_at_after_cutoff' END, CASE WHEN available_at > kickoff_at THEN 'post_kickoff' END], lambda x: x IS NOT NULL), ',') AS reasons FROM tr""")
+def all_odds_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules that each snapshot fails by, in their order."""
+    return backtest_odds(spark, sf_dir).select("snapshot_id", F.array_join(rules.all_reasons(backtest_rules()), ",").alias("reasons"))
+
+
+@query(TRIAGE + " SELECT snapshot_id, match_id FROM tr WHERE mode = 'live' AND NOT odd_source AND inside AND away_odds IS NOT NULL AND available_at <= cutoff_at")
+def accepted_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshots that a backtest takes, once mock ones and those of another source have been kept out of the load."""
+    clean = backtest_odds(spark, sf_dir).where("data_mode = 'live' AND source = 'odds-feed'")
+    return rules.accepted(clean, backtest_rules()).select("snapshot_id", "match_id")
+
+
+def backtest_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = bridge.matches(spark, sf_dir)
+    universe = m.where("season > 1993").select("match_id", F.lit(True).alias("in_universe"))
+    mode, source = F.when(F.col("bookmaker") == 6, "mock").otherwise("live"), F.when(F.col("bookmaker") == 5, "other").otherwise("odds-feed")
+    return bridge.odds(spark, sf_dir, m).join(universe, "match_id", "left").withColumns({"data_mode": mode, "source": source, "cutoff_at": F.col("kickoff_at") - F.expr("INTERVAL 6 HOURS")})
+
+
+def backtest_rules() -> list[rules.Rule]:
+    return rules.odds_rules("odds-feed", F.col("away_odds").isNotNull())
 
 
 @query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN bookmaker = 6 THEN 'unexpected_provider' WHEN available_at > kickoff_at THEN 'after_cutoff' WHEN away_odds IS NULL THEN 'incomplete_market' WHEN age_h > 24 THEN 'stale' ELSE 'eligible' END AS reason FROM s) GROUP BY reason""")
 def odds_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every snapshot under the first rule that it fails."""
-    reason = (
-        F.when(F.col("bookmaker") == 6, "unexpected_provider").when(F.col("available_at") > F.col("kickoff_at"), "after_cutoff")
-        .when(F.col("away_odds").isNull(), "incomplete_market").when(F.col("age_h") > 24, "stale").otherwise("eligible")
-    )
-    return bridge.odds(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    """Every snapshot under the first rule that it fails by."""
+    c = F.col
+    chain = [rules.Rule("unexpected_provider", c("bookmaker") == 6), rules.Rule("after_cutoff", c("available_at") > c("kickoff_at")), rules.Rule("incomplete_market", c("away_odds").isNull()), rules.Rule("stale", c("age_h") > 24)]
+    return rules.triage(bridge.odds(spark, sf_dir), chain)
 
 
 @query("""SELECT match_id, CASE WHEN c <= k THEN k + INTERVAL 90 MINUTES ELSE c END AS result_at FROM (

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import canonical
 from ..session import new_folder
-from ..sources import bridge
+from ..sources import bridge, lookup
 from ..sources.keyed import Intake, KeyedTable, tee
 from ..streaming import streams
 from .registry import query
@@ -94,3 +95,32 @@ def stream_tee(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream.writeStream.foreachBatch(both).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
     every_rows = every.read().select(F.lit("event").alias("sink"), F.col("event_id").alias("key"), "value")
     return every_rows.unionByName(last.read().select(F.lit("user").alias("sink"), F.col("user_id").alias("key"), "value"))
+
+
+@query(""", sel AS (SELECT match_id, snapshot_id, available_at, bookmaker, string_agg(selection || '=' || CAST(CAST(round(odds * 100) AS BIGINT) AS VARCHAR), ' ' ORDER BY selection) AS picks FROM (
+    SELECT *, unnest(['HOME', 'DRAW', 'AWAY']) AS selection, unnest([home_odds, draw_odds, away_odds]) AS odds FROM s) WHERE odds IS NOT NULL AND snapshot_id % 10 <> 3 GROUP BY ALL)
+SELECT m.match_id, r_name AS league, h.team_name AS home_team, a.team_name AS away_team, count(snapshot_id) AS n_snapshots, coalesce(string_agg(snapshot_id || ':' || bookmaker || ':' || picks, ';' ORDER BY sel.available_at, snapshot_id), '') AS snapshots
+FROM m LEFT JOIN sel ON sel.match_id = m.match_id LEFT JOIN region ON r_regionkey = m.match_id % 7 JOIN t h ON h.team_id = home_team_id JOIN t a ON a.team_id = away_team_id GROUP BY ALL""")
+def canonical_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical tables as nested matches, shown as text: every tenth snapshot has no selections, two leagues in seven
+    have no row."""
+    m = bridge.matches(spark, sf_dir).drop("league").withColumn("league_id", F.col("match_id") % 7)
+    s = bridge.odds(spark, sf_dir, m)
+    prices = F.explode(F.array(*(F.struct(F.lit(n.upper()).alias("selection"), F.col(f"{n}_odds").alias("decimal_odds")) for n in ("home", "draw", "away")))).alias("x")
+    selections = s.where("snapshot_id % 10 <> 3").select("snapshot_id", prices).select("snapshot_id", "x.*").where("decimal_odds IS NOT NULL")
+    leagues = bridge.read(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("league_id"), F.lit(1).alias("sport_id"), F.col("r_name").alias("name"))
+    sports = leagues.select("sport_id", F.lit("football").alias("code")).distinct()
+    rows = canonical.canonical(sports, leagues, bridge.teams(spark, sf_dir), m, s, selections)
+    picks = lambda x: F.array_join(F.transform(x["selections"], lambda p: F.concat(p["selection"], F.lit("="), F.round(p["decimal_odds"] * 100).cast("long").cast("string"))), " ")
+    shown = F.transform("snapshots", lambda x: F.concat(x["snapshot_id"].cast("string"), F.lit(":"), x["bookmaker"].cast("string"), F.lit(":"), picks(x)))
+    return rows.select("match_id", "league", "home_team", "away_team", F.size("snapshots").cast("long").alias("n_snapshots"), F.array_join(shown, ";").alias("snapshots"))
+
+
+@query("SELECT match_id, kickoff_at, home_team_id, away_team_id, home_score FROM m WHERE match_id IN (SELECT match_id FROM m WHERE status = 'finished' ORDER BY kickoff_at DESC, match_id DESC LIMIT 8)")
+def stored_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest eight finished matches, looked up by their ids in a store of all matches."""
+    path, m = f"{new_folder(spark)}/store", bridge.matches(spark, sf_dir)
+    lookup.write_store(m, path)
+    newest = m.where("status = 'finished'").orderBy(F.desc("kickoff_at"), F.desc("match_id")).limit(8)
+    ids = [r["match_id"] for r in newest.select("match_id").collect()]
+    return lookup.labelled(spark, path, ids, ("home_score",)).select("match_id", "kickoff_at", "home_team_id", "away_team_id", "home_score")
