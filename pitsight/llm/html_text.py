@@ -60,6 +60,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: need SIBLING of the threshold.
 PROSE = HEADINGS | PARAGRAPHS | frozenset("ul ol dl figure table".split())
 SIBLING = 1 / 32
+#: Unlinked letters of a paragraph of which three make an article where marks would leave nothing.
+ARTICLE_LETTERS = 40
 #: Elements within each other that the tree holds; what lies deeper belongs to the innermost one.
 DEPTH = 512
 
@@ -294,6 +296,36 @@ def measure(nodes: list[Node]) -> None:
             node.total += sum(composite_density(run.chars, run.tags, run.link_chars, run.link_tags, ratio) for run in loose_runs(node))
 
 
+def _unmark_article(root: Node) -> bool:
+    """For pages where marks leave nothing: the marks of elements around an article are dropped. An article or main
+    element with paragraphs, a first-level heading with one, or three paragraphs of ARTICLE_LETTERS unlinked letters make
+    one; a lone notice or menu doesn't. Of several candidates those with the most paragraph text are meant."""
+    held: dict[int, tuple[int, int, bool, bool]] = {}
+    nodes = in_order(root)
+    for node in reversed(nodes):
+        letters, long, named, title = 0, 0, node.tag in ("article", "main"), node.tag == "h1"
+        if node.tag in PARAGRAPHS:
+            letters = _unlinked(node)
+            long = int(letters >= ARTICLE_LETTERS)
+        else:
+            for part in node.nodes():
+                a, b, c, d = held[id(part)]
+                letters, long, named, title = letters + a, long + b, named or c and part.mark == PLAIN, title or d
+        held[id(node)] = letters, long, named, title
+    marked = [n for n in nodes if n.mark in (WEAK, STRONG) and held[id(n)][0] and (held[id(n)][2] or held[id(n)][3] or held[id(n)][1] >= 3)]
+    if not marked:
+        return False
+    most = max(held[id(n)][0] for n in marked)
+    for node in marked:
+        if 2 * held[id(node)][0] > most:
+            node.mark = PLAIN
+    return True
+
+
+def _unlinked(node: Node) -> int:
+    return 0 if node.tag == "a" else sum(_letters(p) if isinstance(p, str) else _unlinked(p) if p.mark != NO_TEXT else 0 for p in node.parts)
+
+
 def _body(nodes: list[Node]) -> Node:
     return next((n for n in nodes if n.tag == "body"), nodes[0])
 
@@ -322,25 +354,62 @@ def loose_runs(node: Node) -> list[Node]:
     return [r for r in runs if r.chars]
 
 
+def running(node: Node) -> bool:
+    """Whether words stand between or behind the links of a paragraph: then it is a sentence that links are part of."""
+    linked, stack = False, list(reversed(node.parts))
+    while stack:
+        part = stack.pop()
+        if isinstance(part, str):
+            if linked and any(c.isalnum() for c in part):
+                return True
+        elif part.tag == "a":
+            linked = True
+        elif part.mark == PLAIN:
+            stack.extend(reversed(part.parts))
+    return False
+
+
 def around(node: Node) -> bool:
-    """Whether a block in the main text is none of it: its characters are mostly links or marked. Headings, and blocks
-    with one link only, stay."""
-    if node.mark == PLAIN and (node.tag in HEADINGS or node.link_tags < 2 and node.tag != "#loose"):
+    """Whether a block in the main text is none of it: its characters are mostly links or marked. Headings, blocks with
+    one link only, and paragraphs whose sentences the links are part of, stay."""
+    if node.mark == PLAIN and (node.tag in HEADINGS or node.link_tags < 2 and node.tag != "#loose" or node.tag == "p" and running(node)):
         return False
     return node.tag in BLOCKS | {"#loose"} and 2 * node.link_chars > node.chars or node.mark != PLAIN
 
 
+def mostly_prose(node: Node) -> bool:
+    """Whether a container consists of running text: over half of its characters are unlinked ones in headings,
+    paragraphs, lists and tables."""
+    prose, stack = 0, [node]
+    while stack:
+        here = stack.pop()
+        for part in here.nodes():
+            if part.mark != PLAIN:
+                continue
+            if part.tag in PROSE:
+                prose += part.chars - part.link_chars
+            else:
+                stack.append(part)
+    return 2 * prose > node.chars
+
+
 def main_nodes(nodes: list[Node]) -> list[Node]:
     """The subtrees that hold the main text, in page order.
 
-    The node with the largest sum of child densities is taken (of equal ones the outermost). The smallest density on the
+    Of the nodes within no marked one, that with the largest sum of child densities is taken (of equal ones the outermost). The smallest density on the
     path from the body to it is the threshold: a block beside that path which reaches it is main text too. In the
-    containers on the path below the body, headings, paragraphs, lists and loose text need SIBLING of it. Pages without
-    any block that sums up are taken whole.
+    containers on the path below the body, headings, paragraphs, lists, loose text and containers that consist of these
+    (the other sections of an article) need SIBLING of it. Pages without any block that sums up are taken whole.
     """
     body = _body(nodes)
     ratio = body.link_chars / max(body.chars, 1)
-    best = max(nodes, key=lambda n: n.total)
+    marked: set[int] = set()
+    for node in nodes:
+        if node.mark != PLAIN or id(node.parent) in marked:
+            marked.add(id(node))
+    best = max(nodes, key=lambda n: 0.0 if id(n) in marked else n.total)
+    if id(best) in marked:
+        return []
     if best.total <= 0:
         return [nodes[0]] if nodes[0].chars > nodes[0].link_chars else []
     path, up = [best], best.parent
@@ -355,7 +424,7 @@ def main_nodes(nodes: list[Node]) -> list[Node]:
         inner = above is not body and above.tag not in ("html", "#root")
         for part in above.nodes():
             if part.tag in BLOCKS and id(part) not in on_path:
-                lenient = inner and part.tag in PROSE and not around(part)
+                lenient = inner and not around(part) and (part.tag in PROSE or mostly_prose(part))
                 if part.density >= threshold * (SIBLING if lenient else 1):
                     taken.append(part)
         for run in loose_runs(above) if inner else []:
@@ -396,7 +465,15 @@ def main_text(page: str | None) -> str:
     """The main text of a page, its blocks joined by two line ends; empty if there is none."""
     if not page:
         return ""
-    nodes = in_order(parse(page))
+    text = _text_of(parse(page))
+    if not text:
+        root = parse(page)
+        text = _text_of(root) if _unmark_article(root) else ""
+    return text
+
+
+def _text_of(root: Node) -> str:
+    nodes = in_order(root)
     measure(nodes)
     return "\n\n".join(text for node in main_nodes(nodes) for text in blocks(node))
 

@@ -154,3 +154,32 @@ def test_the_table_against_plain_cutting():
         inside = re.search("<article>(.*?)</article>", page, re.S)[1].replace("<br>", " ")
         parts = [html.unescape(re.sub("<[^>]*>", "", part)) for part in re.split(r"</?(?:h1|p|ul|li|div|section)\b[^>]*>", inside)]
         assert H.main_text(page) == "\n\n".join(" ".join(part.split()) for part in parts if part.split())
+
+
+LONG = "This is a long paragraph of the article, with a good many words in it, so that it is dense and weighs much more than others do."
+SHORT = "A short line."
+MENU = "<nav><a href=1>Home</a> <a href=2>News</a></nav><div class=sidebar><ul><li><a href=3>One</a><li><a href=4>Two</a></ul></div>"
+
+
+def page_of(body):
+    return f"<html><body>{MENU}{body}<footer>Imprint of the page</footer></body></html>"
+
+
+@pytest.mark.parametrize(("outer", "inner"), [("article", "section"), ("main", "div"), ("div id=content", "section"), ("article", "section id=s2")])
+def test_sections_of_short_paragraphs_stay(outer, inner):
+    tag = inner.split()[0]
+    sections = [f"<{inner}><h2>First</h2>" + f"<p>{LONG}</p>" * 3, f"<{inner}><h2>Second</h2>" + f"<p>{SHORT}</p>" * 8, f"<{inner}><h2>Third</h2>" + f"<p>{LONG}</p>" * 2]
+    text = H.main_text(page_of(f"<{outer}>" + "".join(f"{s}</{tag}>" for s in sections) + f"</{outer.split()[0]}>"))
+    assert text.split("\n\n") == ["First", *[LONG] * 3, "Second", *[SHORT] * 8, "Third", *[LONG] * 2]
+
+
+def test_sentences_made_of_links_stay_and_lists_of_links_go():
+    body = f"<article><p>{LONG}</p><p>See <a href=1>the first long source</a> and <a href=2>the second one</a>.</p><p><a href=3>Tag</a> | <a href=4>Other tag</a></p><p>{LONG}</p></article>"
+    assert H.main_text(page_of(body)).split("\n\n") == [LONG, "See the first long source and the second one.", LONG]
+
+
+@pytest.mark.parametrize("wrapper", ["div id=notice", "div class='related promo'", "aside", "div class=popup"])
+def test_an_article_within_marked_elements_is_found(wrapper):
+    tag = wrapper.split()[0]
+    assert H.main_text(page_of(f"<{wrapper}><article><h1>Title</h1><p>{LONG}</p><p>{SHORT}</p></article></{tag}>")).split("\n\n") == ["Title", LONG, SHORT]
+    assert H.main_text(page_of(f"<{wrapper}><p>We use cookies.</p></{tag}>")) == ""
