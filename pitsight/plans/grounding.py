@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import grounding, prose
+from ..operators import claims, grounding, prose
 from ..sources import bridge
 from .catalog import VALUES, values
 from .registry import query
@@ -151,3 +151,74 @@ def document_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = prose.name_spans(F.col("text"), F.array(*map(F.lit, NAMES)))
     rows = d.withColumn("spans", spans)
     return rows.select("doc_id", F.size("spans").cast("long").alias("n_names"), F.size(X.numbers(prose.masked(F.col("text"), F.col("spans")))).cast("long").alias("n_numbers"))
+
+
+CLAIMS = FACTS + """, cx AS (SELECT match_id, max(p_sel) FILTER (WHERE selection = 'HOME') AS ph, max(p_sel) FILTER (WHERE selection = 'DRAW') AS pd, max(p_sel) FILTER (WHERE selection = 'AWAY') AS pa, max(ev) FILTER (WHERE selection = 'HOME') AS ev FROM v GROUP BY match_id),
+vr AS (SELECT *, match_id % 4 AS k, match_id % 28 = 3 AS bare FROM cx)"""
+
+
+def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the claims of a match are held against; every 28th match has no value row."""
+    c, m, t = F.col, bridge.matches(spark, sf_dir), bridge.teams(spark, sf_dir)
+    v = values(spark, sf_dir, m)
+    one = lambda s, x: F.max(F.when(c("selection") == s, c(x)))
+    held = lambda x: F.when(c("match_id") % 28 != 3, one("HOME", x)).alias({"implied": "implied_probability", "no_vig": "no_vig_probability"}.get(x, x))
+    facts = v.groupBy("match_id").agg(
+        *(one(s.upper(), "p").alias(f"{s}_probability") for s in ("home", "draw", "away")), F.max_by("selection", F.struct("p", "selection")).alias("model_favorite"), F.when(c("match_id") % 28 != 3, F.lit("HOME")).alias("value_selection"),
+        *(held(x) for x in ("odds", "implied", "no_vig", "edge", "ev")),
+    )
+    named = m.select("match_id", "league", F.date_format("kickoff_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("kickoff"), "home_team_id", "away_team_id")
+    for side in ("home", "away"):
+        named = named.join(t.select(c("team_id").alias(f"{side}_team_id"), c("team_name").alias(f"{side}_team")), f"{side}_team_id")
+    return named.join(facts, "match_id").withColumns({"data_mode": F.lit("mock"), "model_status": F.lit("candidate")}).drop("home_team_id", "away_team_id")
+
+
+def stated(contexts_: DataFrame) -> DataFrame:
+    """Fifteen claims a match, one of each type. By the id of the match they are true, false, cite a fact that isn't
+    there, or one of another kind."""
+    c, lit = F.col, F.lit
+    k, text = c("match_id") % 4, lambda x: x.cast("string")
+    wrong = k == 1
+    either = lambda true, false: F.when(wrong, false).otherwise(true)
+    less = F.when(c("home_probability") < c("away_probability"), "less_than").otherwise("greater_or_equal")
+    more = F.when(c("home_probability") < c("away_probability"), "greater_or_equal").otherwise("less_than")
+    none = lit(None).cast("string")
+    #: subject, value, relation, compare_to, cited fields.
+    made = {
+        "team": (either(c("home_team"), lit("Nobody")), none, none, none, ["home_team"]), "league": (none, either(F.upper("league"), lit("none")), none, none, ["league"]), "kickoff": (none, either(c("kickoff"), lit("never")), none, none, ["kickoff"]),
+        "model_probability": (lit("home"), text(either(c("home_probability"), c("home_probability") + 0.05)), none, none, ["home_probability"]), "probability_comparison": (c("home_team"), none, either(less, more), c("away_team"), ["home_probability", "away_probability"]),
+        "model_favorite": (none, either(c("model_favorite"), F.when(c("model_favorite") == "DRAW", "HOME").otherwise("DRAW")), none, none, ["home_probability"]), "odds": (none, text(either(c("odds"), c("odds") + 0.5)), none, none, ["odds"]),
+        "implied_probability": (lit("HOME"), text(either(c("implied_probability"), c("implied_probability") / 2)), none, none, ["implied_probability"]), "no_vig_probability": (lit("HOME"), text(either(c("no_vig_probability"), c("no_vig_probability") / 2)), none, none, ["no_vig_probability"]),
+        "edge": (none, none, either(lit("greater_than"), lit("less_than")), text(c("edge") - 0.01), ["edge"]), "ev": (none, F.when((c("ev") > 0) != wrong, "high").otherwise("low"), none, none, ["ev", "edge"]), "value_selection": (lit("home"), none, none, none, ["value_selection"]),
+        "value_comparison": (either(lit("HOME"), lit("AWAY")), none, lit("greater_than"), lit("-1"), ["ev"]), "data_mode": (none, either(lit("Mock"), lit("live_market")), none, none, ["data_mode"]), "model_status": (none, either(lit("candidate"), lit("champion")), none, none, ["model_status"]),
+    }
+    cite = lambda fields: F.array(*(F.concat_ws(":", text(c("match_id")), F.when(k == 3, "data_mode" if f != "data_mode" else "league").otherwise(f), F.when(k == 2, "x")) for f in fields))
+    parts = [F.struct(lit(n).alias("claim_type"), s.cast("string").alias("subject"), x.cast("string").alias("value"), r.cast("string").alias("relation"), o.cast("string").alias("compare_to"), cite(f).alias("evidence_ids")) for n, (s, x, r, o, f) in made.items()]
+    rows = contexts_.select("match_id", F.explode(F.array(*parts)).alias("x")).select("match_id", "x.*")
+    return rows.withColumn("claim_id", F.concat_ws(":", text(c("match_id")), "claim_type"))
+
+
+CLAIM_TYPES = "['team', 'league', 'kickoff', 'model_probability', 'probability_comparison', 'model_favorite', 'odds', 'implied_probability', 'no_vig_probability', 'edge', 'ev', 'value_selection', 'value_comparison', 'data_mode', 'model_status']"
+
+
+@query(CLAIMS + f""", cl AS (SELECT *, unnest({CLAIM_TYPES}) AS claim_type FROM vr)
+SELECT match_id || ':' || claim_type AS claim_id, CASE WHEN k = 2 THEN 'unknown_evidence' WHEN k = 3 THEN 'wrong_type' WHEN k = 0 THEN 'supported'
+  ELSE CASE claim_type WHEN 'team' THEN 'unknown_subject' WHEN 'probability_comparison' THEN 'false_relation' WHEN 'edge' THEN 'false_relation' WHEN 'ev' THEN 'wrong_direction' WHEN 'model_favorite' THEN 'wrong_selection'
+    WHEN 'value_selection' THEN 'supported' WHEN 'value_comparison' THEN 'wrong_selection' ELSE 'wrong_value' END END AS verdict FROM cl""")
+def claim_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """True and false claims of every type, claims that cite what isn't there, and what is of another kind."""
+    held = stored(spark, sf_dir, "contexts", contexts)
+    return claims.verdicts(stated(held), held)
+
+
+@query(CLAIMS + f""", cl AS (SELECT *, unnest({CLAIM_TYPES}) AS claim_type FROM vr)
+SELECT claim_type, CASE WHEN bare AND claim_type IN ('odds', 'implied_probability', 'no_vig_probability', 'edge', 'ev', 'value_selection', 'value_comparison') THEN 'unavailable_evidence' ELSE 'supported' END AS verdict, count(*) AS n FROM cl WHERE k <> 1 GROUP BY 1, 2""")
+def claims_without_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same claims, all true and rightly cited: those on value rows that a match lacks cite unavailable facts."""
+    held = stored(spark, sf_dir, "contexts", contexts)
+    right = stated(held.where("match_id % 4 <> 1")).withColumn("evidence_ids", F.transform("evidence_ids", lambda e: F.regexp_replace(e, ":x$", "")))
+    own = F.array(F.concat_ws(":", F.col("match_id").cast("string"), F.when(F.col("claim_type") == "team", "home_team").when(F.col("claim_type") == "model_probability", "home_probability").when(F.col("claim_type") == "model_favorite", "model_favorite").when(F.col("claim_type") == "value_comparison", "ev").otherwise(F.col("claim_type"))))
+    both = F.array(*(F.concat_ws(":", F.col("match_id").cast("string"), F.lit(f"{s}_probability")) for s in ("home", "away")))
+    cited = right.withColumn("evidence_ids", F.when(F.col("claim_type") == "probability_comparison", both).otherwise(own))
+    found = claims.verdicts(cited, held).withColumn("claim_type", F.substring_index("claim_id", ":", -1))
+    return found.groupBy("claim_type", "verdict").agg(F.count(F.lit(1)).alias("n"))
