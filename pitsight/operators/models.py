@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import odds as O
+from ..session import written
 
 CLASSES = ("HOME", "DRAW", "AWAY")
 #: Partitions that training rows of sampled models are dealt into.
@@ -105,6 +106,75 @@ def draw_transform_grid(rows: DataFrame, bases: list[float], decays: list[float]
     return each.groupBy("draw_base", "draw_decay").agg((F.sum(log_loss_of(F.col("y"), *p) * F.col("n")) / F.sum("n")).alias("log_loss"))
 
 
+#: Start and bounds of the draw transform's two parameters.
+DRAW_START, DRAW_BOUNDS = (0.26, 0.8), ((0.12, 0.40), (0.0, 4.0))
+#: Step lengths that a search along a direction looks at together.
+STEPS = tuple(2.0**-i for i in range(12))
+
+
+def draw_bins(rows: DataFrame) -> DataFrame:
+    """(u, n, n_draw): matches by rating difference in whole points as a share of the scale, whatever its sign: all that
+    the draw probability's likelihood depends on, in as many rows as there are differences."""
+    u = F.abs(F.bround("elo_diff")) / O.SCALE
+    return rows.groupBy(u.alias("u")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == "DRAW").alias("n_draw"))
+
+
+def draw_derivatives(bins: DataFrame, points: list[tuple[float, float]]) -> DataFrame:
+    """(point, loss, g_base, g_decay, h_base, h_both, h_decay) for each pair of parameters: the mean log-loss of draw
+    against no draw, its gradient, and its expected curvature. One aggregation over the bins for all points; where the
+    draw probability is held at its limits it has no slope."""
+    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("point"), F.lit(float(b)).alias("base"), F.lit(float(d)).alias("decay")) for i, (b, d) in enumerate(points))))
+    free = F.col("base") * F.exp(-F.col("decay") * F.col("u"))
+    each = bins.withColumn("cell", cells).select("u", "n", "n_draw", "cell.*").withColumn("p", F.least(F.greatest(free, F.lit(O.DRAW_LOW)), F.lit(O.DRAW_HIGH))).withColumn("inside", (free > O.DRAW_LOW) & (free < O.DRAW_HIGH))
+    p, n, k = F.col("p"), F.col("n"), F.col("n_draw")
+    slope = F.when(F.col("inside"), (n - k) / (1 - p) - k / p).otherwise(0e0)
+    weight = F.when(F.col("inside"), n / (p * (1 - p))).otherwise(0e0)
+    by_base, by_decay = F.exp(-F.col("decay") * F.col("u")), -F.col("u") * p
+    mean = lambda x, name: (F.sum(x) / F.sum("n")).alias(name)
+    return each.groupBy("point").agg(
+        mean(-k * F.log(p) - (n - k) * F.log(1 - p), "loss"), mean(slope * by_base, "g_base"), mean(slope * by_decay, "g_decay"), mean(weight * by_base * by_base, "h_base"), mean(weight * by_base * by_decay, "h_both"), mean(weight * by_decay * by_decay, "h_decay"),
+    )
+
+
+def fitted_draw_transform(rows: DataFrame, rounds: int = 40, tolerance: float = 1e-10) -> dict[str, float]:
+    """draw_base and draw_decay with the least log-loss within their bounds, by projected Newton steps: a parameter at a
+    bound that its gradient points beyond is held there, the others take a step by the expected curvature, cut short so
+    that the loss falls. rows: (elo_diff, y). Only a few sums a round reach the driver; the bins are written once."""
+    bins = written(draw_bins(rows))
+    x = list(DRAW_START)
+    now = draw_derivatives(bins, [tuple(x)]).first()
+    if now is None:
+        return {"draw_base": x[0], "draw_decay": x[1], "log_loss": 0.0, "rounds": 0}
+    for turn in range(rounds):
+        g, h = [now["g_base"], now["g_decay"]], [[now["h_base"], now["h_both"]], [now["h_both"], now["h_decay"]]]
+        held = [x[i] <= DRAW_BOUNDS[i][0] and g[i] > 0 or x[i] >= DRAW_BOUNDS[i][1] and g[i] < 0 for i in range(2)]
+        steps = _newton(g, h, held)
+        if max(abs(s) for s in steps) < tolerance:
+            break
+        tried = [tuple(min(max(x[i] - t * steps[i], DRAW_BOUNDS[i][0]), DRAW_BOUNDS[i][1]) for i in range(2)) for t in STEPS]
+        found = {r["point"]: r for r in draw_derivatives(bins, tried).collect()}
+        best = min(found, key=lambda i: (found[i]["loss"], i))
+        if found[best]["loss"] >= now["loss"] - 1e-15:
+            break
+        x, now = list(tried[best]), found[best]
+    return {"draw_base": x[0], "draw_decay": x[1], "log_loss": now["loss"], "g_base": now["g_base"], "g_decay": now["g_decay"], "rounds": turn + 1}
+
+
+def _newton(g: list[float], h: list[list[float]], held: list[bool]) -> list[float]:
+    """The step of the parameters that aren't held: by the curvature of these alone, by the slope where there is none."""
+    if all(held):
+        return [0.0, 0.0]
+    if any(held):
+        i = held.index(False)
+        out = [0.0, 0.0]
+        out[i] = g[i] / h[i][i] if h[i][i] > 1e-12 else g[i]
+        return out
+    det = h[0][0] * h[1][1] - h[0][1] * h[1][0]
+    if det <= 1e-14 * max(h[0][0] * h[1][1], 1e-300):
+        return [g[i] / h[i][i] if h[i][i] > 1e-12 else g[i] for i in range(2)]
+    return [(h[1][1] * g[0] - h[0][1] * g[1]) / det, (h[0][0] * g[1] - h[1][0] * g[0]) / det]
+
+
 def ensemble_weights(losses: DataFrame) -> DataFrame:
     """Weights in proportion to 1 / log-loss, one row a model."""
     inverse = F.lit(1e0) / F.col("log_loss")

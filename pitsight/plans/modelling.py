@@ -141,6 +141,35 @@ def elo_draw_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.orderBy("log_loss", "draw_base", "draw_decay").limit(5)
 
 
+POINTS = [(0.26, 0.8), (0.12, 0.0), (0.40, 4.0), (0.33, 0.1), (0.2, 2.5)]
+POINT_SQL = ", ".join(f"({i}, {b}e0, {d}e0)" for i, (b, d) in enumerate(POINTS))
+
+
+def draw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rating differences and outcomes of the training period."""
+    m = bridge.matches(spark, sf_dir)
+    train = m.where((F.col("status") == "finished") & (F.col("kickoff_at") < F.lit(TRAIN_END).cast("timestamp_ntz"))).select("match_id", O.outcome(F.col("home_score"), F.col("away_score")).alias("y"))
+    return elo.elo_walk(m).join(train, "match_id").select("elo_diff", "y")
+
+
+@query(ELO + f""", db AS MATERIALIZED (SELECT abs(round_even(elo_diff, 0)) / 400e0 AS u, count(*) AS n, count(*) FILTER (WHERE home_score = away_score) AS k FROM elo JOIN m ON m.match_id = elo.match_id WHERE status = 'finished' AND kickoff_at < TIMESTAMP '{TRAIN_END}' GROUP BY 1),
+pt AS (SELECT * FROM (VALUES {POINT_SQL}) v(point, base, decay)),
+dv AS (SELECT *, base * exp(-decay * u) AS fr, least(greatest(base * exp(-decay * u), 0.05e0), 0.42e0) AS p FROM db, pt),
+ds AS (SELECT *, CASE WHEN fr > 0.05e0 AND fr < 0.42e0 THEN (n - k) / (1 - p) - k / p ELSE 0e0 END AS slope FROM dv)
+SELECT CAST(point AS INT) AS point, round(sum(-k * ln(p) - (n - k) * ln(1 - p)) / sum(n), 8) AS loss, round(sum(slope * exp(-decay * u)) / sum(n), 8) AS g_base, round(sum(-slope * u * p) / sum(n), 8) AS g_decay FROM ds GROUP BY point""")
+def draw_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss and gradient of the draw transform at five points, limits of the bounds among them."""
+    found = models.draw_derivatives(models.draw_bins(draw_rows(spark, sf_dir)), POINTS)
+    return found.select("point", *(F.round(c, 8).alias(c) for c in ("loss", "g_base", "g_decay")))
+
+
+@query()
+def bounded_draw_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The draw transform fitted within its bounds by projected Newton steps; tests hold it against the grid."""
+    fit = models.fitted_draw_transform(draw_rows(spark, sf_dir))
+    return spark.createDataFrame([(round(fit["draw_base"], 6), round(fit["draw_decay"], 5), round(fit["log_loss"], 9))], "draw_base double, draw_decay double, log_loss double")
+
+
 def periods(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     rows = labelled(spark, sf_dir).withColumn("period", models.period_of(F.col("kickoff_at"), PERIODS, "final_test"))
     return {name: rows.where(F.col("period") == name) for name in ("train", "calibration_fit", "calibration_select", "final_test")}
