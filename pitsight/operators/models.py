@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -203,22 +205,86 @@ def sigmoid_calibrated(fit: DataFrame, rows: DataFrame) -> DataFrame:
     return out.withColumns({"c_home": p[0], "c_draw": p[1], "c_away": p[2]})
 
 
-def isotonic_calibrated(fit: DataFrame, rows: DataFrame, least_rows: int = 200, least_class: int = 30) -> DataFrame | None:
-    """Isotonic regression of each class against the rest, scaled; None where the fit has too few rows in all or of a class."""
-    from pyspark.ml.regression import IsotonicRegression
+#: Digits of a probability that bins of an isotonic fit keep: a fit sees a thousand bins however many rows there are.
+BIN_DIGITS = 3
+
+
+def calibration_bins(fit: DataFrame, digits: int = BIN_DIGITS) -> DataFrame:
+    """(class, x, n, hits): rows and rows of the class by its rounded probability, for all classes in one pass."""
+    each = F.array(*(F.struct(F.lit(c).alias("class"), F.bround(f"p_{c.lower()}", digits).alias("x"), (F.col("y") == c).alias("hit")) for c in CLASSES))
+    return fit.select(F.explode(each).alias("e")).select("e.*").groupBy("class", "x").agg(F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("hits"))
+
+
+def pooled(bins: list[tuple[float, int, int]]) -> list[tuple[float, int, float]]:
+    """(x, n, value): the non-decreasing values that are nearest to the bins' (x, n, hits) rates, weighed by n: a stack of
+    blocks, of which the last two are pooled for as long as their rates fall."""
+    stack: list[list] = []
+    for x, n, hits in sorted(bins):
+        stack.append([n, hits, [(x, n)]])
+        while len(stack) > 1 and stack[-2][1] * stack[-1][0] >= stack[-1][1] * stack[-2][0]:
+            last = stack.pop()
+            stack[-1] = [stack[-1][0] + last[0], stack[-1][1] + last[1], stack[-1][2] + last[2]]
+    return [(x, n, hits / total) for total, hits, members in stack for x, n in members]
 
+
+def isotonic_points(fit: DataFrame) -> dict[str, list[tuple[float, int, float]]]:
+    """The fitted values of each class at its bins. At most a thousand and one rows a class reach the driver."""
+    found: dict[str, list] = {c: [] for c in CLASSES}
+    for r in calibration_bins(fit).where(F.col("x").isNotNull()).collect():
+        found[r["class"]].append((r["x"], r["n"], r["hits"]))
+    return {c: pooled(bins) for c, bins in found.items()}
+
+
+def isotonic_calibrated(fit: DataFrame, rows: DataFrame, least_rows: int = 200, least_class: int = 30) -> DataFrame | None:
+    """Isotonic regression of each class against the rest, between bins a straight line, scaled to a sum of one; None
+    where the fit has too few rows in all or of a class."""
     counts = {r["y"]: r["n"] for r in fit.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if sum(counts.values()) < least_rows or min(counts.get(c, 0) for c in CLASSES) < least_class:
         return None
-    out = rows
+    points, out = isotonic_points(fit), rows
     for c in CLASSES:
-        column = f"p_{c.lower()}"
-        model = IsotonicRegression(featuresCol=column, labelCol="label", predictionCol=f"c_{c.lower()}").fit(fit.withColumn("label", (F.col("y") == c).cast("double")))
-        out = model.transform(out)
+        out = out.withColumn(f"c_{c.lower()}", _between(F.col(f"p_{c.lower()}"), [(x, v) for x, _, v in points[c]]))
     p = O.clipped(F.col("c_home"), F.col("c_draw"), F.col("c_away"))
     return out.withColumns({"c_home": p[0], "c_draw": p[1], "c_away": p[2]})
 
 
+def _between(x: Column, points: list[tuple[float, float]]) -> Column:
+    """The value at x on the straight lines between points, that of the end beyond them."""
+    xs, values = [p[0] for p in points], [p[1] for p in points]
+
+    @F.pandas_udf("double")
+    def at(column: pd.Series) -> pd.Series:
+        return pd.Series(np.interp(column.to_numpy(), xs, values))
+
+    return at(x)
+
+
+#: Calibrations by name: (fit, rows) to rows with c_home, c_draw and c_away, or None where there is too little to fit.
+CALIBRATIONS = {
+    "raw": lambda fit, rows: rows.withColumns({f"c_{c.lower()}": F.col(f"p_{c.lower()}") for c in CLASSES}), "sigmoid": lambda fit, rows: sigmoid_calibrated(fit, rows), "isotonic": lambda fit, rows: isotonic_calibrated(fit, rows),
+}
+
+
+def calibration_losses(fit: DataFrame, held: DataFrame) -> DataFrame:
+    """(method, log_loss, n): every calibration that can be fitted, on the held rows."""
+    out = None
+    for name, calibrate in CALIBRATIONS.items():
+        rows = calibrate(fit, held)
+        if rows is None:
+            continue
+        one = rows.agg(F.avg(log_loss_of(F.col("y"), F.col("c_home"), F.col("c_draw"), F.col("c_away"))).alias("log_loss"), F.count(F.lit(1)).alias("n")).withColumn("method", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def calibrated_finally(fit: DataFrame, select: DataFrame, rows: DataFrame) -> tuple[str, DataFrame]:
+    """The calibration with the least loss on the selection period (of equal ones the first), fitted anew on both
+    periods and applied to rows."""
+    losses = {r["method"]: r["log_loss"] for r in calibration_losses(fit, select).collect()}
+    chosen = min(losses, key=lambda name: (losses[name], list(CALIBRATIONS).index(name)))
+    return chosen, CALIBRATIONS[chosen](fit.unionByName(select), rows)
+
+
 def boosted_trees(train: DataFrame, rows: DataFrame, features: list[str], rounds: int = 10, depth: int = 4) -> DataFrame:
     """Gradient-boosted trees, one class against the rest, scaled to a sum of one: MLlib's in place of other libraries'.
 

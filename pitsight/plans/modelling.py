@@ -180,15 +180,29 @@ def calibration_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-loss of raw, sigmoid and isotonic probabilities on the selection period, best first: fitted models."""
     parts = periods(spark, sf_dir)
     fit, held = parts["calibration_fit"], parts["calibration_select"]
-    tried = {"raw": held.withColumns({f"c_{c}": F.col(f"p_{c}") for c in ("home", "draw", "away")}), "sigmoid": models.sigmoid_calibrated(fit, held)}
-    isotonic = models.isotonic_calibrated(fit, held)
-    if isotonic is not None:
-        tried["isotonic"] = isotonic
-    out = None
-    for name, rows in tried.items():
-        one = rows.agg(F.avg(models.log_loss_of(F.col("y"), F.col("c_home"), F.col("c_draw"), F.col("c_away"))).alias("log_loss"), F.count(F.lit(1)).alias("n")).withColumn("method", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out.orderBy("log_loss")
+    return models.calibration_losses(fit, held).orderBy("log_loss")
+
+
+@query(LABELLED + f""", cf AS (SELECT q.* FROM q WHERE {PERIOD_SQL} = 'calibration_fit'),
+cb AS (SELECT class, round_even(x, 3) AS x, count(*) AS n, count(*) FILTER (WHERE y = class) AS hits FROM (SELECT y, unnest(['HOME', 'DRAW', 'AWAY']) AS class, unnest([p_home, p_draw, p_away]) AS x FROM cf) GROUP BY 1, 2),
+cs AS (SELECT *, row_number() OVER w AS i, sum(n) OVER w AS cn, sum(hits) OVER w AS ch FROM cb WINDOW w AS (PARTITION BY class ORDER BY x)),
+jk AS (SELECT a.class, a.i AS j, b.i AS k, (b.ch - a.ch + a.hits) / (b.cn - a.cn + a.n) AS mean FROM cs a JOIN cs b ON b.class = a.class AND b.i >= a.i),
+ji AS (SELECT class, j, k AS i, min(mean) OVER (PARTITION BY class, j ORDER BY k DESC) AS low FROM jk)
+SELECT class, round(x, 3) AS x, n, round(max(low), 8) AS value FROM ji JOIN cs USING (class, i) GROUP BY class, x, n""")
+def isotonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The isotonic fit of the calibration period at its bins: pooled by a stack here, by the largest smallest mean in SQL."""
+    points = models.isotonic_points(periods(spark, sf_dir)["calibration_fit"])
+    rows = [(c, round(x, 3), n, round(value, 8)) for c, of in points.items() for x, n, value in of]
+    return spark.createDataFrame(rows, "class string, x double, n long, value double")
+
+
+@query()
+def calibration_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen calibration, fitted on both calibration periods, on the final one: its loss beside the raw one."""
+    parts = periods(spark, sf_dir)
+    chosen, rows = models.calibrated_finally(parts["calibration_fit"], parts["calibration_select"], parts["final_test"])
+    loss = lambda prefix: F.round(F.avg(models.log_loss_of(F.col("y"), *(F.col(f"{prefix}_{c}") for c in ("home", "draw", "away")))), 6)
+    return rows.agg(F.count(F.lit(1)).alias("n"), loss("p").alias("raw_loss"), loss("c").alias("calibrated_loss")).withColumn("method", F.lit(chosen))
 
 
 @query()
