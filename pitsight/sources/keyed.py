@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,13 +113,11 @@ class KeyedTable:
         grouped = pool.groupBy("_bucket", *self.keys).agg(*counts, F.max_by(F.struct(*(update or names)), at).alias("_last"))
         merged = grouped.select("_bucket", *self.keys, "_only_new", "_offered", F.col("_first").alias("_f"), *(F.col(f"_first.{c}").alias(c) for c in fixed), *(F.col(f"_last.{c}").alias(c) for c in update if c not in self.keys))
         differs = ~F.struct(*(F.col(c) for c in names)).eqNullSafe(F.struct(*(F.col(f"_f.{c}") for c in names)))
-        seen = Observation()
-        observed = merged.observe(
-            seen, F.count_if("_only_new").alias("inserted"), F.count_if(~F.col("_only_new") & differs).alias("changed"), F.coalesce(F.sum("_offered"), F.lit(0)).alias("offered")
-        )
+        counts = [F.count_if("_only_new").alias("inserted"), F.count_if(~F.col("_only_new") & differs).alias("changed"), F.coalesce(F.sum("_offered"), F.lit(0)).alias("offered")]
+        # Counted in a job of its own: an observed metric would leave the session with state that model fits can't ship.
+        counted = merged.agg(*counts).first().asDict() if touched else {}
         if touched:
-            observed.select(*names, "_bucket").write.partitionBy("_bucket").parquet(folder)
-        counted = seen.get if touched else {}
+            merged.select(*names, "_bucket").write.partitionBy("_bucket").parquet(folder)
         written = [int(counted.get(k, 0)) for k in ("inserted", "changed", "offered")]
         folders = known["folders"] | {b: f"{folder}/_bucket={b}" for b in touched}
         writers = known["writers"] | ({batch[0]: {"number": batch[1], "written": written}} if batch else {})
