@@ -61,3 +61,14 @@ def test_teams_are_those_that_the_document_has_named_by_then(spark):
     first, second = FIXTURE | {"events": [event(60)]}, other | {"events": [event(50), event(60), event(7)]}
     teams = [r["team_id"] for r in bundle.events(documents(spark, {"response": [first, second]})).orderBy("path").collect()]
     assert teams == [None, "tm_football-meridian-lge-football-ligue-uno-2024", "tm_football-third-lge-football-ligue-uno-2025", None]
+
+
+def test_places_stay_where_elements_have_other_types(spark):
+    figures = {"response": [FIXTURE | {"statistics": [{"team": {"id": 40}, "statistics": [7, None, {"type": "Shots", "value": 3}]}]}]}
+    rows = bundle.statistics(documents(spark, figures)).orderBy("path").collect()
+    assert [(r["path"][-13:], r["value"], r["reason"]) for r in rows] == [("statistics[0]", None, "invalid_payload"), ("statistics[1]", None, "invalid_payload"), ("statistics[2]", 3, None)]
+
+
+def test_teams_are_looked_up_not_searched_for_each_element(spark):
+    plan = bundle.events(documents(spark, {"response": [FIXTURE]}))._jdf.queryExecution().optimizedPlan().toString()
+    assert "named#" in plan and "filter(named#" not in plan
