@@ -47,6 +47,37 @@ def relation_holds(left: Column, relation: Column, right: Column) -> Column:
     )
 
 
+def _cited_sums(claims: DataFrame, facts: DataFrame) -> DataFrame:
+    """(claim_id, unknown, unavailable, types, fields) of the cited facts of each claim."""
+    cited = claims.select("claim_id", F.explode("evidence_ids").alias("evidence_id")).join(facts.select("evidence_id", "evidence_type", "field", "availability"), "evidence_id", "left")
+    return cited.groupBy("claim_id").agg(
+        F.bool_or(F.col("availability").isNull()).alias("unknown"), F.bool_or(F.col("availability") != "available").alias("unavailable"), F.collect_set("evidence_type").alias("types"), F.collect_set("field").alias("fields"),
+    )
+
+
+def _cited_in_contexts(claims: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Claims with their match's context and what the facts that they cite sum up to. Only citations of facts of other
+    matches are exploded and shuffled; an id whose last part is no field names nothing anywhere."""
+    field_of = lambda e: F.substring_index(e, ":", -1)
+    own = lambda e: F.coalesce(e == F.concat_ws(":", F.col("match_id").cast("string"), field_of(e)), F.lit(False))
+    ids = F.coalesce("evidence_ids", F.array().cast("array<string>"))
+    foreign = claims.select("claim_id", F.filter(ids, lambda e: ~own(e) & field_of(e).isin(*FIELDS)).alias("evidence_ids")).where(F.size("evidence_ids") > 0)
+    theirs = _cited_sums(foreign, catalogue(contexts)).select("claim_id", *(F.col(n).alias(f"_{n}") for n in ("unknown", "unavailable", "types", "fields")))
+    rows = claims.join(contexts.withColumn("_held", F.lit(True)).hint("shuffle_hash"), "match_id", "left").join(theirs, "claim_id", "left")
+    named = F.filter(ids, own)
+    fields = F.when(F.col("_held"), F.array_distinct(F.filter(F.transform(named, field_of), lambda f: f.isin(*FIELDS)))).otherwise(F.array().cast("array<string>"))
+    kinds = F.create_map(*(F.lit(x) for item in FIELDS.items() for x in item))
+    lacking = F.array_compact(F.array(*(F.when(F.col(n).isNull(), F.lit(n)) for n in FIELDS)))
+    # Ids of no field, null ids, and those of a match without a context.
+    nowhere = F.exists(ids, lambda e: ~F.coalesce(field_of(e).isin(*FIELDS), F.lit(False)) | own(e) & F.col("_held").isNull())
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("_own", fields)
+    return rows.withColumns({
+        "unknown": nowhere | F.coalesce("_unknown", F.lit(False)), "unavailable": F.arrays_overlap("_own", lacking) | F.coalesce("_unavailable", F.lit(False)),
+        "types": F.array_distinct(F.concat(F.transform("_own", lambda f: F.try_element_at(kinds, f)), F.coalesce("_types", none))), "fields": F.array_distinct(F.concat("_own", F.coalesce("_fields", none))),
+    })
+
+
 def verdicts(claims: DataFrame, contexts: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     """(claim_id, verdict): supported, or why not.
 
@@ -54,12 +85,10 @@ def verdicts(claims: DataFrame, contexts: DataFrame, evidence: DataFrame | None
     null. contexts: (match_id, the FIELDS), null where a match has no such fact; evidence: catalogue(contexts), unless
     other availabilities are given. A claim cites any number of facts; they meet it in one join by evidence_id and are
     summed up a claim, with what they lack, before the context joins by match_id."""
-    facts = evidence if evidence is not None else catalogue(contexts)
-    cited = claims.select("claim_id", F.explode("evidence_ids").alias("evidence_id")).join(facts.select("evidence_id", "evidence_type", "field", "availability"), "evidence_id", "left")
-    sums = cited.groupBy("claim_id").agg(
-        F.bool_or(F.col("availability").isNull()).alias("unknown"), F.bool_or(F.col("availability") != "available").alias("unavailable"), F.collect_set("evidence_type").alias("types"), F.collect_set("field").alias("fields"),
-    )
-    rows = claims.join(sums, "claim_id", "left").join(contexts, "match_id", "left")
+    if evidence is None:
+        rows = _cited_in_contexts(claims, contexts)
+    else:
+        rows = claims.join(_cited_sums(claims, evidence), "claim_id", "left").join(contexts, "match_id", "left")
     c = F.col
     kind = c("claim_type")
     allowed = F.create_map(*(x for k, v in EVIDENCE.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
