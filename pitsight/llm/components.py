@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,10 +13,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Each round hangs neighbours onto smaller nodes with equi-joins and minima only: no group of edges is ever
     collected, a node with very many edges is a skewed join key that adaptive execution splits, and the number of
-    rounds grows with the logarithm of the longest path. Every round ends in the shared checkpoint folder. An empty
-    edge list gives an empty result.
+    rounds grows with the logarithm of the longest path. Every round's edges are written to the shared folder as a table:
+    after a checkpoint the plan's size estimates, which two joins square each round, would fill the driver's memory. An
+    empty edge list gives an empty result.
     """
-    now = cut(
+    now = written(
         edges.where(F.col(a) != F.col(b))
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .distinct()
@@ -39,7 +40,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .where(F.col("u") != F.col("v"))
             .distinct()
         )
-        now = cut(small)
+        now = written(small)
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
-from pitsight.llm import simhash
+from pitsight.llm import components, simhash
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, fp string"
@@ -202,3 +202,10 @@ def test_crowded_cells_of_near_copies(spark, monkeypatch):
 @pytest.mark.parametrize("count", [0, 1])
 def test_groups_have_one_row_a_document(spark, count):
     assert len(run(spark, [(1, "a b c", "en", "")] * count)) == count
+
+
+def test_size_estimates_of_components_do_not_grow_by_round(spark):
+    chain = spark.range(200).selectExpr("id AS a", "id + 1 AS b")
+    found = components.connected_components(chain)
+    assert found.count() == 201 and found.where("root != 0").isEmpty()
+    assert int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 40
