@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import odds as O
+from ..session import written
 
 CLASSES = ("HOME", "DRAW", "AWAY")
 BINS = 10
@@ -129,3 +133,25 @@ def fingerprints(rows: DataFrame, by: list[str], columns: list[str]) -> DataFram
     doesn't depend on the order of rows, and repeats count."""
     one = F.conv(F.substring(F.sha2(F.concat_ws("|", *(F.col(c).cast("string") for c in columns)), 256), 1, 15), 16, 10).cast("decimal(20,0)")
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(one).cast("decimal(38,0)").cast("string").alias("fingerprint"))
+
+
+def exact_percentiles(rows: DataFrame, x: str, shares: dict[str, float], by: list[str] | None = None, digits: int = 1) -> DataFrame:
+    """(by, a column a share): exact percentiles of x between its two nearest ranks, as percentile() gives them, which
+    holds all distinct values of a group in one task. Here values are counted by x rounded down to some digits; only the
+    values of the bins that hold a wanted rank are ordered. Rows of a group without any x are left out."""
+    by = by or []
+    values = written(rows.select(*by, F.col(x).alias("_x")).where(F.col("_x").isNotNull()).groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_n")).withColumn("_bin", F.floor(F.col("_x") * 10**digits)))
+    bins = values.groupBy(*by, "_bin").agg(F.sum("_n").alias("_m"))
+    before, all_ = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)
+    bins = bins.withColumns({"_before": F.coalesce(F.sum("_m").over(before), F.lit(0)), "_all": F.sum("_m").over(all_)})
+    ranks = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), ((F.col("_all") - 1) * F.lit(float(share))).alias("at")) for name, share in shares.items())))
+    wanted = bins.withColumn("_s", ranks).where((F.floor("_s.at") < F.col("_before") + F.col("_m")) & (F.ceil("_s.at") >= F.col("_before"))).select(*by, "_bin", "_before", "_s.name", "_s.at")
+    wanted = wanted.withColumnsRenamed({c: f"_{c}" for c in by}).withColumnRenamed("_bin", "_in")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by), F.col("_bin") == F.col("_in"))
+    inside = values.join(F.broadcast(wanted), same)
+    upto = F.sum("_n").over(Window.partitionBy(*by, "_bin", "name").orderBy("_x")) + F.col("_before")
+    ranked = inside.withColumn("_end", upto)
+    holds = lambda rank: (F.col("_end") > rank) & (F.col("_end") - F.col("_n") <= rank)
+    ends = ranked.groupBy(*by, "name").agg(F.first("at").alias("at"), F.max(F.when(holds(F.floor("at")), F.col("_x"))).alias("low"), F.max(F.when(holds(F.ceil("at")), F.col("_x"))).alias("high"))
+    between = F.when(F.ceil("at") == F.floor("at"), F.col("low")).otherwise((F.ceil("at") - F.col("at")) * F.col("low") + (F.col("at") - F.floor("at")) * F.col("high"))
+    return ends.withColumn("value", between).groupBy(*by).agg(*(F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in shares))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import odds as O
-from ..operators import elo, form
+from ..operators import elo, form, metrics
+from ..session import written
 from ..sources import bridge
 from .registry import query
 
@@ -145,10 +146,11 @@ def reject_counts(pool: DataFrame) -> DataFrame:
 @query(ELO + """, gap AS (SELECT abs(home_elo - away_elo) AS x FROM elo)
 SELECT round(min(x), 4) AS low, round(quantile_cont(x, 0.1), 4) AS p10, round(quantile_cont(x, 0.5), 4) AS p50, round(quantile_cont(x, 0.9), 4) AS p90, round(max(x), 4) AS high, round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS std FROM gap""")
 def elo_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.abs(F.col("elo_diff"))
-    q = lambda p, name: F.round(F.percentile(x, p), 4).alias(name)
-    walked = elo.elo_walk(bridge.matches(spark, sf_dir))
-    return walked.agg(F.round(F.min(x), 4).alias("low"), q(0.1, "p10"), q(0.5, "p50"), q(0.9, "p90"), F.round(F.max(x), 4).alias("high"), F.round(F.avg(x), 4).alias("mean"), F.round(F.stddev_pop(x), 4).alias("std"))
+    gaps = written(elo.elo_walk(bridge.matches(spark, sf_dir)).select(F.abs("elo_diff").alias("x")))
+    shown = gaps.agg(F.round(F.min("x"), 4).alias("low"), F.round(F.max("x"), 4).alias("high"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_pop("x"), 4).alias("std"))
+    found = metrics.exact_percentiles(gaps, "x", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    # One row each.
+    return shown.join(F.broadcast(found), F.lit(True), "left").select("low", *(F.round(c, 4).alias(c) for c in ("p10", "p50", "p90")), "high", "mean", "std")
 
 
 @query(ELO_GRID + """, gp AS (SELECT k, ha, CASE y WHEN 'DRAW' THEN dr WHEN 'HOME' THEN (1e0 - dr) * e ELSE (1e0 - dr) * (1e0 - e) END AS p FROM (
@@ -161,9 +163,8 @@ def elo_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-loss of every pair of step size and home advantage, ranked, with the range over the grid and the candidate in
     use marked. The windows range over one row a cell."""
     m = bridge.matches(spark, sf_dir)
-    walked = elo.elo_grid(m, KS, ADVANTAGES)
-    y = m.where("status = 'finished'").select("match_id", O.outcome(F.col("home_score"), F.col("away_score")).alias("y"))
-    joined = walked.join(y, "match_id")
+    y = F.when(F.col("status") == "finished", O.outcome(F.col("home_score"), F.col("away_score")))
+    joined = elo.elo_grid(m.withColumns({"y": y, "finished": F.col("status") == "finished"}), KS, ADVANTAGES, carry=("y", "finished")).where("finished")
     diff = F.col("home_elo") - F.col("away_elo")
     expected = F.lit(1e0) / (F.lit(1e0) + F.pow(F.lit(1e1), -((diff + F.col("ha")) / 400e0)))
     draw = F.least(F.greatest(F.lit(0.26) * F.exp(F.lit(-0.8) * F.abs(diff) / 400e0), F.lit(0.05)), F.lit(0.42))

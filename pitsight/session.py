@@ -37,11 +37,12 @@ def new_folder(spark: SparkSession) -> str:
     return f"{named or os.path.join(tempfile.gettempdir(), 'pitsight-streams')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a table of files in the shared folder: for loops, as files have their true sizes and no lineage."""
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """The rows as a table of files in the shared folder, in folders of their own by the columns named: for loops, as
+    files have their true sizes and no lineage. Columns that have folders come last, as Spark reads them."""
     path = new_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship_package(spark: SparkSession) -> None:

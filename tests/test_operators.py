@@ -282,3 +282,25 @@ def test_ratings_do_not_depend_on_the_ranges_of_time(spark):
             cut = elo.rated(m, ks, [80.0] * len(ks), pool, range_events=500)
             order = lambda df: sorted(map(tuple, df.collect()), key=lambda r: r[1])
             assert order(whole) == order(cut) and whole.count() == m.count()
+
+
+def test_a_fold_takes_no_more_than_a_range_of_one_time(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(elo, "written", lambda df, *by, write=elo.written: kept.append(write(df, *by)) or kept[-1])
+    m = spark.range(300).select(F.col("id").alias("match_id"), F.lit(DAY).alias("kickoff_at"), F.lit(DAY + hours(3)).alias("available_at"), (F.col("id") % 7).alias("home_team_id"), (F.col("id") % 5 + 7).alias("away_team_id"), F.lit(1).alias("home_score"), (F.col("id") % 3).alias("away_score"), F.concat(F.lit("n"), "id").alias("note"))
+    cut = elo.rated(m, [20.0], [80.0], None, range_events=100, carry=("note",))
+    assert max(r["n"] for r in kept[1].groupBy("range").agg(F.sum(F.size("match_id")).alias("n")).collect()) < 300 and kept[1].select("range").distinct().count() > 2
+    whole = elo.rated(m, [20.0], [80.0], None, carry=("note",))
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect())) and {r["note"] for r in cut.where("match_id = 9").collect()} == {"n9"}
+
+
+def test_percentiles_hold_no_group_in_one_map(spark):
+    from pitsight.operators import metrics
+
+    rows = spark.createDataFrame([(g, x) for g, n in (("a", 41), ("b", 7), (None, 3), ("c", 1)) for i in range(n) for x in [(i * 37 % 11) / 7, None, 0.25]] + [("none", None)], "g string, x double")
+    found = metrics.exact_percentiles(rows, "x", {"p10": 0.1, "p50": 0.5, "p95": 0.95}, ["g"])
+    wanted = rows.where("x IS NOT NULL").groupBy("g").agg(*(F.percentile("x", p).alias(n) for n, p in (("p10", 0.1), ("p50", 0.5), ("p95", 0.95))))
+    near = lambda df: {r["g"]: pytest.approx(tuple(r)[1:]) for r in df.collect()}
+    assert {r["g"]: tuple(r)[1:] for r in found.collect()} == near(wanted)
+    both = elo.agreement(spark.createDataFrame([(1, "a", 1.0), (2, None, 5.0)], "match_id long, g string, elo_diff double"), spark.createDataFrame([(1, 2.5), (2, 5.0)], "match_id long, elo_diff double"), ["g"])
+    assert {tuple(r) for r in both.collect()} == {("a", 1, 1.5, 1.5, 1.5), (None, 1, 0.0, 0.0, 0.0)}
