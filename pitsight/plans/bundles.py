@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bundle
@@ -20,49 +20,62 @@ def written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "bundles", _composed)
 
 
-def _composed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """64 matches a document, in order of their ids; by divisors of the ids, some elements have faults of every kind."""
-    k, lit = F.col("match_id"), F.lit
-    m, t = bridge.matches(spark, sf_dir), bridge.teams(spark, sf_dir)
-    for side in ("home", "away"):
-        m = m.join(F.broadcast(t.select(F.col("team_id").alias(f"{side}_team_id"), F.col("team_name").alias(f"{side}_name"))), f"{side}_team_id")
+def _parts(x: Column) -> tuple[Column, Column, Column]:
+    """The element of a match in a document's fixtures, in its table and in its injuries."""
+    k, lit = x["match_id"], F.lit
     people = lambda i: F.struct(i.alias("id"), F.concat(lit("Player "), i.cast("string")).alias("name"))
-    items = bridge.read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"))
-    part, supp, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
-    items = items.join(m.select(k.alias("l_orderkey"), "home_team_id", "away_team_id"), "l_orderkey")
-    event = F.struct(
-        F.struct(F.when(part % 29 == 0, "late").otherwise((line * 7).cast("string")).alias("elapsed")).alias("time"),
-        F.struct(F.when(supp % 3 == 0, F.col("home_team_id")).when(supp % 3 == 1, F.col("away_team_id")).otherwise(999).alias("id")).alias("team"), F.when(supp % 5 != 0, people(part)).alias("player"),
-        F.when(F.col("flag") == "A", "Goal").when(F.col("flag") == "R", "Own Goal").alias("type"), F.when(line % 2 == 1, F.concat(lit("Detail "), line.cast("string"))).alias("detail"),
-    )
-    of_match = items.groupBy(F.col("l_orderkey").alias("match_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct(line, part, supp, event.alias("event")))), lambda x: x["event"]).alias("events"))
+
+    def event(e: Column) -> Column:
+        part, supp, line = e["l_partkey"], e["l_suppkey"], e["l_linenumber"]
+        return F.struct(
+            F.struct(F.when(part % 29 == 0, "late").otherwise((line * 7).cast("string")).alias("elapsed")).alias("time"),
+            F.struct(F.when(supp % 3 == 0, x["home_team_id"]).when(supp % 3 == 1, x["away_team_id"]).otherwise(999).alias("id")).alias("team"), F.when(supp % 5 != 0, people(part)).alias("player"),
+            F.when(e["flag"] == "A", "Goal").when(e["flag"] == "R", "Own Goal").alias("type"), F.when(line % 2 == 1, F.concat(lit("Detail "), line.cast("string"))).alias("detail"),
+        )
+
     player = lambda i, number, pos: F.struct(F.struct((k * 10 + i).alias("id"), F.concat(lit("Player "), (k * 10 + i).cast("string")).alias("name"), number.alias("number"), pos.alias("pos")).alias("player"))
     lineup = lambda team, i: F.struct(F.struct(team.alias("id")).alias("team"), F.when(k % 4 != 0, "4-4-2").alias("formation"), F.array(player(i, F.when(k % 31 == 0, "nine").otherwise("9"), lit("F"))).alias("startXI"), F.array(player(i + 1, lit(None).cast("string"), lit(None).cast("string"))).alias("substitutes"))
     stat = lambda name, value: F.struct(lit(name).alias("type"), value.cast("string").alias("value"))
     stats = lambda team, score: F.struct(F.struct(team.alias("id")).alias("team"), F.array(stat("Shots on Goal", score), stat("Ball Possession", F.when(k % 9 == 0, "half"))).alias("statistics"))
-    either = lambda day, column: F.when(k % day == 0, 999).otherwise(F.col(column))
+    either = lambda day, column: F.when(k % day == 0, 999).otherwise(x[column])
     fixture = F.struct(
         F.struct(
-            F.when(k % 17 != 0, k).alias("id"), F.when(k % 13 == 0, "soon").otherwise(F.date_format("kickoff_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("date"),
-            F.struct(F.when(k % 11 == 0, "XX").when(F.col("status") == "finished", "FT").otherwise("NS").alias("short")).alias("status"), F.struct(F.when(k % 2 == 0, F.concat(lit("Ground "), (k % 50).cast("string"))).alias("name")).alias("venue"),
+            F.when(k % 17 != 0, k).alias("id"), F.when(k % 13 == 0, "soon").otherwise(F.date_format(x["kickoff_at"], "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("date"),
+            F.struct(F.when(k % 11 == 0, "XX").when(x["status"] == "finished", "FT").otherwise("NS").alias("short")).alias("status"), F.struct(F.when(k % 2 == 0, F.concat(lit("Ground "), (k % 50).cast("string"))).alias("name")).alias("venue"),
         ).alias("fixture"),
-        F.struct(lit(39).alias("id"), F.col("league").alias("name"), lit("Land").alias("country"), F.col("season").alias("season")).alias("league"),
-        F.struct(F.struct(F.col("home_team_id").alias("id"), F.col("home_name").alias("name")).alias("home"), F.struct(F.col("away_team_id").alias("id"), F.when(k % 19 != 0, F.col("away_name")).alias("name")).alias("away")).alias("teams"),
-        F.struct(F.when(k % 23 == 0, "two").otherwise(F.col("home_score").cast("string")).alias("home"), F.col("away_score").alias("away")).alias("goals"),
-        "events", F.array(lineup(F.col("home_team_id"), 1), lineup(either(7, "away_team_id"), 3)).alias("lineups"), F.array(stats(F.col("home_team_id"), F.col("home_score")), stats(either(5, "away_team_id"), F.col("away_score"))).alias("statistics"),
+        F.struct(lit(39).alias("id"), x["league"].alias("name"), lit("Land").alias("country"), x["season"].alias("season")).alias("league"),
+        F.struct(F.struct(x["home_team_id"].alias("id"), x["home_name"].alias("name")).alias("home"), F.struct(x["away_team_id"].alias("id"), F.when(k % 19 != 0, x["away_name"]).alias("name")).alias("away")).alias("teams"),
+        F.struct(F.when(k % 23 == 0, "two").otherwise(x["home_score"].cast("string")).alias("home"), x["away_score"].alias("away")).alias("goals"),
+        F.transform(x["events"], event).alias("events"), F.array(lineup(x["home_team_id"], 1), lineup(either(7, "away_team_id"), 3)).alias("lineups"), F.array(stats(x["home_team_id"], x["home_score"]), stats(either(5, "away_team_id"), x["away_score"])).alias("statistics"),
     )
-    row = F.struct(k.alias("rank"), F.struct(F.col("home_team_id").alias("id"), F.col("home_name").alias("name")).alias("team"), F.when(k % 21 == 0, "many").otherwise(F.col("home_score").cast("string")).alias("points"), F.col("away_score").alias("lose"))
+    row = F.struct(k.alias("rank"), F.struct(x["home_team_id"].alias("id"), x["home_name"].alias("name")).alias("team"), F.when(k % 21 == 0, "many").otherwise(x["home_score"].cast("string")).alias("points"), x["away_score"].alias("lose"))
     injury = F.struct(
-        F.when(k % 33 != 0, F.concat(lit("i"), k.cast("string"))).alias("id"), F.when(k % 27 != 0, people(k)).alias("player"), F.struct(F.col("home_team_id").alias("id")).alias("team"), F.when(k % 2 == 0, "Knee").alias("type"),
-        F.element_at(F.array(lit("injured"), lit("doubtful"), lit("limping"), lit(None)), (k % 4 + 1).cast("int")).alias("status"), F.date_format("kickoff_at", "yyyy-MM-dd HH:mm:ss").alias("observed_at"),
+        F.when(k % 33 != 0, F.concat(lit("i"), k.cast("string"))).alias("id"), F.when(k % 27 != 0, people(k)).alias("player"), F.struct(x["home_team_id"].alias("id")).alias("team"), F.when(k % 2 == 0, "Knee").alias("type"),
+        F.element_at(F.array(lit("injured"), lit("doubtful"), lit("limping"), lit(None)), (k % 4 + 1).cast("int")).alias("status"), F.date_format(x["kickoff_at"], "yyyy-MM-dd HH:mm:ss").alias("observed_at"),
     )
-    placed = lambda c: F.sort_array(F.collect_list(F.struct(k, c.alias("x"))))
-    inner = lambda c: F.transform(c, lambda x: x["x"])
-    grouped = m.join(of_match, "match_id").groupBy(F.floor(k / PER_DOCUMENT).cast("long").alias("number")).agg(placed(fixture).alias("f"), placed(row).alias("s"), F.sort_array(F.collect_list(F.when(k % 3 == 0, F.struct(k, injury.alias("x"))))).alias("i"))
-    table = F.array(F.struct(lit("2024").alias("season"), lit("2024-05-01T10:00:00Z").alias("as_of"), inner(F.col("s")).alias("table")))
-    text = F.to_json(F.struct(lit("mock").alias("data_mode"), inner(F.col("f")).alias("response"), table.alias("standings"), inner(F.col("i")).alias("injuries")))
+    return fixture, row, injury
+
+
+def _composed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64 matches a document, in order of their ids; by divisors of the ids, some elements have faults of every kind.
+
+    Only the tables' own columns are shuffled; elements are built from them in the document's task, as they take many
+    times as much."""
+    m, t = bridge.matches(spark, sf_dir), bridge.teams(spark, sf_dir)
+    for side in ("home", "away"):
+        m = m.join(F.broadcast(t.select(F.col("team_id").alias(f"{side}_team_id"), F.col("team_name").alias(f"{side}_name"))), f"{side}_team_id")
+    # Dealt by the match, both groupings need no other shuffle.
+    items = bridge.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").repartition("l_orderkey")
+    items = items.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.min("l_returnflag").alias("flag"))
+    of_match = items.groupBy(F.col("l_orderkey").alias("match_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "flag"))).alias("events"))
+    match = F.struct("match_id", "kickoff_at", "home_team_id", "away_team_id", "home_name", "away_name", "league", "season", "status", "home_score", "away_score", "events")
+    number = F.floor(F.col("match_id") / PER_DOCUMENT).cast("long").alias("number")
+    grouped = m.join(of_match, "match_id").groupBy(number).agg(F.sort_array(F.collect_list(match)).alias("of"))
+    table = F.array(F.struct(F.lit("2024").alias("season"), F.lit("2024-05-01T10:00:00Z").alias("as_of"), F.transform("of", lambda x: _parts(x)[1]).alias("table")))
+    injuries = F.transform(F.filter("of", lambda x: x["match_id"] % 3 == 0), lambda x: _parts(x)[2])
+    text = F.to_json(F.struct(F.lit("mock").alias("data_mode"), F.transform("of", lambda x: _parts(x)[0]).alias("response"), table.alias("standings"), injuries.alias("injuries")))
     body = F.when(F.col("number") % 37 == 5, F.left(text, F.length(text) - 5)).when(F.col("number") % 41 == 7, F.concat(F.lit('{"response": 7, "injuries": null}'))).otherwise(text)
-    return grouped.select(F.concat(lit("b"), F.col("number").cast("string")).alias("raw_id"), F.lit(COLLECTED).cast("timestamp_ntz").alias("collected_at"), body.alias("body"))
+    return grouped.select(F.concat(F.lit("b"), F.col("number").cast("string")).alias("raw_id"), F.lit(COLLECTED).cast("timestamp_ntz").alias("collected_at"), body.alias("body"))
 
 
 LGE = "'lge_football-' || " + SLUG.format(x="league") + " || '-' || season"

@@ -22,7 +22,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, compose: Callable[[Spark
     key = spark.sparkContext.applicationId, sf_dir, name
     if key not in _STORED:
         folder = new_folder(spark)
-        compose(spark, sf_dir).write.parquet(folder)
+        compose(spark, sf_dir).write.option("compression", "zstd").parquet(folder)
         _STORED[key] = folder
     return spark.read.parquet(_STORED[key])
 

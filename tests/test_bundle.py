@@ -72,3 +72,11 @@ def test_places_stay_where_elements_have_other_types(spark):
 def test_teams_are_looked_up_not_searched_for_each_element(spark):
     plan = bundle.events(documents(spark, {"response": [FIXTURE]}))._jdf.queryExecution().optimizedPlan().toString()
     assert "named#" in plan and "filter(named#" not in plan
+
+
+def test_documents_are_built_after_the_shuffles(spark):
+    from pitsight.plans import bundles
+
+    plan = bundles._composed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    collected = [line for line in plan.splitlines() if "collect_list" in line]
+    assert collected and not any("Player " in line or "4-4-2" in line for line in collected)
