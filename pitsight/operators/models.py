@@ -71,10 +71,13 @@ def log_loss_of(y: Column, home: Column, draw: Column, away: Column) -> Column:
 
 
 def advantage_losses(rates: DataFrame, factors: list[float], y: str = "target") -> DataFrame:
-    """(advantage, log_loss) of the Poisson model with the home side's rate times each factor."""
-    each = rates.select(y, "lambda_home", "lambda_away", F.explode(F.array(*map(F.lit, factors))).alias("advantage"))
+    """(advantage, log_loss) of the Poisson model with the home side's rate times each factor. Rates come from sums of a
+    few goals: the model is evaluated once for equal rates and outcomes, weighed by their number."""
+    counted = rates.groupBy(y, "lambda_home", "lambda_away").agg(F.count(F.lit(1)).alias("n"))
+    each = counted.select(y, "lambda_home", "lambda_away", "n", F.explode(F.array(*map(F.lit, factors))).alias("advantage"))
     p = O.poisson_1x2(F.col("lambda_home") * F.col("advantage"), F.col("lambda_away"))
-    return each.groupBy("advantage").agg(F.avg(log_loss_of(F.col(y), *p)).alias("log_loss"))
+    losses = each.select("advantage", "n", log_loss_of(F.col(y), *p).alias("loss")).where(F.col("loss").isNotNull())
+    return losses.groupBy("advantage").agg((F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("log_loss"))
 
 
 def provenance(cards: DataFrame, rows: DataFrame, frozen: dict[str, str], at: str = "kickoff_at") -> DataFrame:
@@ -190,7 +193,8 @@ def mixture(members: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def sigmoid_calibrated(fit: DataFrame, rows: DataFrame) -> DataFrame:
-    """Platt scaling of each class against the rest by logistic regression, then scaled to a sum of one."""
+    """Platt scaling of each class against the rest by logistic regression, then scaled to a sum of one. Equal
+    probabilities with equal outcomes are one row to a fit, weighed by their number."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -199,7 +203,8 @@ def sigmoid_calibrated(fit: DataFrame, rows: DataFrame) -> DataFrame:
     for c in CLASSES:
         column = f"p_{c.lower()}"
         assemble = VectorAssembler(inputCols=[column], outputCol="x")
-        model = LogisticRegression(featuresCol="x", labelCol="label", regParam=1e-4, standardization=False, probabilityCol="pr", rawPredictionCol="raw", predictionCol="pred").fit(assemble.transform(fit.withColumn("label", (F.col("y") == c).cast("double"))))
+        counted = fit.groupBy(column, (F.col("y") == c).cast("double").alias("label")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+        model = LogisticRegression(featuresCol="x", labelCol="label", regParam=1e-4, standardization=False, weightCol="n", probabilityCol="pr", rawPredictionCol="raw", predictionCol="pred").fit(assemble.transform(counted))
         out = model.transform(assemble.transform(out)).withColumn(f"c_{c.lower()}", vector_to_array("pr")[1]).drop("x", "pr", "raw", "pred")
     p = O.clipped(F.col("c_home"), F.col("c_draw"), F.col("c_away"))
     return out.withColumns({"c_home": p[0], "c_draw": p[1], "c_away": p[2]})

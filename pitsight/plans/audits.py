@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import elo, metrics, models, value
+from ..session import written
 from ..sources import bridge, readers
 from .catalog import values
 from .history import ELO, FEATURES, features
@@ -181,7 +182,7 @@ SELECT round(advantage, 6) AS advantage, round(loss, 8) AS log_loss, row_number(
 def advantage_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-loss of nineteen factors on the home side's goal rate, the first smallest marked, in one pass: every row is
     offered to all cells and summed before the shuffle. The window ranges over one row a cell."""
-    rows = features(bridge.matches(spark, sf_dir)).where("status = 'finished'")
+    rows = written(features(bridge.matches(spark, sf_dir)).where("status = 'finished'"))
     train = rows.where(F.col("kickoff_at") < F.lit(TRAIN_END).cast("timestamp_ntz"))
     rates = models.goal_rates(train, models.mean_goal_rates(train))
     grid = models.advantage_losses(rates, [0.9 + 0.025 * i for i in range(19)])

@@ -84,6 +84,7 @@ FEATURES = FORM + H2H + ELO + """, feats AS (
 
 def features(m: DataFrame) -> DataFrame:
     """The 27 features of every match, with target and status. The three parts share the match id as join key."""
+    m = written(m)
     rows = form.rolling_form(m)
 
     def side(name: str) -> DataFrame:

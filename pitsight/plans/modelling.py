@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import odds as O
 from ..operators import elo, metrics, models
+from ..session import written
 from ..sources import bridge
 from .history import ELO, FEATURES, features
 from .registry import query
@@ -106,7 +107,7 @@ po AS (SELECT match_id, any_value(lh) AS lh, any_value(la) AS la, sum(pr) FILTER
 @query(POISSON + " SELECT match_id, round(lh, 6) AS lambda_home, round(la, 6) AS lambda_away, round(h / (h + dd + aa), 6) AS p_home, round(dd / (h + dd + aa), 6) AS p_draw, round(aa / (h + dd + aa), 6) AS p_away FROM po")
 def poisson_1x2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Independent Poisson goals with rates from recent form; training means stand in for short histories."""
-    rows = features(bridge.matches(spark, sf_dir)).where("status = 'finished'")
+    rows = written(features(bridge.matches(spark, sf_dir)).where("status = 'finished'"))
     means = models.mean_goal_rates(rows.where(F.col("kickoff_at") < F.lit(TRAIN_END).cast("timestamp_ntz")))
     rates = models.goal_rates(rows, means)
     p = O.poisson_1x2(F.col("lambda_home"), F.col("lambda_away"))
@@ -171,7 +172,8 @@ def bounded_draw_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def periods(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    rows = labelled(spark, sf_dir).withColumn("period", models.period_of(F.col("kickoff_at"), PERIODS, "final_test"))
+    # Fits pass over the rows many times.
+    rows = written(labelled(spark, sf_dir).withColumn("period", models.period_of(F.col("kickoff_at"), PERIODS, "final_test")))
     return {name: rows.where(F.col("period") == name) for name in ("train", "calibration_fit", "calibration_select", "final_test")}
 
 
@@ -208,7 +210,7 @@ def calibration_final(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradient-boosted trees on the features without availability of ratings, scored on the final period."""
-    rows = features(bridge.matches(spark, sf_dir)).where("status = 'finished'").withColumnRenamed("target", "y")
+    rows = written(features(bridge.matches(spark, sf_dir)).where("status = 'finished'").withColumnRenamed("target", "y"))
     names = [c for c, kind in rows.dtypes if c not in ("match_id", "kickoff_at", "league", "y", "status", "elo_available")]
     at = F.col("kickoff_at")
     train, test = rows.where(at < F.lit(TRAIN_END).cast("timestamp_ntz")), rows.where(at >= F.lit(TEST_START).cast("timestamp_ntz"))

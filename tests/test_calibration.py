@@ -51,3 +51,25 @@ def test_the_best_calibration_is_chosen_and_fitted_on_both_periods(spark):
     both = models.isotonic_points(frames[0].unionByName(frames[1]))
     assert sum(n for _, n, _ in both["HOME"]) == 3000
     assert models.isotonic_calibrated(frames[0].limit(100), frames[1]) is None
+
+
+def test_fits_read_written_rows(spark):
+    from pitsight.plans import modelling
+
+    rows = modelling.periods(spark, "/root/testdata/sf0.001")["calibration_fit"]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and rows.count()
+
+
+def test_advantage_losses_meet_equal_rates_once(spark):
+    from pitsight.functions import odds as O
+    from pitsight.operators import models
+    from pyspark.sql import functions as F
+
+    rates = spark.createDataFrame([("HOME", 1.2, 0.8)] * 5 + [("DRAW", 1.2, 0.8), ("AWAY", 0.4, 2.0)], "target string, lambda_home double, lambda_away double")
+    found = models.advantage_losses(rates, [1.0, 1.25])
+    for r in found.collect():
+        p = O.poisson_1x2(F.col("lambda_home") * r["advantage"], F.col("lambda_away"))
+        assert abs(rates.agg(F.avg(models.log_loss_of(F.col("target"), *p))).first()[0] - r["log_loss"]) < 1e-12
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Generate explode"):]
