@@ -209,3 +209,51 @@ def test_size_estimates_of_components_do_not_grow_by_round(spark):
     found = components.connected_components(chain)
     assert found.count() == 201 and found.where("root != 0").isEmpty()
     assert int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 40
+
+
+def variants(seed, n=250, strangers=200):
+    """Variants of one text, one to five of its words replaced, among strangers."""
+    rng = random.Random(seed)
+    base = ["v%d" % rng.randrange(900) for _ in range(150)]
+    out = [" ".join("s%d" % rng.randrange(5000) for _ in range(150)) for _ in range(strangers)]
+    for i in range(n):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.randint(1, 5)):
+            copy[at] = "n%d" % rng.randrange(100_000)
+        out.append(" ".join(copy))
+    return [(i, text, "en", "x") for i, text in enumerate(out)]
+
+
+def test_no_link_is_lost_in_a_dense_group(spark):
+    """Many pairs of such a group are just above or just below the similarity; it takes few jobs."""
+    rows, context = variants(11), spark.sparkContext
+    context.setJobGroup("dense", "")
+    got = sorted(r["doc_id"] for r in simhash.keep_one_of_each(spark.createDataFrame(rows, DOCS)).collect())
+    jobs = len(context.statusTracker().getJobIdsForGroup("dense"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert got == sorted(stay(rows))
+    assert jobs < 250
+
+
+def test_sketches_exclude_no_similar_pair(spark):
+    rows = near_texts(4) + [r[1] for r in variants(5, 20, 5)] + ["", "one", "w " * 3000]
+    found = simhash.profiles(spark.createDataFrame([(t,) for t in rows], "text string")).withColumn("point", F.monotonically_increasing_id())
+    texts = dict(spark.createDataFrame([(t,) for t in rows], "text string").select(simhash.text_key(F.col("text")), "text").collect())
+    points = found.dropDuplicates(["key"]).cache()
+    keys = {r["point"]: r["key"] for r in points.collect()}
+    pairs = simhash._of(points, "a").crossJoin(simhash._of(points, "b")).where("a < b")
+    open_ = {(r["a"], r["b"]) for r in pairs.where(simhash.may_be_similar(0.8)).select("a", "b").collect()}
+    every = [(a, b) for a in keys for b in keys if a < b]
+    wanted = {(a, b) for a, b in every if similar(texts[keys[a]], texts[keys[b]])}
+    assert wanted <= open_ and len(open_) < 0.2 * len(every)
+
+
+def test_every_open_pair_of_a_crowded_cell_meets(spark, monkeypatch):
+    """Blocks of three: every pair of two components comes once, none of one component, none with the leader."""
+    monkeypatch.setattr(simhash, "NEAR_CELL", 3)
+    sketch = {f"s{k}": F.lit(0).cast("long") for k in range(simhash.SKETCH)}
+    points = spark.range(20).select(F.col("id").alias("point"), F.lit(9).cast("long").alias("size"), *(c.alias(k) for k, c in sketch.items()))
+    cells = points.select(F.lit(7).cast("long").alias("cell"), "point", F.lit(20).cast("long").alias("n"), F.lit(0).cast("long").alias("leader"))
+    roots = spark.createDataFrame([(i, 0) for i in range(8)], "node long, root long")
+    got = sorted((r["a"], r["b"]) for r in simhash.open_pairs(cells, roots, points, 0.8).collect())
+    assert got == [(a, b) for a in range(1, 20) for b in range(a + 1, 20) if b >= 8]
