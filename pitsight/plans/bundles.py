@@ -13,11 +13,14 @@ from .streams import stored
 
 #: Matches of a document; when documents were collected; the league of their tables.
 PER_DOCUMENT, COLLECTED, LEAGUE = 64, "2030-01-01 00:00:00", "Table League"
+#: Documents are written in row groups of 64: a task reads up to 4,096 rows at once, but never over the end of a row group,
+#: so that this bounds the texts that it holds, however large the files are.
+ROW_GROUPS = {"parquet.block.row.count.limit": "64"}
 
 
 def written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(raw_id, collected_at, body): the documents."""
-    return stored(spark, sf_dir, "bundles", _composed)
+    return stored(spark, sf_dir, "bundles", _composed, ROW_GROUPS)
 
 
 def _parts(x: Column) -> tuple[Column, Column, Column]:

@@ -17,12 +17,13 @@ SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str, name: str, compose: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    """Rows that a provider or writer would have delivered: composed from the tables once a session, then read back."""
+def stored(spark: SparkSession, sf_dir: str, name: str, compose: Callable[[SparkSession, str], DataFrame], options: dict[str, str] | None = None) -> DataFrame:
+    """Rows that a provider or writer would have delivered: composed from the tables once a session, then read back.
+    options: further ones of the Parquet writer."""
     key = spark.sparkContext.applicationId, sf_dir, name
     if key not in _STORED:
         folder = new_folder(spark)
-        compose(spark, sf_dir).write.option("compression", "zstd").parquet(folder)
+        compose(spark, sf_dir).write.options(**{"compression": "zstd"} | (options or {})).parquet(folder)
         _STORED[key] = folder
     return spark.read.parquet(_STORED[key])
 

@@ -80,3 +80,14 @@ def test_documents_are_built_after_the_shuffles(spark):
     plan = bundles._composed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     collected = [line for line in plan.splitlines() if "collect_list" in line]
     assert collected and not any("Player " in line or "4-4-2" in line for line in collected)
+
+
+def test_documents_lie_in_small_row_groups(spark):
+    """A task holds the texts of one row group at once, so their number is bounded whatever the size of the files."""
+    import pyarrow.parquet as pq
+    from pitsight.plans import bundles
+
+    files = [path.removeprefix("file://") for path in bundles.written(spark, "/root/testdata/sf0.01").inputFiles()]
+    metas = [pq.ParquetFile(path).metadata for path in files]
+    sizes = [meta.row_group(i).num_rows for meta in metas for i in range(meta.num_row_groups)]
+    assert sum(sizes) > 200 and max(sizes) <= 64
