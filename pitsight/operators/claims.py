@@ -14,6 +14,10 @@ EVIDENCE = {
     "model_status": ("model_status",),
 }
 SIDES = ("HOME", "DRAW", "AWAY")
+#: In place of a cited field: the id names nothing; it may name a fact of another match.
+NOWHERE, ABROAD = "", "?"
+#: Kinds of claims whose value, and whose side to compare with, may be numbers.
+FIGURES, COMPARED = ("model_probability", "odds", "implied_probability", "no_vig_probability", "edge", "ev"), ("probability_comparison", "value_comparison", "edge", "ev")
 HIGH, LOW, LIVE = ("high", "positive"), ("low", "negative"), ("live", "live_market", "true")
 #: What a match's context says, and the kind of evidence that each of it is.
 FIELDS = {
@@ -32,7 +36,9 @@ def catalogue(contexts: DataFrame) -> DataFrame:
 
 def number(raw: Column) -> Column:
     """A number as it is claimed: with point or comma, sign and percent sign; null for anything else."""
-    return F.regexp_replace(F.replace(F.trim(raw), F.lit(","), F.lit(".")), "[+%]", "").try_cast("double")
+    shown = F.translate(F.trim(raw), ",+%", ".")
+    # A cast that fails is dear, so words and times aren't tried.
+    return F.when(shown.rlike(r"(?i)^[\x00-\x20]*-?(?:[.\d][\da-fxp.-]*|inf(?:inity)?|nan)[\x00-\x20]*$"), shown.try_cast("double"))
 
 
 def as_share(shown: Column) -> Column:
@@ -55,29 +61,60 @@ def _cited_sums(claims: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
+def _of_others(claims: DataFrame, contexts: DataFrame, ids: Column) -> DataFrame:
+    """(claim_id, _unknown, _unavailable, _types, _fields): what each claim's citations of facts of other matches sum up
+    to. An id is parted into match and field, so that the contexts' facts needn't become rows of their own."""
+    field, key = F.substring_index("evidence_id", ":", -1), contexts.schema["match_id"].dataType
+    shown = F.left("evidence_id", F.length("evidence_id") - F.length(field) - 1)
+    cited = claims.select("claim_id", F.explode(ids).alias("evidence_id")).select("claim_id", field.alias("field"), shown.alias("shown"), shown.try_cast(key).alias("match_id"))
+    # Only an id as it is written in the catalogue names a match.
+    cited = cited.withColumn("match_id", F.when(F.col("match_id").cast("string") == F.col("shown"), F.col("match_id")))
+    lacking = contexts.select("match_id", _lacking().alias("lacking"))
+    kinds = F.create_map(*(F.lit(x) for item in FIELDS.items() for x in item))
+    known = F.col("lacking").isNotNull()
+    return cited.join(lacking, "match_id", "left").groupBy("claim_id").agg(
+        F.bool_or(~known).alias("_unknown"), F.bool_or(known & F.array_contains("lacking", F.col("field"))).alias("_unavailable"),
+        F.collect_set(F.when(known, F.try_element_at(kinds, F.col("field")))).alias("_types"), F.collect_set(F.when(known, F.col("field"))).alias("_fields"),
+    )
+
+
+def _lacking() -> Column:
+    """The fields of a context that are null."""
+    return F.array_compact(F.array(*(F.when(F.col(n).isNull(), F.lit(n)) for n in FIELDS)))
+
+
 def _cited_in_contexts(claims: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Claims with their match's context and what the facts that they cite sum up to. Only citations of facts of other
-    matches are exploded and shuffled; an id whose last part is no field names nothing anywhere."""
+    """Claims with their match's context and what the facts that they cite sum up to. Only claims that cite facts of other
+    matches are shuffled by their id, the others stay with their context; an id whose last part is no field names nothing
+    anywhere."""
     field_of = lambda e: F.substring_index(e, ":", -1)
-    own = lambda e: F.coalesce(e == F.concat_ws(":", F.col("match_id").cast("string"), field_of(e)), F.lit(False))
+    known = lambda e: F.coalesce(field_of(e).isin(*FIELDS), F.lit(False))
+    own = lambda e: F.coalesce(e == F.concat("_prefix", field_of(e)), F.lit(False))
     ids = F.coalesce("evidence_ids", F.array().cast("array<string>"))
-    foreign = claims.select("claim_id", F.filter(ids, lambda e: ~own(e) & field_of(e).isin(*FIELDS)).alias("evidence_ids")).where(F.size("evidence_ids") > 0)
-    theirs = _cited_sums(foreign, catalogue(contexts)).select("claim_id", *(F.col(n).alias(f"_{n}") for n in ("unknown", "unavailable", "types", "fields")))
-    rows = claims.join(contexts.withColumn("_held", F.lit(True)).hint("shuffle_hash"), "match_id", "left").join(theirs, "claim_id", "left")
-    named = F.filter(ids, own)
-    fields = F.when(F.col("_held"), F.array_distinct(F.filter(F.transform(named, field_of), lambda f: f.isin(*FIELDS)))).otherwise(F.array().cast("array<string>"))
-    kinds = F.create_map(*(F.lit(x) for item in FIELDS.items() for x in item))
-    lacking = F.array_compact(F.array(*(F.when(F.col(n).isNull(), F.lit(n)) for n in FIELDS)))
-    # Ids of no field, null ids, and those of a match without a context.
-    nowhere = F.exists(ids, lambda e: ~F.coalesce(field_of(e).isin(*FIELDS), F.lit(False)) | own(e) & F.col("_held").isNull())
+    # Each id as its field, where it is one of the own match, or as a sign.
+    told = F.transform(ids, lambda e: F.when(~known(e), NOWHERE).when(own(e), field_of(e)).otherwise(ABROAD))
+    marked = claims.withColumn("_prefix", F.concat(F.col("match_id").cast("string"), F.lit(":"))).withColumn("_told", told)
+    abroad = F.array_contains("_told", ABROAD)
+    theirs = _of_others(marked.where(abroad), contexts, F.filter(ids, lambda e: known(e) & ~own(e)))
+    held = contexts.withColumn("_held", F.lit(True)).hint("shuffle_hash")
+    at_home, far = marked.where(~abroad).join(held, "match_id", "left"), marked.where(abroad).join(held, "match_id", "left").join(theirs, "claim_id", "left")
+    rows = far.unionByName(at_home, allowMissingColumns=True)
     none = F.array().cast("array<string>")
-    rows = rows.withColumn("_own", fields)
+    named = F.array_remove(F.array_remove("_told", NOWHERE), ABROAD)
+    rows = rows.withColumn("_named", named).withColumn("_own", F.when(F.col("_held"), F.array_distinct("_named")).otherwise(none))
+    fitting = F.create_map(*(x for kind, types in EVIDENCE.items() for x in (F.lit(kind), F.array(*(F.lit(n) for n, t in FIELDS.items() if t in types)))))
+    fits = F.arrays_overlap("_own", F.try_element_at(fitting, F.col("claim_type"))) | F.arrays_overlap(F.coalesce("_types", none), F.try_element_at(_allowed(), F.col("claim_type")))
     return rows.withColumns({
-        "unknown": nowhere | F.coalesce("_unknown", F.lit(False)), "unavailable": F.arrays_overlap("_own", lacking) | F.coalesce("_unavailable", F.lit(False)),
-        "types": F.array_distinct(F.concat(F.transform("_own", lambda f: F.try_element_at(kinds, f)), F.coalesce("_types", none))), "fields": F.array_distinct(F.concat("_own", F.coalesce("_fields", none))),
+        # Ids of no field, null ids, and those of a match without a context.
+        "unknown": F.array_contains("_told", NOWHERE) | F.col("_held").isNull() & (F.size("_named") > 0) | F.coalesce("_unknown", F.lit(False)),
+        "unavailable": F.arrays_overlap("_own", _lacking()) | F.coalesce("_unavailable", F.lit(False)), "fits": fits, "fields": F.array_distinct(F.concat("_own", F.coalesce("_fields", none))),
     })
 
 
+def _allowed() -> Column:
+    return F.create_map(*(x for k, v in EVIDENCE.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+
+
 def verdicts(claims: DataFrame, contexts: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     """(claim_id, verdict): supported, or why not.
 
@@ -89,9 +126,9 @@ def verdicts(claims: DataFrame, contexts: DataFrame, evidence: DataFrame | None
         rows = _cited_in_contexts(claims, contexts)
     else:
         rows = claims.join(_cited_sums(claims, evidence), "claim_id", "left").join(contexts, "match_id", "left")
+        rows = rows.withColumn("fits", F.arrays_overlap("types", F.try_element_at(_allowed(), F.col("claim_type"))))
     c = F.col
     kind = c("claim_type")
-    allowed = F.create_map(*(x for k, v in EVIDENCE.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
 
     def side(raw: Column) -> Column:
         shown = F.trim(raw)
@@ -102,7 +139,7 @@ def verdicts(claims: DataFrame, contexts: DataFrame, evidence: DataFrame | None
     field_of = lambda s: F.concat(F.lower(s), F.lit("_probability"))
     cites = lambda field: F.coalesce(F.array_contains("fields", field), F.lit(False))
     # As columns of their own, which many expressions share.
-    rows = rows.withColumns({"_subject": side(c("subject")), "_meant": side(F.coalesce(c("subject"), c("value"))), "_to": side(c("compare_to")), "_n": number(c("value")), "_m": number(c("compare_to"))})
+    rows = rows.withColumns({"_subject": side(c("subject")), "_meant": side(F.coalesce(c("subject"), c("value"))), "_to": side(c("compare_to")), "_n": F.when(kind.isin(*FIGURES), number(c("value"))), "_m": F.when(kind.isin(*COMPARED), number(c("compare_to")))})
     rows = rows.withColumns({"_claimed": as_share(c("_n")), "_target": as_share(c("_m")), "_other": F.when(c("_m").isNull(), c("_to"))})
     rows = rows.withColumns({"_p": p_of(c("_subject")), "_right": F.coalesce(p_of(c("_other")), F.when(c("_target").between(0, 1), c("_target"))), "_share": F.when(c("_claimed").between(0, 1), c("_claimed"))})
     subject, meant, other, right = c("_subject"), c("_meant"), c("_other"), c("_right")
@@ -146,7 +183,7 @@ def verdicts(claims: DataFrame, contexts: DataFrame, evidence: DataFrame | None
         "team": F.when(~named(F.coalesce("subject", "value")) | meant.isNotNull(), ok).otherwise("unknown_subject"), "league": same(F.coalesce("value", "subject"), c("league")), "kickoff": same(c("value"), c("kickoff")),
     }
     decided = F.when(~kind.isin(*EVIDENCE), "unsupported_type").when(F.coalesce(F.size("evidence_ids"), F.lit(0)) <= 0, "missing_evidence").when(c("unknown"), "unknown_evidence").when(c("unavailable"), "unavailable_evidence")
-    decided = decided.when(~F.arrays_overlap("types", F.try_element_at(allowed, kind)), "wrong_type")
+    decided = decided.when(~c("fits"), "wrong_type")
     for name, verdict in by_type.items():
         decided = decided.when(kind == name, verdict)
     return rows.select("claim_id", decided.alias("verdict"))

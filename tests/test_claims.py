@@ -1,5 +1,7 @@
 """Claims of every type against one match: forms of numbers, words, names, relations, and what they must cite."""
 
+from pyspark.sql import functions as F
+
 from pitsight.operators import claims
 
 CONTEXT = (1, "Nation 7", "Étoile", "Ligue", "2024-01-02T10:00:00Z", 0.453, 0.3, 0.247, "HOME", "AWAY", 2.5, 0.4, 0.38, -0.031, 0.12, "mock", "candidate")
@@ -56,3 +58,27 @@ def test_claims_of_own_facts_are_not_shuffled_again(spark):
     made = spark.createDataFrame([(1, 1, "ev", None, "0.12", None, None, ["1:ev"])], SCHEMA)
     plan = claims.verdicts(made, held)._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=shuffle_hash" in plan
+
+
+def test_only_claims_that_cite_other_matches_join_by_their_id(spark):
+    held = spark.createDataFrame([CONTEXT], CONTEXT_SCHEMA)
+    made = spark.createDataFrame([(1, 1, "ev", None, "0.12", None, None, ["1:ev"]), (2, 1, "ev", None, "0.12", None, None, ["2:ev"])], SCHEMA)
+    plan = claims.verdicts(made, held)._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Union":
+        plan = plan.children().head()
+    joins = [plan.children().apply(i).toString().count("Join ") for i in range(plan.children().size())]
+    assert joins == [3, 1]
+
+
+def test_citations_that_are_written_otherwise_name_nothing(spark):
+    held = spark.createDataFrame([CONTEXT], CONTEXT_SCHEMA)
+    cited = [["01:ev"], [" 1:ev"], ["1.0:ev"], ["+1:ev"], [":ev"], ["1::ev"], ["x:ev", "1:ev"], ["1:ev", "1:ev"]]
+    made = spark.createDataFrame([(i * 10 + m, m, "ev", None, "0.12", None, None, ids) for i, ids in enumerate(cited) for m in (1, 2)], SCHEMA)
+    of = lambda rows: {r["claim_id"]: r["verdict"] for r in rows.collect()}
+    assert of(claims.verdicts(made, held)) == of(claims.verdicts(made, held, claims.catalogue(held)))
+
+
+def test_words_are_no_numbers(spark):
+    shown = ["45,3 %", "+1e3", "-.5", "7.", "NaN", "-Infinity", "0x1p3", "1d", "Nation 7", "2024-01-02T10:00:00Z", "HOME", "-", "", "1.2.3", "1 2", None]
+    rows = spark.createDataFrame([(s,) for s in shown], "s string").select("s", claims.number(F.col("s")).cast("string").alias("n")).collect()
+    assert [r["n"] for r in rows] == ["45.3", "1000.0", "-0.5", "7.0", "NaN", "-Infinity", "8.0", "1.0", *[None] * 8]
