@@ -35,6 +35,11 @@ PATTERNS = {
 }
 #: Those of them in which case counts.
 CASED = ("team_token", "iso_date", "proper_name", "acronym", "title_token", "number")
+#: What a text in small ASCII letters holds at least, if one of these patterns is in it.
+SIGNS = {
+    "percent": ("%", "percent"), "odds": ("odds", "cote", "price", "prix"), "ev": ("ev",), "edge": ("edge",), "points": ("points",), "highest_probability": ("highest", "plus haute", "most likely", "plus probable"),
+    "best_value": ("best", "meilleure", "value pick"), "live_affirmation": ("live", "real", "en direct"),
+}
 #: Names and words that name nobody, and terms that no text may hold.
 NARRATIVE_NAMES = ("value engine",)
 ACRONYMS = ("HOME", "AWAY", "DRAW", "EV", "PIT", "AI", "HTTP", "JSON", "DTO", "ID", "UTC")
@@ -177,7 +182,7 @@ def holds(text: Column, name: str) -> Column:
 
 def decimals(found: Column) -> Column:
     """Numbers as they are written, with point or comma."""
-    return F.transform(found, lambda x: F.regexp_replace(F.replace(x, F.lit(","), F.lit(".")), r"^\+", "").try_cast("decimal(20,6)"))
+    return F.transform(found, lambda x: F.translate(x, ",+", ".").try_cast("decimal(20,6)"))
 
 
 def contains_any(text: Column, terms: tuple[str, ...]) -> Column:
@@ -189,7 +194,10 @@ def contains_any(text: Column, terms: tuple[str, ...]) -> Column:
 
 def first_term(text: Column, terms: tuple[str, ...]) -> Column:
     """The first of the terms that a text holds: whole words, but terms with a blank or percent sign anywhere."""
-    low = F.lower(text)
+    return first_of_low(F.lower(text), terms)
+
+
+def first_of_low(low: Column, terms: tuple[str, ...]) -> Column:
     def held(term: str) -> Column:
         # Most texts lack most terms, which the plain search finds out at once.
         anywhere = F.contains(low, F.lit(term.lower()))
@@ -224,27 +232,37 @@ def findings(texts: DataFrame, key: str = "match_id") -> DataFrame:
     rows = texts.withColumn("names", names).withColumn("_u", undated).withColumn("_s", name_spans(c("_u"), F.concat("names", F.array(F.lit("1X2")))))
     spaced = lambda x: F.concat(F.lit(" "), F.regexp_replace(F.lower(x), r"(?U)\W+", " "), F.lit(" "))
     rows = rows.withColumn("scanned", masked(c("_u"), c("_s"))).withColumn("spaced_names", F.transform("names", spaced)).drop("_u", "_s")
-    rows = rows.withColumn("sentences", F.filter(F.split(F.trim("scanned"), r"(?<=[.!?])\s+"), lambda s: F.trim(s) != ""))
+    none = F.array().cast("array<string>")
     no_value = c("value_selection").isNull()
-    any_of = lambda allowed: lambda x: ~F.coalesce(F.array_contains(allowed, x), F.lit(False))
-    percents = F.concat("model_percents", "value_percents")
-    allowed_numbers = F.concat(percents, "model_numbers", "value_numbers", "signed", F.transform("days", lambda d: F.left(d, F.lit(4)).cast("decimal(20,6)")), F.array(F.lit(1), F.lit(2)).cast(NUMBERS))
+    rows = rows.withColumns({"_low": F.lower("scanned"), "_ascii": F.char_length("scanned") == F.octet_length("scanned")})
+    # The plain search finds out at once that most texts lack most patterns; beyond ASCII, letters have more than two cases.
+    may_hold = lambda name: contains_any(c("_low"), SIGNS[name]) | ~c("_ascii")
+    figures = lambda *names: F.concat(*(F.when(may_hold(n), decimals(all_of(c("scanned"), n))).when(c("scanned").isNotNull(), F.array().cast(NUMBERS)) for n in names))
+    told = lambda name: may_hold(name) & holds(c("scanned"), name)
+    # Columns of their own, each computed once a row: a lambda would compute what it refers to for every element.
+    rows = rows.withColumns({
+        "sentences": F.filter(F.split(F.trim("scanned"), r"(?<=[.!?])\s+"), lambda s: F.trim(s) != ""), "_percents": figures("percent"), "_allowed": F.array_compact(F.concat("model_percents", "value_percents")),
+        "_named": F.transform(F.concat(*(all_of(c("text"), p) for p in ("proper_name", "acronym", "title_token"))), lambda n: F.struct(n.alias("n"), F.lower(n).alias("low"), spaced(n).alias("spaced"))),
+    })
+    allowed_numbers = F.concat("_allowed", "model_numbers", "value_numbers", "signed", F.transform("days", lambda d: F.left(d, F.lit(4)).cast("decimal(20,6)")), F.array(F.lit(1), F.lit(2)).cast(NUMBERS))
     shown = lambda numbers: F.transform(numbers, lambda x: x.cast("string"))
+    # A figure that is no number stays.
+    beyond = lambda found, allowed: shown(F.array_except(found, F.array_compact(allowed)))
+    # Percents of the value rows that aren't the model's.
+    rows = rows.withColumn("_foreign", F.array_except(F.array_intersect("_percents", "_allowed"), "model_percents"))
 
     def mentioned(sentence: Column) -> Column:
         sides = [F.when(F.lower(sentence).rlike("(?U)" + words), F.lit(s)) for s, words in SELECTION_WORDS.items()]
         return F.array_compact(F.array(*sides))
 
-    def unallowed_percents(sentence: Column) -> Column:
-        wrong = shown(F.filter(decimals(all_of(sentence, "percent")), any_of(percents)))
-        return wrong
-
     def wrong_model_percents(sentence: Column) -> Column:
-        some = F.filter(decimals(all_of(sentence, "percent")), lambda x: ~any_of(percents)(x) & any_of(c("model_percents"))(x))
-        return F.when(holds(sentence, "model_probability"), shown(some)).otherwise(F.array().cast("array<string>"))
+        return F.when(holds(sentence, "model_probability"), shown(F.array_intersect(decimals(all_of(sentence, "percent")), c("_foreign")))).otherwise(none)
+
+    def sentences_where(condition, some: Column) -> Column:
+        """The sentences of a condition, if the text, in which sentences are, holds what it takes."""
+        return F.when(some, F.filter("sentences", condition)).otherwise(none)
 
-    each = lambda f: F.flatten(F.transform("sentences", f))
-    when = lambda condition, token: F.when(condition, F.array(token)).otherwise(F.array().cast("array<string>"))
+    when = lambda condition, token: F.when(condition, F.array(token)).otherwise(none)
     others = lambda s, pick: F.exists(mentioned(s), lambda x: ~x.eqNullSafe(pick))
     confused = lambda s: holds(s, "highest_probability") & others(s, c("favourite"))
     not_best = lambda s: holds(s, "best_value") & (no_value | others(s, c("value_selection")))
@@ -253,31 +271,34 @@ def findings(texts: DataFrame, key: str = "match_id") -> DataFrame:
         & F.array_contains(mentioned(s), c("value_selection")) & ~F.array_contains(mentioned(s), c("favourite"))
     )
     live = lambda s: (c("data_mode") == "mock") & holds(s, "live_affirmation") & ~holds(s, "live_negation")
-    low = F.lower("scanned")
+    low = c("_low")
     known = lambda n: (
-        F.lower(n).isin(*NARRATIVE_NAMES, *FUNCTION_WORDS) | n.isin(*ACRONYMS) | F.left(n, F.lit(2)).isin("L'", "D'", "N'", "C'") | F.exists("spaced_names", lambda a: F.contains(a, spaced(n)))
+        n["low"].isin(*NARRATIVE_NAMES, *FUNCTION_WORDS) | n["n"].isin(*ACRONYMS) | F.left(n["n"], F.lit(2)).isin("L'", "D'", "N'", "C'") | F.exists("spaced_names", lambda a: F.contains(a, n["spaced"]))
     )
-    signed = F.concat(*(decimals(all_of(c("scanned"), name)) for name in ("ev", "edge", "points")))
     rules = {
-        "forbidden_term": F.array_compact(F.array(first_term(c("scanned"), FORBIDDEN))),
-        "invented_topic": F.array_compact(F.array(first_term(c("scanned"), INVENTED_TOPICS))),
-        "favourite_confused": F.filter("sentences", confused),
-        "best_value_confused": F.filter("sentences", not_best),
-        "value_as_favourite": F.filter("sentences", promoted_value),
+        "forbidden_term": F.array_compact(F.array(first_of_low(low, FORBIDDEN))),
+        "invented_topic": F.array_compact(F.array(first_of_low(low, INVENTED_TOPICS))),
+        "favourite_confused": sentences_where(confused, told("highest_probability")),
+        "best_value_confused": sentences_where(not_best, told("best_value")),
+        "value_as_favourite": sentences_where(promoted_value, contains_any(low, FAVOURITE_MARKERS)),
         "candidate_promoted": when((c("model_status") == "candidate") & contains_any(low, PROMOTIONS) & ~F.contains(low, F.lit(PROMOTION_NEGATION)), c("model_status")),
-        "mock_as_live": F.filter("sentences", live),
-        "percent": each(unallowed_percents),
-        "model_percent": each(wrong_model_percents),
-        "value_unavailable": when(no_value & (holds(c("scanned"), "odds") | contains_any(low, UNAVAILABLE_VALUE) & ~contains_any(low, UNAVAILABLE_NEGATIONS)), F.lit("value")),
-        "odds": F.when(~no_value, shown(F.filter(decimals(all_of(c("scanned"), "odds")), any_of(c("allowed_odds"))))),
-        "signed": F.when(~no_value, shown(F.filter(signed, any_of(c("signed"))))),
-        "number": shown(F.filter(decimals(all_of(c("scanned"), "number")), any_of(allowed_numbers))),
-        "team_token": F.filter(all_of(c("text"), "team_token"), lambda t: ~F.exists("names", lambda a: F.lower(a) == F.lower(t))),
-        "name": F.filter(F.concat(*(all_of(c("text"), p) for p in ("proper_name", "acronym", "title_token"))), lambda n: ~known(n)),
-        "date": F.filter(all_of(c("text"), "iso_date"), lambda d: ~F.array_contains("days", F.left(d, F.lit(10)))),
+        "mock_as_live": sentences_where(live, told("live_affirmation")),
+        "percent": beyond(c("_percents"), c("_allowed")),
+        "model_percent": F.when(F.size("_foreign") > 0, F.flatten(F.transform("sentences", wrong_model_percents))).otherwise(none),
+        "value_unavailable": when(no_value & (told("odds") | contains_any(low, UNAVAILABLE_VALUE) & ~contains_any(low, UNAVAILABLE_NEGATIONS)), F.lit("value")),
+        "odds": F.when(~no_value, beyond(figures("odds"), c("allowed_odds"))),
+        "signed": F.when(~no_value, beyond(figures("ev", "edge", "points"), c("signed"))),
+        "number": beyond(decimals(all_of(c("scanned"), "number")), allowed_numbers),
+        "team_token": F.when(F.contains("text", F.lit("Team")), F.filter(all_of(c("text"), "team_token"), lambda t: ~F.exists("names", lambda a: F.lower(a) == F.lower(t)))),
+        "name": F.transform(F.filter("_named", lambda n: ~known(n)), lambda n: n["n"]),
+        "date": F.when(F.contains("text", F.lit("-")), F.filter(all_of(c("text"), "iso_date"), lambda d: ~F.array_contains("days", F.left(d, F.lit(10))))),
     }
-    listed = F.flatten(F.array(*(F.transform(F.array_distinct(F.coalesce(tokens, F.array().cast("array<string>"))), _tagged(rule)) for rule, tokens in rules.items())))
-    return rows.select(key, F.explode(listed).alias("x")).select(key, "x.rule", "x.token")
+    rows = rows.withColumns({f"_{rule}": tokens for rule, tokens in rules.items()})
+    nothing = F.array().cast("array<struct<rule:string,token:string>>")
+    listed = F.flatten(F.array(*(F.when(F.size(f"_{rule}") > 0, F.transform(F.array_distinct(f"_{rule}"), _tagged(rule))).otherwise(nothing) for rule in rules)))
+    # Computed before they are exploded, as a generator's own input isn't compiled; outer, as else it would be computed
+    # a second time to leave out rows without findings.
+    return rows.withColumn("_found", listed).select(key, F.explode_outer("_found").alias("x")).where("x IS NOT NULL").select(key, "x.rule", "x.token")
 
 
 def _tagged(rule: str):

@@ -103,3 +103,21 @@ def test_planted_figures_are_never_true(spark):
     rows = spark.createDataFrame([(1, [Decimal("137.5"), Decimal("99.5")]), (2, [Decimal("137.5"), Decimal("99.5")]), (14, [Decimal("137.5")]), (4, [Decimal("137.5"), None])], "match_id long, signed array<decimal(20,6)>")
     found = {r["match_id"]: r["signed"] for r in without_planted(rows, F.col("match_id") % 13).collect()}
     assert found == {1: [Decimal("99.5")], 2: [Decimal("137.5")], 14: [], 4: [Decimal("137.5"), None]}
+
+
+def test_rules_are_computed_before_rows_are_exploded(spark):
+    """A generator's own input isn't compiled; and no filter computes the findings a second time."""
+    rows = spark.createDataFrame([(0, *text_row("It is 51%.")[1:])], SCHEMA)
+    plan = prose.findings(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(_found" in plan and plan.count("AS _forbidden_term#") == 1
+
+
+def test_letters_beyond_ascii_are_read_by_the_patterns(spark):
+    """Patterns know more cases of a letter than the plain search: the long s, and the Kelvin sign."""
+    texts = ["Moſt liKely is draw.", "Oddſ 2.01 here", "uſes liVe oddſ", "Beſt value is the visitor.", "12,5 ％ more", "Eſpérance 0.9"]
+    rows = spark.createDataFrame([(i, *text_row(t)[1:]) for i, t in enumerate(texts)], SCHEMA)
+    found = {i: set() for i in range(len(texts))}
+    for r in prose.findings(rows).collect():
+        found[r["match_id"]].add(r["rule"])
+    wanted = ["favourite_confused", "odds", "mock_as_live", "best_value_confused", "percent"]
+    assert [w in found[i] for i, w in enumerate(wanted)] == [True] * 5
